@@ -11,11 +11,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows up to which a side of at most ROW_BYTES a row may be broadcast.
+#: Rows up to which a side of short rows (ids, small arrays) may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a written table, for broadcast where its rows are counted and few;
+    as it is beyond that, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI; sets one of its own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
