@@ -48,10 +48,11 @@ def unescape(c: Column) -> Column:
 def _span_attributes(tag: str, to: str, c: Column) -> Column:
     """Opening `tag`s as `to`, with rowspan and colspan alone, in that order."""
     row, col = r'\browspan\s*=\s*"(\d+)"', r'\bcolspan\s*=\s*"(\d+)"'
+    no_row, no_col = row.replace("(", "").replace(")", ""), col.replace("(", "").replace(")", "")
     both = rf"(?i)<{tag}\s(?:(?=[^>]*{row})(?=[^>]*{col}))[^>]*>"
     c = F.regexp_replace(c, both, f'<{to} rowspan="$1" colspan="$2">')
-    c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{col})(?=[^>]*{row})[^>]*>", f'<{to} rowspan="$1">')
-    c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{row})(?=[^>]*{col})[^>]*>", f'<{to} colspan="$1">')
+    c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{no_col})(?=[^>]*{row})[^>]*>", f'<{to} rowspan="$1">')
+    c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{no_row})(?=[^>]*{col})[^>]*>", f'<{to} colspan="$1">')
     return F.regexp_replace(c, rf"(?i)<{tag}(?:\s(?![^>]*\b(?:row|col)span\s*=)[^>]*)?>", f"<{to}>")
 
 

@@ -105,7 +105,7 @@ def win_loss(df: DataFrame, unit: str, arm: str, metric: str, base: str, eps: fl
 
 def arm_pivot(df: DataFrame, tier: str, arm: str, ok: str, arms: list[str]) -> DataFrame:
     """Of each tier, ok and n of each arm."""
-    return df.groupBy(tier).pivot(arm, arms).agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
+    return df.groupBy(tier).pivot(arm, arms).agg(F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("n"))
 
 
 def at_index(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
@@ -114,9 +114,10 @@ def at_index(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     A distributed selection: values are counted, counts ordered, and the value
     whose running count passes an index is taken.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value))).alias(name) for name, s in shares.items()]
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(Window.orderBy("v_").rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.withColumn("upto_", upto).withColumn("n_", F.sum("c_").over(Window.partitionBy()))
+    picks = [F.min(F.when(F.col("upto_") > F.least(F.floor(F.col("n_") * s), F.col("n_") - 1), F.col("v_"))).alias(name) for name, s in shares.items()]
     return running.agg(*picks)
 
 
@@ -142,7 +143,7 @@ def histogram(df: DataFrame, col: str, width: float) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
-    return df.groupBy(row).pivot(col, values).agg(F.count("*")).fillna(0, values)
+    return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).fillna(0, values)
 
 
 def provenance(usage: DataFrame, source: str, version: str, item: str) -> DataFrame:
@@ -206,7 +207,7 @@ def movement(df: DataFrame, before: str, after: str, task: str, eps: dict[str, f
 
 
 def failure_matrix(df: DataFrame, kind: str, model: str, models: list[str]) -> DataFrame:
-    return df.where(F.col(kind).isNotNull()).groupBy(kind).pivot(model, models).agg(F.count("*")).fillna(0, models)
+    return df.where(F.col(kind).isNotNull()).groupBy(kind).pivot(model, models).agg(F.count(F.lit(1))).fillna(0, models)
 
 
 def confidence_split(pairs: DataFrame, correct: str, logprob: str) -> DataFrame:

@@ -546,7 +546,7 @@ def win09(spark, d):
     return win.quantile_pick(t(spark, d, "documents"), "lang", ["n_chars", "doc_id"], 3).select("lang", "doc_id")
 
 
-@query("win10_bands", "SELECT CASE WHEN value >= 80 THEN 80.0 WHEN value >= 60 THEN 60.0 WHEN value >= 40 THEN 40.0 WHEN value >= 20 THEN 20.0 ELSE -1.0 END AS band, count(*) AS n FROM events GROUP BY 1")
+@query("win10_bands", "SELECT CAST(CASE WHEN value >= 80 THEN 80.0 WHEN value >= 60 THEN 60.0 WHEN value >= 40 THEN 40.0 WHEN value >= 20 THEN 20.0 ELSE -1.0 END AS DOUBLE) AS band, count(*) AS n FROM events GROUP BY 1")
 def win10(spark, d):
     return win.bands(t(spark, d, "events"), "value", [80, 60, 40, 20])
 
