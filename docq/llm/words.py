@@ -131,7 +131,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, k * 0xA24BAED4963EE407 % 2**64, dtype=np.uint64)
+    out = np.full(n, int(k) * 0xA24BAED4963EE407 % 2**64, dtype=np.uint64)
     for j in range(k):
         out *= U(0x9FB21C651E98DF25)
         out += hashes[j : j + n]
