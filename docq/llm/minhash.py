@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docq.llm.components import connected_components
-from docq.llm.scratch import BROADCAST_ROWS, Scratch
+from docq.llm.scratch import Scratch, bounded
 from docq.llm.words import NON_SPACE, U, mix, shingle_set, words_of
 
 ROUNDS = 3
 #: Rows of a bucket compared at once in one task.
 BLOCK = 256
+#: The bits of a bucket's key that hold its band.
+BAND_BITS = 127
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
 
@@ -136,7 +138,7 @@ def _sets(k: int):
 
 
 def _band_keys(bands: int, rows: int):
-    """(key, id) for every band of every signature."""
+    """(key, id) for every band of every signature; the low bits of a key are its band."""
     weights = mix(np.arange(1, rows + 1, dtype=np.uint64))
 
     def run(batches):
@@ -146,6 +148,7 @@ def _band_keys(bands: int, rows: int):
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, bands, rows)
             for j in range(bands):
                 key = mix((sig[:, j, :].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) + U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                key = (key & ~U(BAND_BITS)) | U(j)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "id"])
 
     return run
@@ -168,12 +171,12 @@ def _hopeful(mantissa_bits: int, least: float):
     return run
 
 
-def _apart(mantissa_bits: int, least: float, percent: int):
+def _apart(mantissa_bits: int, least: float, percent: int, bands: int):
     """Rows (key, i, j, block, id, root, n, sig), sorted by (key, i, j): pairs
     between blocks i and j of a bucket that are in different components and
-    whose sizes and estimate allow a link."""
+    whose sizes and estimate allow a link; each in the first band it shares."""
 
-    def pairs(rows):
+    def pairs(rows, band):
         block = np.array([r[0] for r in rows])
         ids, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2, 3))
         sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
@@ -187,47 +190,40 @@ def _apart(mantissa_bits: int, least: float, percent: int):
             if len(y):
                 est = estimate(sig[[x]], sig[y], n[[x]], n[y], mantissa_bits)
                 for z in y[est >= least]:
-                    yield min(ids[x], ids[z]), max(ids[x], ids[z])
+                    if (sig[x].reshape(bands, -1) == sig[z].reshape(bands, -1)).all(axis=1).argmax() == band:
+                        yield min(ids[x], ids[z]), max(ids[x], ids[z])
 
     def run(batches):
         held, at, out = [], None, []
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != at:
-                    if i_differs(at, held):
-                        out.extend(pairs(held))
+                    if len(held) > 1:
+                        out.extend(pairs(held, at[0] & BAND_BITS))
                     held, at = [], (key, i, j)
                 held.append(row)
             yield as_batch(out)
             out = []
-        if i_differs(at, held):
-            out.extend(pairs(held))
+        if len(held) > 1:
+            out.extend(pairs(held, at[0] & BAND_BITS))
         yield as_batch(out)
 
-    def i_differs(at, held):
-        return at is not None and len(held) > 1
-
     def as_batch(out):
         return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For broadcast where df, a written table, is proven small; else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle_words: int = 5,
     threshold: float = 0.8,
-    bands: int = 36,
-    rows: int = 5,
+    bands: int = 60,
+    rows: int = 7,
     mantissa_bits: int = 10,
-    slack: float = 0.17,
+    slack: float = 0.11,
 ) -> DataFrame:
     """Near-duplicate component of each document.
 
@@ -243,7 +239,9 @@ def near_duplicates(
     not read.  An empty table gives an empty result.
 
     At similarity `threshold` = 0.8 a link escapes all bands with chance
-    (1 - 0.8**5)**36 = 6e-7; `slack` is over five standard errors of the estimate.
+    (1 - 0.8**7)**60 = 7e-7; `slack` is over five standard errors of the estimate.
+    Seven rows a band keep texts that merely share a passage out of each other's
+    buckets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -257,7 +255,7 @@ def near_duplicates(
     reps = member.where("id = rep").groupBy("id").agg(F.min("n").alias("n"), F.first("sig").alias("sig"))
     reps = scratch.table(reps, "classes")
 
-    keys = reps.select("id", "sig").select("id", "sig").mapInArrow(_band_keys(bands, rows), "key long, id long")
+    keys = reps.select("id", "sig").mapInArrow(_band_keys(bands, rows), "key long, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("held")).where("held > 1")
     shared = scratch.table(keys.join(hubs, "key"), "buckets")
     star = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -275,7 +273,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) whose full shingle sets reach the threshold."""
         wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        sets = text.join(_small(wanted), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"])
+        sets = text.join(bounded(wanted), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"])
         sets = scratch.table(sets, "sets")
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         same = F.size(F.array_intersect("set_a", "set_b"))
@@ -314,7 +312,7 @@ def near_duplicates(
     pairs = (
         open_rows.repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_apart(mantissa_bits, least, percent), "a long, b long")
+        .mapInArrow(_apart(mantissa_bits, least, percent, bands), "a long, b long")
         .distinct()
     )
     pairs = scratch.table(pairs, "apart")
