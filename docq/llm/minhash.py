@@ -29,7 +29,7 @@ from docq.llm.words import NON_SPACE, U, mix, shingle_set, words_of
 
 ROUNDS = 3
 #: Rows of a bucket compared at once in one task.
-BLOCK = 256
+BLOCK = 2048
 #: The bits of a bucket's key that hold its band.
 BAND_BITS = 127
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64) * U(0xD1342543DE82EF95))
