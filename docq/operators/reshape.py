@@ -126,8 +126,7 @@ def build_markdown(blocks_: DataFrame, doc: str, skip: tuple[str, ...], h1: tupl
     from docq.operators.rules import META_BLOCK, RISING
 
     content = F.trim(t.strip_fence(F.col("content")))
-    low = F.lower(content)
-    told = F.exists(F.array(*[F.lit(p) for p in META_BLOCK]), lambda p: low.contains(p)) | content.rlike(f"{RISING}{{6,}}")
+    told = content.rlike("(?i)" + "|".join(META_BLOCK)) | content.rlike(f"{RISING}{{6,}}")
     one_line = F.regexp_replace(content, "\n", " ")
     part = (
         F.when(content.contains("<table") | content.contains("<td"), t.compact_html(content)).when(F.col("label").isin(*h1), F.concat(F.lit("# "), one_line))

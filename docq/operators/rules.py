@@ -121,9 +121,8 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def meta_phrases(df: DataFrame, text: str, level: str = "doc") -> DataFrame:
-    phrases = F.array(*[F.lit(p) for p in (META_DOC if level == "doc" else META_BLOCK)])
-    low = F.lower(F.col(text))
-    return df.withColumn("meta_phrase", F.coalesce(F.exists(phrases, lambda p: low.contains(p)), F.lit(False)))
+    any_of = "(?i)" + "|".join(META_DOC if level == "doc" else META_BLOCK)
+    return df.withColumn("meta_phrase", F.coalesce(F.col(text).rlike(any_of), F.lit(False)))
 
 
 def rising_sequence(df: DataFrame, text: str, min_run: int = 6) -> DataFrame:
@@ -309,3 +308,29 @@ def root_cause(missing: Column, parse_chars: Column, table_lost: Column, gt_rows
         F.when(missing, "missing_prediction").when(parse_chars <= 120, "empty_parse").when(table_lost, "table_lost").when(gt_rows != pred_rows, "row_count")
         .when(table - general > 0.15, "general_fields").when(general - table > 0.15, "table_fields").otherwise("overall")
     )
+
+
+def sums_up(df: DataFrame, parts: tuple[str, ...], total: str, name: str) -> DataFrame:
+    """name: whether the parts add up to the total; null where one is missing."""
+    return df.withColumn(name, sum((F.col(p) for p in parts), F.lit(0)) == F.col(total))
+
+
+def tenth(df: DataFrame, base: str, tax: str, name: str) -> DataFrame:
+    """name: whether the tax is a tenth of the base, within 1."""
+    return df.withColumn(name, F.abs(F.round(F.col(base) * 0.1) - F.col(tax)) <= 1)
+
+
+def defect_type(gt: Column, pred: Column) -> Column:
+    """The first that holds: formula (made up), symbols (formatting left over),
+    cut_table (not closed), missing_rows; else null."""
+    formula, rows = r"\\frac|\\begin\{|\$\$", "<tr"
+    return (
+        F.when(pred.rlike(formula) & ~gt.rlike(formula), "formula").when(pred.rlike(r"\*\*|`{3}|#{2,}") & ~gt.rlike(r"\*\*|`{3}|#{2,}"), "symbols")
+        .when(pred.contains("<table") & ~pred.contains("</table>"), "cut_table").when(F.regexp_count(pred, F.lit(rows)) < F.regexp_count(gt, F.lit(rows)), "missing_rows")
+    )
+
+
+def crop_audit(df: DataFrame, w: str, h: str, scaled: tuple[str, str], raw: tuple[str, str]) -> DataFrame:
+    """saved_as: whether a saved size is that of the scaled box, of the raw one, or neither."""
+    same = lambda s: (F.abs(F.col(w) - F.col(s[0])) <= 1) & (F.abs(F.col(h) - F.col(s[1])) <= 1)
+    return df.withColumn("saved_as", F.when(same(scaled), "scaled").when(same(raw), "raw").otherwise("neither"))

@@ -185,3 +185,55 @@ def teds(ref: pd.Series, hyp: pd.Series) -> pd.Series:
         return max(0.0, 1 - tree_distance(a, b) / max(len(a), len(b)))
 
     return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="float64")
+
+
+def grid_from_tokens(df: DataFrame, doc: str, structure: str, cells_: str) -> DataFrame:
+    """doc, row, col, text, origin from a table's structure tokens and its cells' texts.
+    structure: array of tags and attributes; cells_: array of texts, one for each cell in order."""
+    kind = dict(df.dtypes)[doc]
+
+    def html(tokens, texts):
+        out, left = [], iter(texts if texts is not None else [])
+        for tok in tokens if tokens is not None else []:
+            out.append(tok)
+            if tok in ("<td>", "<th>", ">"):
+                out.append((next(left, "") or "").replace("&", "&amp;").replace("<", "&lt;"))
+        return "".join(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(d, *c) for d, s, t in zip(f[doc], f[structure], f[cells_], strict=True) for c in grid_of(html(s, t))]
+            yield pd.DataFrame(out, columns=[doc, "row", "col", "text", "origin"])
+
+    return df.select(doc, structure, cells_).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, origin boolean")
+
+
+def row_alignment(df: DataFrame, doc: str, gt: str, pred: str) -> DataFrame:
+    """doc, gt_row, pred_row of the rows that a sequence matcher pairs.
+    gt and pred: arrays with the name of each row."""
+    import difflib
+
+    kind = dict(df.dtypes)[doc]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for d, a, b in zip(f[doc], f[gt], f[pred], strict=True):
+                for block in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks():
+                    out.extend((d, block.a + i, block.b + i) for i in range(block.size))
+            yield pd.DataFrame(out, columns=[doc, "gt_row", "pred_row"])
+
+    return df.select(doc, gt, pred).mapInPandas(run, f"{doc} {kind}, gt_row int, pred_row int")
+
+
+def find_labeled(cells_: DataFrame, doc: str, keys: tuple[str, ...], name: str) -> DataFrame:
+    """doc, name: in the first row whose cells hold one of the keys and a whole
+    number after the first cell, that number.  cells_: doc, row, col, text."""
+    rows = cells_.groupBy(doc, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c")).withColumn("t", F.col("c.text"))
+    joined = F.replace(F.array_join("t", ""), F.lit(" "), F.lit(""))
+    hit = F.lit(False)
+    for k in keys:
+        hit = hit | joined.contains(k)
+    numbers = F.filter(F.transform(F.slice("t", 2, 1000), lambda x: F.regexp_replace(x, "[, ]", "")), lambda x: x.rlike("^-?[0-9]+$"))
+    found = rows.where(hit).select(doc, "row", F.get(numbers, F.lit(0)).cast("bigint").alias("v")).where("v is not null")
+    return found.groupBy(doc).agg(F.min_by("v", "row").alias(name))

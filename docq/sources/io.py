@@ -16,10 +16,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def read_docs(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(docs, corrupt): one JSON document a file, keyed by the file's stem; broken ones apart."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.option("wholetext", True).text(path)
     stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    raw = raw.withColumn("doc_id", stem)
-    return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("doc_id", "_corrupt_record")
+    r = raw.select(stem.alias("doc_id"), F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    good = r.where("r._corrupt_record is null").select("r.*", "doc_id").drop("_corrupt_record")
+    return good, r.where("r._corrupt_record is not null").select("doc_id", "r._corrupt_record")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
