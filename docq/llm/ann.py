@@ -114,7 +114,7 @@ def nearest(
     queries: DataFrame,
     k: int = 5,
     trees: int = 32,
-    candidate_share: float = 1.6,
+    candidate_share: float = 1.0,
     least_candidates: int = 400,
     block_rows: int = 8192,
     id_col: str = "vec_id",
