@@ -6,6 +6,8 @@ is a page, so its boxes are few, and no join crosses documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,40 +121,57 @@ def iou_match(gt: DataFrame, pred: DataFrame, doc: str, idx: str, thr: float = 0
     )
 
 
+def walk(df: DataFrame, doc: str, order: list, names: list[str], schema: str, start, step) -> DataFrame:
+    """Rows of each document in order, through step(state, row), which returns an
+    output row or None; start() makes a document's state.  Rows stream through a
+    task, so a document costs no more than its state, and documents no overhead."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, start()
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False):
+                if getattr(row, doc) != at:
+                    at, state = getattr(row, doc), start()
+                if (got := step(state, row)) is not None:
+                    out.append(got)
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(doc).sortWithinPartitions(doc, *order).mapInPandas(run, schema)
+
+
 def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
     """doc, a_idx, b_idx: in the order of a, the nearest unused box of b, if under max_dist."""
     p = _sides(a, b, doc, idx)
     d = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("x1", "y1", "x2", "y2")), F.lit(0.0))
-    near = p.withColumn("d", d).where(F.col("d") < max_dist)
-    schema = f"{doc} {dict(a.dtypes)[doc]}, a_idx {dict(a.dtypes)[idx]}, b_idx {dict(b.dtypes)[idx]}"
+    near = p.withColumn("d", d).where(F.col("d") < max_dist).select(doc, "a_idx", "b_idx", "d")
+    types, names = dict(near.dtypes), [doc, "a_idx", "b_idx"]
 
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for i, rows in g.sort_values(["a_idx", "d", "b_idx"]).groupby("a_idx", sort=False):
-            free = next((j for j in rows["b_idx"] if j not in used), None)
-            if free is not None:
-                used.add(free)
-                out.append((g[doc].iloc[0], i, free))
-        return pd.DataFrame(out, columns=[doc, "a_idx", "b_idx"])
+    def step(state, row):
+        done, used = state
+        if row.a_idx in done or row.b_idx in used:
+            return None
+        done.add(row.a_idx)
+        used.add(row.b_idx)
+        return getattr(row, doc), row.a_idx, row.b_idx
 
-    return near.select(doc, "a_idx", "b_idx", "d").groupBy(doc).applyInPandas(match, schema)
+    return walk(near, doc, ["a_idx", "d", "b_idx"], names, ", ".join(f"{n} {types[n]}" for n in names), lambda: (set(), set()), step)
 
 
 def greedy_best(pairs: DataFrame, doc: str, score: str) -> DataFrame:
     """doc, a_idx, b_idx, score: pairs by (score, a_idx, b_idx) descending, taken while both are unused."""
-    types = dict(pairs.dtypes)
-    schema = f"{doc} {types[doc]}, a_idx {types['a_idx']}, b_idx {types['b_idx']}, {score} {types[score]}"
-
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        a, b, out = set(), set(), []
-        for r in g.sort_values([score, "a_idx", "b_idx"], ascending=False).itertuples(index=False):
-            if r.a_idx not in a and r.b_idx not in b:
-                a.add(r.a_idx)
-                b.add(r.b_idx)
-                out.append((getattr(r, doc), r.a_idx, r.b_idx, getattr(r, score)))
-        return pd.DataFrame(out, columns=[doc, "a_idx", "b_idx", score])
-
-    return pairs.select(doc, "a_idx", "b_idx", score).groupBy(doc).applyInPandas(match, schema)
+    types, names = dict(pairs.dtypes), [doc, "a_idx", "b_idx", score]
+
+    def step(state, row):
+        a, b = state
+        if row.a_idx in a or row.b_idx in b:
+            return None
+        a.add(row.a_idx)
+        b.add(row.b_idx)
+        return getattr(row, doc), row.a_idx, row.b_idx, getattr(row, score)
+
+    order = [F.desc(score), F.desc("a_idx"), F.desc("b_idx")]
+    return walk(pairs.select(*names), doc, order, names, ", ".join(f"{n} {types[n]}" for n in names), lambda: (set(), set()), step)
 
 
 def span_overlap(spans: DataFrame, targets: DataFrame, doc: str, value: str) -> DataFrame:

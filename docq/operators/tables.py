@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -117,6 +118,7 @@ def extract_all(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?is)<table.*?</table>"), F.lit(0))
 
 
+@lru_cache(maxsize=100_000)
 def _levenshtein(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -142,7 +144,12 @@ def _table_tree(html: str | None) -> list[tuple]:
 def tree_distance(a: list[tuple], b: list[tuple]) -> float:
     """Zhang-Shasha edit distance of two post-order trees."""
 
+    if a == b:
+        return 0.0
+
     def cost(x, y):
+        if x == y:
+            return 0.0
         if x[:3] != y[:3]:
             return 1.0
         most = max(len(x[3]), len(y[3]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docq.operators.joins import walk
+
 
 def reading_order(blocks: DataFrame, doc: str, y: str, x: str, tie: str, base: int = 0) -> DataFrame:
     return blocks.withColumn("order", F.row_number().over(Window.partitionBy(doc).orderBy(y, x, tie)) - 1 + base)
@@ -14,20 +15,17 @@ def reading_order(blocks: DataFrame, doc: str, y: str, x: str, tie: str, base: i
 def line_group(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
     """doc, idx, line: boxes by (y1, x1); a box opens a line when its top is further
     from the line's first box than max(8, 0.6 x the page's median height).  The
-    anchor follows from what came before, so a page is walked in one task."""
+    anchor follows from what came before, so a page's boxes stream through one task."""
     types = dict(boxes.dtypes)
+    heights = boxes.groupBy(doc).agg(F.greatest(F.lit(8.0), 0.6 * F.median(F.col("y2") - F.col("y1"))).alias("tol"))
+
+    def step(state, row):
+        if state[0] is None or abs(row.y1 - state[0]) > row.tol:
+            state[0], state[1] = row.y1, state[1] + 1
+        return getattr(row, doc), getattr(row, idx), state[1]
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["y1", "x1", idx])
-        tol = max(8.0, 0.6 * float((g["y2"] - g["y1"]).median()))
-        anchor, line, out = None, -1, []
-        for y in g["y1"]:
-            if anchor is None or abs(y - anchor) > tol:
-                anchor, line = y, line + 1
-            out.append(line)
-        return pd.DataFrame({doc: g[doc], idx: g[idx], "line": out})
-
-    return boxes.select(doc, idx, "x1", "y1", "x2", "y2").groupBy(doc).applyInPandas(walk, f"{doc} {types[doc]}, {idx} {types[idx]}, line int")
+    rows = boxes.select(doc, idx, "x1", "y1").join(heights, doc)
+    return walk(rows, doc, ["y1", "x1", idx], [doc, idx, "line"], f"{doc} {types[doc]}, {idx} {types[idx]}, line int", lambda: [None, -1], step)
 
 
 def one_per_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -24,12 +24,26 @@ def consensus(df: DataFrame, parser: str, model_a: str, model_b: str, tol: float
     agree within tol of error on their comparison keys; the parser's own text is
     kept wherever it is on the majority's side."""
     distance = distance or metric.cer
-    k = {c: text.compare_key(F.col(c)) for c in (parser, model_a, model_b)}
-    d = df.withColumns({f"k_{i}": k[c] for i, c in enumerate((parser, model_a, model_b))})
-    pa, pb, ab = (distance(F.col(f"k_{x}"), F.col(f"k_{y}")) <= tol for x, y in ((0, 1), (0, 2), (1, 2)))
-    grade = F.when(pa & pb & ab, "high").when(pa | pb | ab, "mid").otherwise("low")
-    label = F.when(pa | pb, F.col(parser)).when(ab, F.col(model_a)).otherwise(F.col(parser))
-    return d.withColumns({"grade": grade, "label": label}).withColumn("parser_changed", text.compare_key(F.col("label")) != F.col("k_0")).drop("k_0", "k_1", "k_2")
+    keys = F.struct(*[text.compare_key(F.col(c)).alias(n) for c, n in ((parser, "p"), (model_a, "a"), (model_b, "b"))])
+
+    def verdict(k: Column) -> Column:
+        agree = F.struct(*[(distance(k[x], k[y]) <= tol).alias(x + y) for x, y in ("pa", "pb", "ab")], (k["a"] != k["p"]).alias("differs"))
+
+        def judged(s: Column) -> Column:
+            by_a = ~s["pa"] & ~s["pb"] & s["ab"]
+            grade = F.when(s["pa"] & s["pb"] & s["ab"], "high").when(s["pa"] | s["pb"] | s["ab"], "mid").otherwise("low")
+            return F.struct(grade.alias("grade"), by_a.alias("by_a"), (by_a & s["differs"]).alias("changed"))
+
+        return let(agree, judged)
+
+    d = df.withColumn("v_", let(keys, verdict))
+    label = F.when(F.col("v_.by_a"), F.col(model_a)).otherwise(F.col(parser))
+    return d.withColumns({"grade": F.col("v_.grade"), "label": label, "parser_changed": F.col("v_.changed")}).drop("v_")
+
+
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def review_queue(df: DataFrame, on: str) -> DataFrame:

@@ -224,11 +224,11 @@ def job01(spark, d):
 
 @query(
     "job07_review_queue",
-    rf"""WITH {READS}, k AS (SELECT id, regexp_replace(regexp_replace(gt, '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS p, regexp_replace(regexp_replace(pred, '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS a, regexp_replace(regexp_replace(lower(gt), '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS b FROM reads)
+    rf"""WITH {READS}, k AS (SELECT id, regexp_replace(regexp_replace(gt, '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS p, regexp_replace(regexp_replace(pred, '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS a, regexp_replace(regexp_replace(gt || model, '\s+', '', 'g'), '^[oO0*\-\s]+', '') AS b FROM reads)
 SELECT id, 'low' AS grade FROM k WHERE levenshtein(p, a) / greatest(length(p), length(a), 1) > 0.02 AND levenshtein(p, b) / greatest(length(p), length(b), 1) > 0.02 AND levenshtein(a, b) / greatest(length(a), length(b), 1) > 0.02""",
 )
 def job07(spark, d):
-    c = jobs.consensus(reads(spark, d).withColumn("b", F.lower("gt")), "gt", "pred", "b")
+    c = jobs.consensus(reads(spark, d).withColumn("b", F.concat("gt", "model")), "gt", "pred", "b")
     return jobs.review_queue(c, "id").select("id", "grade")
 
 
