@@ -27,18 +27,38 @@ from pyspark.sql import functions as F
 from docq.llm.scratch import Scratch
 
 #: Words whose ids one worker remembers.
-CACHE = 500_000
+CACHE = 800_000
 _encoders: dict = {}
 # Odd texts are cut only here; white space as Python knows it holds that of the tokenizer.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
+def plain(text: str) -> bool:
+    """Whether white space is only single spaces and line ends, each between other characters."""
+    return (
+        "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text
+        and text[:1] not in (" ", "\n") and text[-1:] not in (" ", "\n") and text.replace("\n", "").isprintable()
+    )
+
+
+class Known(dict):
+    """Ids by word; a word that is not there is noted and gives None."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class Encoder:
     """Ids of texts, equal to the tokenizer's own.
 
     A byte-level tokenizer begins a new piece before a single space between
-    other characters, and takes a line end between them for a piece of its own;
-    so words are encoded once, with the space before them, and remembered.
+    other characters, takes a line end between them for a piece of its own, and
+    parts letters or digits from punctuation; so words are encoded once, with
+    the space before them and without a last stop or comma, and remembered.
     """
 
     def __init__(self, path: str):
@@ -48,7 +68,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.newline = self._bytes([self.line])
-        self.known: dict[str, bytes] = {}
+        self.stops = {c: self._bytes(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.known = {"": Known(), " ": Known()}  # by what stands before the word
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -58,42 +79,54 @@ class Encoder:
         out = []
         for at in range(0, len(words), 2000):
             ids = np.array(self.tok.encode("\n".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             begin = 0
-            for e in ends:
+            for e in np.append(np.flatnonzero(ids == self.line), len(ids)):
                 out.append(ids[begin:e].tobytes())
                 begin = e + 1
         return out
 
+    def _learn(self, before: str) -> dict[str, bytes]:
+        """Ids of the words that were missed; they are remembered while there is room."""
+        known = self.known[before]
+        words, known.missed = set(known.missed), []
+        ends = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in self.stops and w[-2].isalnum()}
+        names = [w for w in {*(words - ends.keys()), *ends.values()} if w not in known]
+        new = dict(zip(names, self._encode_words([before + w for w in names]), strict=True))
+        out = {w: new[w] for w in words if w not in ends}
+        out |= {w: (known[stem] if stem in known else new[stem]) + self.stops[w[-1]] for w, stem in ends.items()}
+        if len(known) + len(new) + len(ends) <= CACHE:
+            known.update(new)
+            known.update(out)
+        return out
+
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         """Little-endian ids of each text, with the end id after it."""
-        get, tail = self.known.get, b"" if end is None else self._bytes([end])
-        cut, new = [], {}
+        tail = b"" if end is None else self._bytes([end])
+        head, rest = self.known[""], self.known[" "]
+        get, missed, cut = rest.__getitem__, rest.missed, []
         for t in texts:
-            # Only single spaces and line ends between other characters?
-            if " ".join(t.split()) == t.replace("\n", " "):
-                lines = t.split("\n") if t else []
-                words = [[w[0], *[" " + x for x in w[1:]]] for w in (line.split(" ") for line in lines)]
-            else:
-                words = None
-            got = None if words is None else [list(map(get, w)) for w in words]
-            if got:
-                for w, g in zip(words, got, strict=True):
-                    if None in g:
-                        new.update((x, b"") for x, y in zip(w, g, strict=True) if y is None)
-            cut.append((words, got))
-        if new:
-            names = list(new)
-            new = dict(zip(names, self._encode_words(names), strict=True))
-            if len(self.known) + len(new) <= CACHE:
-                self.known.update(new)
+            if not t or not plain(t):
+                cut.append(None)
+                continue
+            lines = []
+            for words in [line.split(" ") for line in t.split("\n")]:
+                first, before = words.pop(0), len(missed)
+                ids = list(map(get, words))
+                # Words are kept only where some are missing.
+                lines.append((first, head[first], words if len(missed) > before else None, ids))
+            cut.append(lines)
+        learnt_head, learnt_rest = self._learn(""), self._learn(" ")
         out = []
-        for t, (words, got) in zip(texts, cut, strict=True):
-            if words is None:
+        for t, lines in zip(texts, cut, strict=True):
+            if lines is None:
                 out.append(b"".join(self._bytes(e.ids) for e in self.tok.encode_batch(_SAFE.split(t), add_special_tokens=False)) + tail)
                 continue
-            lines = [b"".join(g if None not in g else [y if y is not None else new[x] for x, y in zip(w, g, strict=True)]) for w, g in zip(words, got, strict=True)]
-            out.append(self.newline.join(lines) + tail)
+            parts = []
+            for first, i, words, ids in lines:
+                if words is not None:
+                    ids = [learnt_rest[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                parts.append((learnt_head[first] if i is None else i) + b"".join(ids))
+            out.append(self.newline.join(parts) + tail)
         return out
 
 
