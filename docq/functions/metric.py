@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from docq.functions import num
 from docq.functions.text import norm_space
@@ -70,3 +70,14 @@ def avg_score(cer_value: Column, teds_value: Column) -> Column:
 def signed_gain(task: Column, before: Column, after: Column) -> Column:
     """Positive where it got better: TEDS up for tables, CER down for the rest."""
     return F.when(task == "table", after - before).otherwise(before - after)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("tag", StringType()), StructField("gt", StringType()), StructField("pred", StringType())])))
+def diff_marks(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """difflib's edit script as (tag, gt, pred) pieces that join to both texts."""
+
+    def one(a, b):
+        a, b = a or "", b or ""
+        return [{"tag": t, "gt": a[i1:i2], "pred": b[j1:j2]} for t, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+
+    return pd.Series([one(a, b) for a, b in zip(ref, hyp, strict=True)])

@@ -145,3 +145,41 @@ def expand_tasks(docs: DataFrame, doc: str, answers: dict[str, Column]) -> DataF
     """A row for each task that a document can answer: doc, task, answer."""
     each = F.array(*[F.struct(F.lit(t).alias("task"), a.cast("string").alias("answer")) for t, a in answers.items()])
     return docs.select(doc, F.inline(F.filter(each, lambda x: x["answer"].isNotNull() & (x["answer"] != ""))))
+
+
+def to_v0(df: DataFrame, dataset: str, question: str, doc: str, answer_col: str) -> DataFrame:
+    """Taxonomy records of the first version: constants, the answer and its language."""
+    from docq.functions.text import detect_language
+
+    return df.select(
+        F.lit(dataset).alias("dataset_name"), F.lit("0").alias("version"), F.struct(F.lit("OCR").alias("category_1"), F.lit("Document Understanding").alias("category_2")).alias("task"),
+        F.struct(F.lit("Other").alias("category_1")).alias("domain"), F.struct(F.lit(1).alias("image_cnt"), F.col(doc).cast("string").alias("source_file")).alias("metadata"),
+        F.struct(F.lit(question).alias("question")).alias("prompt"), F.struct(F.col(answer_col).alias("chosen")).alias("completion"), detect_language(F.col(answer_col)).alias("language"),
+    )
+
+
+def labeling_upload(blocks_: DataFrame, doc: str, sx: float, sy: float, w: float, h: float) -> DataFrame:
+    """Blocks for a labelling tool: boxes scaled to the image and clipped, orders
+    made gapless, and what is wrong with a block in errors.  blocks_: doc, pos,
+    order_key, x1, y1, x2, y2."""
+    from pyspark.sql import Window
+
+    from docq.functions import geom
+
+    b = geom.rescale(geom.box(), F.lit(sx), F.lit(sy), F.lit(w), F.lit(h))
+    out = blocks_.withColumns(dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)))
+    errors = F.array_compact(F.array(F.when(F.col("x2") <= F.col("x1"), "no_width"), F.when(F.col("y2") <= F.col("y1"), "no_height")))
+    return out.withColumn("order", F.row_number().over(Window.partitionBy(doc).orderBy("order_key", "pos")) - 1).withColumn("errors", errors)
+
+
+def crop_manifest(boxes_: DataFrame, doc: str, idx: str, label: str, routes: DataFrame, w: int, h: int, ratio: float, min_pad: float) -> tuple[DataFrame, DataFrame]:
+    """(crops, drops): the padded region of every box whose label has a task, and
+    the others with a reason (unrouted, too_small)."""
+    from docq.functions import geom
+    from docq.operators.rules import route_labels
+
+    b = geom.pad_crop(geom.box(), F.lit(w), F.lit(h), ratio, min_pad)
+    d = route_labels(boxes_, label, routes).withColumns({f"c{n}": c for n, c in zip(("x1", "y1", "x2", "y2"), b, strict=True)})
+    reason = F.when(F.col("task") == "unknown", "unrouted").when(F.col("cx1").isNull(), "too_small")
+    d = d.withColumn("reason", reason)
+    return d.where("reason is null").select(doc, idx, "task", "cx1", "cy1", "cx2", "cy2"), d.where("reason is not null").select(doc, idx, "reason")

@@ -334,3 +334,10 @@ def crop_audit(df: DataFrame, w: str, h: str, scaled: tuple[str, str], raw: tupl
     """saved_as: whether a saved size is that of the scaled box, of the raw one, or neither."""
     same = lambda s: (F.abs(F.col(w) - F.col(s[0])) <= 1) & (F.abs(F.col(h) - F.col(s[1])) <= 1)
     return df.withColumn("saved_as", F.when(same(scaled), "scaled").when(same(raw), "raw").otherwise("neither"))
+
+
+def balance_sheet(assets: Column, claims: Column) -> Column:
+    """Whether total assets equal total liabilities and equity in every period;
+    null where either row is missing.  Both are arrays of whole numbers, one a period."""
+    same = F.forall(F.arrays_zip(assets.alias("a"), claims.alias("c")), lambda p: p["a"].eqNullSafe(p["c"]))
+    return F.when((F.size(assets) > 0) & (F.size(claims) > 0), same)

@@ -116,3 +116,48 @@ def low_accuracy(docs: DataFrame, cause: Column, metric_col: str, threshold: flo
     """cause, n of documents under the threshold or without a prediction."""
     low = docs.where((F.col(metric_col) < threshold) | F.col(metric_col).isNull())
     return low.select(cause.alias("cause")).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+def field_vqa(fields: DataFrame, questions: DataFrame, doc: str) -> DataFrame:
+    """A question and answer for each field without flags that has a question.
+    fields: doc, field, value; questions: field, question (a small table)."""
+    clean = fields.where(F.size(rules.field_flags(F.col("field"), F.col("value"))) == 0)
+    return clean.join(F.broadcast(questions), "field").select(doc, "field", "question", F.trim("value").alias("answer"))
+
+
+def clean_docs(docs: DataFrame, item_total: str, tax: str, total: str) -> DataFrame:
+    """Documents with their issues and whether they pass: no flagged field, sums right.
+    docs: doc_id, fields, items and the named amounts."""
+    d = rules.verify_items(docs, "items", item_total, tax, total)
+    flagged = F.filter(F.map_entries("fields"), lambda e: F.size(rules.field_flags(e["key"], e["value"])) > 0)
+    return d.withColumn("flags", F.transform(flagged, lambda e: e["key"])).withColumn("passed", (F.size("issues") == 0) & (F.size("flags") == 0))
+
+
+def unify_receipts(layered: DataFrame, stratum: str, grouped: DataFrame, group: str, doc: str, cap: int, seed: int = 0) -> DataFrame:
+    """Two sources in one split: one by strata, the other by whole groups, of whose
+    evaluation rows each group keeps at most `cap`, the rest going to training."""
+    a = sampling.stratified_split(layered, stratum, doc, seed=seed).select(doc, "split")
+    b = sampling.group_split(grouped, group, seed=seed)
+    held = b.where("split <> 'train'")
+    kept = sampling.cap_per_group(held, group, doc, cap, seed).select(doc, "split")
+    over = held.join(kept.select(doc), doc, "left_anti").select(doc, F.lit("train").alias("split"))
+    return setops.union_tagged({"layered": a, "grouped": b.where("split = 'train'").select(doc, "split").unionByName(kept).unionByName(over)})
+
+
+def doc_report(gt: DataFrame, pred: DataFrame, texts: DataFrame, doc: str) -> DataFrame:
+    """Each field of gt with its prediction, score and whether the text holds it.
+    gt, pred: doc, field, value; texts: doc, text."""
+    s = kie_scores(gt, pred, [doc]).join(texts, doc, "left")
+    return s.select(doc, "field", F.col("value").alias("gt"), "pred", "status", "score", F.coalesce(F.col("text").contains(F.col("value")), F.lit(False)).alias("in_text"))
+
+
+def page_ocr_pack(boxes: DataFrame, doc: str, idx: str, drops: DataFrame) -> DataFrame:
+    """doc, text of the pages that no reason drops: lines top to bottom, words left to right.
+    boxes: doc, idx, x1, y1, x2, y2, word; drops: doc, reason."""
+    from docq.operators.win import line_group
+
+    kept = boxes.join(drops.where("reason is not null").select(doc), doc, "left_anti")
+    lined = kept.join(line_group(kept, doc, idx), [doc, idx])
+    words = lined.groupBy(doc, "line").agg(F.sort_array(F.collect_list(F.struct("x1", idx, "word"))).alias("w"))
+    pages = words.select(doc, "line", F.array_join("w.word", " ").alias("t")).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("l"))
+    return pages.select(doc, F.array_join("l.t", "\n").alias("text"))
