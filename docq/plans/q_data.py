@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docq.functions import geom, ids, metric, num, tokens
+from docq.functions import geom, ids, metric, tokens
 from docq.operators import agg, joins, reshape, rules, sampling, setops, tables, win
 from docq.plans import jobs
 from docq.plans.catalog import BOXES, CANON, LINES, READS, SCORES, boxes, html_tables, kie_docs, lines, preds, query, reads, responses, scores, t
