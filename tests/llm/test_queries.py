@@ -6,8 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from docq.llm import queries as q
 
