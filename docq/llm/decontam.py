@@ -159,6 +159,7 @@ def hit_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
             if n:
                 index[r.k][token % 2**64].append((offset, r.words, bytes(r.win), r["items"]))
         found.append(_hits({k: dict(d) for k, d in index.items() if d})(F.col(text_col)))
+    scratch.drop(windows)
     if blocks == 1:
         return found[0]
     spans = F.array_sort(F.concat(*[f["spans"] for f in found]))

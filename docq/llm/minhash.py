@@ -171,49 +171,92 @@ def _hopeful(mantissa_bits: int, least: float):
     return run
 
 
-def _apart(mantissa_bits: int, least: float, percent: int, bands: int):
-    """Rows (key, i, j, block, id, root, n, sig), sorted by (key, i, j): pairs
-    between blocks i and j of a bucket that are in different components and
-    whose sizes and estimate allow a link; each in the first band it shares."""
-
-    def pairs(rows, band):
-        block = np.array([r[0] for r in rows])
-        ids, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
-        two = len(set(block)) > 1
-        for x in range(len(rows)):
-            other = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            other[: x + 1] = False
-            if two:
-                other &= block != block[x]
-            y = np.flatnonzero(other)
-            if len(y):
-                est = estimate(sig[[x]], sig[y], n[[x]], n[y], mantissa_bits)
-                for z in y[est >= least]:
-                    if (sig[x].reshape(bands, -1) == sig[z].reshape(bands, -1)).all(axis=1).argmax() == band:
-                        yield min(ids[x], ids[z]), max(ids[x], ids[z])
+def _hopeful_pairs(rows, band: int, bands: int, mantissa_bits: int, least: float, percent: int):
+    """(x, y) of a bucket's rows (block, id, root, n, sig, ...) in different
+    components and, where there are two, different blocks, whose sizes and
+    estimate allow a link; each pair in the first band that it shares."""
+    block, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 2, 3))
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
+    two = block.min() != block.max()
+    for x in range(len(rows)):
+        other = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        other[: x + 1] = False
+        if two:
+            other &= block != block[x]
+        y = np.flatnonzero(other)
+        if len(y):
+            y = y[estimate(sig[[x]], sig[y], n[[x]], n[y], mantissa_bits) >= least]
+        if len(y):
+            same = (sig[y].reshape(len(y), bands, -1) == sig[x].reshape(1, bands, -1)).all(axis=2)
+            for z in y[same.argmax(axis=1) == band]:
+                yield x, int(z)
+
+
+def _runs(work, columns: list[tuple[str, pa.DataType]]):
+    """work(key, rows) for each run of rows (key, i, j, ...), sorted by these three."""
 
     def run(batches):
         held, at, out = [], None, []
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
+
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != at:
                     if len(held) > 1:
-                        out.extend(pairs(held, at[0] & BAND_BITS))
+                        out.extend(work(at, held))
                     held, at = [], (key, i, j)
                 held.append(row)
-            yield as_batch(out)
+            yield batch_of(out)
             out = []
         if len(held) > 1:
-            out.extend(pairs(held, at[0] & BAND_BITS))
-        yield as_batch(out)
-
-    def as_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.extend(work(at, held))
+        yield batch_of(out)
 
     return run
 
 
+def _open(bands: int, mantissa_bits: int, least: float, percent: int):
+    """The rows (key, i, j, block, id, root) that have a hopeful partner in their run: no more than came in."""
+
+    def work(at, rows):
+        has = {z for pair in _hopeful_pairs(rows, at[0] & BAND_BITS, bands, mantissa_bits, least, percent) for z in pair}
+        return [(*at, *rows[z][:3]) for z in sorted(has)]
+
+    return _runs(work, [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("root", pa.int64())])
+
+
+def _linked(bands: int, mantissa_bits: int, least: float, percent: int):
+    """Links (a, b) that full sets confirm between components of a run, as many as
+    join its components: fewer than its rows.  Rows end with the set."""
+
+    def work(at, rows):
+        parent: dict[int, int] = {}
+
+        def find(r):
+            while r in parent:
+                r = parent[r]
+            return r
+
+        out = []
+        sets = {}
+        for x, z in _hopeful_pairs(rows, at[0] & BAND_BITS, bands, mantissa_bits, least, percent):
+            a, b = find(rows[x][2]), find(rows[z][2])
+            if a == b:
+                continue
+            for k in (x, z):
+                if k not in sets:
+                    sets[k] = np.array(rows[k][5], dtype=np.int64)
+            same = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+            if 100 * same >= percent * (len(sets[x]) + len(sets[z]) - same):
+                parent[max(a, b)] = min(a, b)
+                out.append((min(rows[x][1], rows[z][1]), max(rows[x][1], rows[z][1])))
+        return out
+
+    return _runs(work, [("a", pa.int64()), ("b", pa.int64())])
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -270,19 +313,29 @@ def near_duplicates(
     )
     hopeful = scratch.table(hopeful, "hopeful")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) whose full shingle sets reach the threshold."""
-        wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """id, set of the documents named."""
+        wanted = scratch.table(ids.distinct(), "wanted")
         sets = text.join(bounded(wanted), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"])
         sets = scratch.table(sets, "sets")
+        scratch.drop(wanted)
+        return sets
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) whose full shingle sets reach the threshold."""
+        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         same = F.size(F.array_intersect("set_a", "set_b"))
         found = both.select("a", "b", same.alias("same"), (F.size("set_a") + F.size("set_b") - same).alias("all")).where(f"100 * same >= {percent} * all")
-        return scratch.table(found.select("a", "b"), name)
+        out = scratch.table(found.select("a", "b"), name)
+        scratch.drop(sets)
+        return out
 
     # One link for each class first: its best hub.  Most components are whole after it.
     best = hopeful.groupBy("b").agg(F.max_by("a", F.struct("est", F.negative("a").alias("first"))).alias("a")).select("a", "b")
-    links = confirmed(scratch.table(best, "best"), "links")
+    best = scratch.table(best, "best")
+    found = [confirmed(best, "links")]
+    links = found[0]
     roots = connected_components(links, scratch)
 
     def with_root(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -293,32 +346,38 @@ def near_duplicates(
     rest = with_root(with_root(hopeful.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     rest = scratch.table(rest, "rest")
     if not rest.isEmpty():
-        links = links.union(confirmed(rest, "links"))
+        found.append(confirmed(rest, "links"))
+        links = links.union(found[-1])
         roots = connected_components(links, scratch)
+    scratch.drop(hopeful, best, rest)
 
-    # Last, all pairs of a bucket between components that no link joins yet.
+    # Last, classes of a bucket in components that no link joins yet: those with a
+    # hopeful partner get their full sets and are compared with each other.  Only
+    # links leave a task, and no more than join its components.
     rooted = with_root(shared.select("key", "id", "held"), "id", "root")
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     open_rows = (
-        rooted.join(split, "key", "left_semi")
-        .where("held > 2")
+        rooted.where("held > 2")
+        .join(split, "key", "left_semi")
         .join(reps, "id")
-        .withColumn("blocks", blocks)
+        .withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "sig")
     )
-    pairs = (
-        open_rows.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_apart(mantissa_bits, least, percent, bands), "a long, b long")
-        .distinct()
-    )
-    pairs = scratch.table(pairs, "apart")
-    if not pairs.isEmpty():
-        links = links.union(confirmed(pairs, "links"))
+    how = (bands, mantissa_bits, least, percent)
+    some = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open(*how), "key long, i int, j int, block int, id long, root long")
+    some = scratch.table(some, "open")
+    if not some.isEmpty():
+        sets = sets_of(some.select("id"))
+        full = some.join(reps, "id").join(sets, "id").select("key", "i", "j", "block", "id", "root", "n", "sig", "set")
+        joined = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(*how), "a long, b long")
+        found.append(scratch.table(joined.distinct(), "links"))
+        scratch.drop(sets)
+        links = links.union(found[-1])
         roots = connected_components(links, scratch)
+    scratch.drop(some)
+    scratch.drop(reps, shared, *found)
 
     out = (
         every.select("id", "n", "print")

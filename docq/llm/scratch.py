@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docq-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -48,13 +49,16 @@ class Scratch:
         """Write df and read it again."""
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
+        """Delete tables of this run that no later plan reads."""
         jvm = self.spark._jvm
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-            if "/docq-" in path:
+        for df, path in self.held:
+            if any(df is t for t in tables):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        self.held = [(df, path) for df, path in self.held if not any(df is t for t in tables)]

@@ -314,3 +314,15 @@ def test_pipeline_keeps_columns_of_documents(spark):
     out = corpus_pipeline.drop_toxic(spark, d, "/root/testdata/sf0.001")
     assert out.columns == d.columns and 0 < out.count() <= d.count()
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_scratch_tables(spark):
+    from docq.llm.scratch import Scratch, bounded
+
+    s = Scratch(spark, "test")
+    a, b = s.table(spark.range(5).toDF("x"), "a"), s.table(spark.range(3).toDF("x"), "b")
+    assert a.count() == 5 and bounded(b).count() == 3
+    s.drop(a)
+    assert b.count() == 3 and [d is b for d, _ in s.held] == [True]
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        a.count()
