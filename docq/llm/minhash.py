@@ -218,13 +218,14 @@ def _runs(work, columns: list[tuple[str, pa.DataType]]):
 
 
 def _open(bands: int, mantissa_bits: int, least: float, percent: int):
-    """The rows (key, i, j, block, id, root) that have a hopeful partner in their run: no more than came in."""
+    """The rows (key, i, j, block, id, root, n, sig) that have a hopeful partner in their run: no more than came in."""
 
     def work(at, rows):
         has = {z for pair in _hopeful_pairs(rows, at[0] & BAND_BITS, bands, mantissa_bits, least, percent) for z in pair}
-        return [(*at, *rows[z][:3]) for z in sorted(has)]
+        return [(*at, *rows[z]) for z in sorted(has)]
 
-    return _runs(work, [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("root", pa.int64())])
+    ints = [("key", 64), ("i", 32), ("j", 32), ("block", 32), ("id", 64), ("root", 64), ("n", 64)]
+    return _runs(work, [*((c, pa.int64() if b == 64 else pa.int32()) for c, b in ints), ("sig", pa.binary())])
 
 
 def _linked(bands: int, mantissa_bits: int, least: float, percent: int):
@@ -366,11 +367,11 @@ def near_duplicates(
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "sig")
     )
     how = (bands, mantissa_bits, least, percent)
-    some = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open(*how), "key long, i int, j int, block int, id long, root long")
+    some = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open(*how), "key long, i int, j int, block int, id long, root long, n long, sig binary")
     some = scratch.table(some, "open")
     if not some.isEmpty():
         sets = sets_of(some.select("id"))
-        full = some.join(reps, "id").join(sets, "id").select("key", "i", "j", "block", "id", "root", "n", "sig", "set")
+        full = some.join(sets, "id").select("key", "i", "j", "block", "id", "root", "n", "sig", "set")
         joined = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(*how), "a long, b long")
         found.append(scratch.table(joined.distinct(), "links"))
         scratch.drop(sets)
