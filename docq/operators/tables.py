@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -9,7 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 
 class _Rows(HTMLParser):
@@ -49,8 +50,8 @@ def rows_of(html: str | None) -> list[list[list]]:
     return p.rows
 
 
-def grid_of(html: str | None) -> list[tuple[int, int, str, bool]]:
-    """(row, col, text, origin) with spans spread over the grid; covered places repeat nothing."""
+def grid_of(html: str | None, repeat: bool = False) -> list[tuple[int, int, str, bool]]:
+    """(row, col, text, origin) with spans spread over the grid; covered places repeat nothing, or the text."""
     out, taken = [], set()
     for r, row in enumerate(rows_of(html)):
         c = 0
@@ -61,18 +62,18 @@ def grid_of(html: str | None) -> list[tuple[int, int, str, bool]]:
             for i in range(rs):
                 for j in range(cs):
                     taken.add((r + i, c + j))
-                    out.append((r + i, c + j, text if not (i or j) else "", not (i or j)))
+                    out.append((r + i, c + j, text if repeat or not (i or j) else "", not (i or j)))
             c += cs
     return sorted(out)
 
 
-def cells(df: DataFrame, doc: str, html: str) -> DataFrame:
+def cells(df: DataFrame, doc: str, html: str, repeat: bool = False) -> DataFrame:
     """doc, row, col, text, origin: every place of the grid of a text's tables."""
     kind = dict(df.dtypes)[doc]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(d, *c) for d, h in zip(f[doc], f[html], strict=True) for c in grid_of(h)]
+            out = [(d, *c) for d, h in zip(f[doc], f[html], strict=True) for c in grid_of(h, repeat)]
             yield pd.DataFrame(out, columns=[doc, "row", "col", "text", "origin"])
 
     return df.select(doc, html).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, origin boolean")
@@ -215,22 +216,26 @@ def grid_from_tokens(df: DataFrame, doc: str, structure: str, cells_: str) -> Da
     return df.select(doc, structure, cells_).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, origin boolean")
 
 
-def row_alignment(df: DataFrame, doc: str, gt: str, pred: str) -> DataFrame:
-    """doc, gt_row, pred_row of the rows that a sequence matcher pairs.
-    gt and pred: arrays with the name of each row."""
-    import difflib
+@F.pandas_udf(ArrayType(StructType().add("gt_row", "integer").add("pred_row", "integer")))
+def seq_align(gt: pd.Series, pred: pd.Series) -> pd.Series:
+    """Pairs of places by difflib's edit script: equal and replaced runs pair row by
+    row; what is deleted, inserted or over in a replaced run has null on the other side."""
 
-    kind = dict(df.dtypes)[doc]
+    def one(a, b):
+        a, b = [list(x) if x is not None else [] for x in (a, b)]
+        out = []
+        for _, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            for k in range(max(i2 - i1, j2 - j1)):
+                out.append({"gt_row": i1 + k if i1 + k < i2 else None, "pred_row": j1 + k if j1 + k < j2 else None})
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(gt, pred, strict=True)], dtype=object)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for d, a, b in zip(f[doc], f[gt], f[pred], strict=True):
-                for block in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks():
-                    out.extend((d, block.a + i, block.b + i) for i in range(block.size))
-            yield pd.DataFrame(out, columns=[doc, "gt_row", "pred_row"])
 
-    return df.select(doc, gt, pred).mapInPandas(run, f"{doc} {kind}, gt_row int, pred_row int")
+def row_alignment(df: DataFrame, doc: str, gt: str, pred: str) -> DataFrame:
+    """doc, gt_row, pred_row of every row of both sides: pred_row is null for a
+    missing row, gt_row for a spurious one.  gt and pred: arrays with the name of each row."""
+    return df.select(doc, F.explode(seq_align(gt, pred)).alias("m")).select(doc, "m.gt_row", "m.pred_row")
 
 
 def find_labeled(cells_: DataFrame, doc: str, keys: tuple[str, ...], name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docq.functions import ids, metric, text
-from docq.operators import agg, joins, rules, sampling, setops
+from docq.operators import agg, joins, rules, sampling, setops, tables
 
 
 def validate(df: DataFrame, answer: str) -> DataFrame:
@@ -161,3 +161,56 @@ def page_ocr_pack(boxes: DataFrame, doc: str, idx: str, drops: DataFrame) -> Dat
     words = lined.groupBy(doc, "line").agg(F.sort_array(F.collect_list(F.struct("x1", idx, "word"))).alias("w"))
     pages = words.select(doc, "line", F.array_join("w.word", " ").alias("t")).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("l"))
     return pages.select(doc, F.array_join("l.t", "\n").alias("text"))
+
+
+def table_compare(gt_rows: DataFrame, pred_cells: DataFrame, doc: str, header: str = r"^제\s*\d+\s*기") -> tuple[DataFrame, DataFrame]:
+    """(rows, summary) of true tables against read ones, rows aligned by their names.
+    gt_rows: doc, row, name, numbers (array of texts); pred_cells: doc, row, col, text.
+
+    rows: doc, gt_row, pred_row (null on the side that lacks the row), gt, pred (the
+    names), status (equal, misread, missing, spurious), name_cer, and numbers: col,
+    gt, pred, ok where either side has text.  Read rows of one cell, without a name
+    or with a header's are left out.  summary: one row for each document of either side."""
+    none = "CAST(array() AS array<struct<row:int,name:string,{}>>)"
+    g = gt_rows.select(doc, F.struct(F.col("row").cast("int").alias("row"), F.coalesce("name", F.lit("")).alias("name"), "numbers").alias("r"))
+    g = g.groupBy(doc).agg(F.sort_array(F.collect_list("r")).alias("g"))
+    p = pred_cells.groupBy(doc, "row").agg(F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "text"))).alias("c"))
+    name = F.coalesce(F.get(F.filter("c", lambda c: c["col"] == 0), F.lit(0))["text"], F.lit(""))
+    p = p.withColumn("name", name).where((F.size("c") >= 2) & (F.trim("name") != "") & ~F.col("name").rlike(header))
+    p = p.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), "name", "c"))).alias("p"))
+    both = g.join(p, doc, "full_outer").select(
+        doc, F.coalesce("g", F.expr(none.format("numbers:array<string>"))).alias("g"), F.coalesce("p", F.expr(none.format("c:array<struct<col:int,text:string>>"))).alias("p")
+    )
+    pairs = F.transform(tables.seq_align("g.name", "p.name"), lambda m: F.struct(m["gt_row"].alias("gt_row"), m["pred_row"].alias("pred_row"), F.get("g", m["gt_row"]).alias("g"), F.get("p", m["pred_row"]).alias("p")))
+    m = both.select(doc, F.explode(pairs).alias("m")).select(doc, "m.*")
+
+    def number(x: Column, i: Column) -> Column:
+        read = F.get(F.filter("p.c", lambda c: c["col"] == i + 1), F.lit(0))["text"]
+        a, b = (F.trim(F.coalesce(v, F.lit(""))) for v in (x, read))
+        return F.struct((i + 1).alias("col"), a.alias("gt"), b.alias("pred"), (a == b).alias("ok"))
+
+    matched = F.col("g").isNotNull() & F.col("p").isNotNull()
+    status = F.when(F.col("p").isNull(), "missing").when(F.col("g").isNull(), "spurious").when(F.col("g.name") == F.col("p.name"), "equal").otherwise("misread")
+    numbers = F.when(matched, F.filter(F.transform("g.numbers", number), lambda n: (n["gt"] != "") | (n["pred"] != "")))
+    error = F.when(matched, metric.cer_opcode("g.name", "p.name"))
+    rows = m.select(doc, "gt_row", "pred_row", F.col("g.name").alias("gt"), F.col("p.name").alias("pred"), status.alias("status"), error.alias("name_cer"), numbers.alias("numbers"))
+
+    def listed(kind: str, item) -> Column:
+        place = F.struct(F.coalesce("gt_row", "pred_row").alias("i"), item.alias("x"))
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == kind, place))), lambda s: s["x"])
+
+    chars = F.when(F.col("name_cer").isNotNull(), F.length("gt"))
+    wrong = F.filter("numbers", lambda n: ~n["ok"])
+    s = rows.groupBy(doc).agg(
+        F.count("gt_row").alias("gt_rows"), F.count("pred_row").alias("pred_rows"), F.count("name_cer").alias("n_"), listed("missing", F.col("gt")).alias("missing_rows"),
+        listed("spurious", F.col("pred")).alias("spurious_rows"), F.sum(F.col("name_cer") * chars).alias("err_"), F.sum(chars).alias("chars_"),
+        listed("misread", F.struct("gt", "pred")).alias("name_errors"), F.coalesce(F.sum(F.size("numbers")), F.lit(0)).alias("numeric_cells"), F.sum(F.size(wrong)).alias("wrong_"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size(wrong) > 0, F.struct("gt_row", F.col("gt").alias("name"), wrong.alias("w"))))),
+                              lambda r: F.transform(r["w"], lambda n: F.struct(r["name"].alias("row"), n["col"].alias("col"), n["gt"].alias("gt"), n["pred"].alias("pred"))))).alias("numeric_errors"),
+    )
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    n = F.col("numeric_cells")
+    return rows, s.select(
+        doc, "gt_rows", "pred_rows", ratio(F.col("n_"), F.col("gt_rows")).alias("row_recall"), "missing_rows", "spurious_rows", ratio(F.col("err_"), F.col("chars_")).alias("name_cer"),
+        F.size("name_errors").alias("name_error_count"), "name_errors", "numeric_cells", ratio(n - F.col("wrong_"), n).alias("numeric_accuracy"), "numeric_errors",
+    )

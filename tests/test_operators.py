@@ -229,3 +229,74 @@ def test_upsert_and_collection(spark):
     files = spark.createDataFrame([("a", t), ("b", datetime.datetime(2024, 2, 1)), ("c", t)], "id string, at timestamp")
     got = setops.collect_since(files, files.where("id = 'b'"), "id", "at", t, include=spark.createDataFrame([("c",)], "id string"))
     assert sorted((r.id, r.state) for r in got.collect()) == [("b", "updated"), ("c", "new")]
+
+
+def plain_compare(gt, html):
+    """The figures of one table in plain Python. gt: (name, numbers) by row."""
+    import difflib
+
+    grid = {}
+    for r, c, text, _ in tables.grid_of(html, True):
+        grid.setdefault(r, {})[c] = text
+    read = [g for _, g in sorted(grid.items()) if len(g) >= 2 and g.get(0, "").strip()]
+    a, b = [n for n, _ in gt], [g[0] for g in read]
+    pairs = []
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag in ("equal", "replace"):
+            n = min(i2 - i1, j2 - j1)
+            pairs += [(i1 + k, j1 + k) for k in range(n)]
+            i1, j1 = i1 + n, j1 + n
+        pairs += [(i, None) for i in range(i1, i2)] + [(None, j) for j in range(j1, j2)]
+
+    def cer(x, y):
+        ops = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        return sum(max(i2 - i1, j2 - j1) for t, i1, i2, j1, j2 in ops if t != "equal") / max(len(x), len(y), 1)
+
+    both = [(i, j) for i, j in pairs if i is not None and j is not None]
+    cells = [(a[i], c, x, read[j].get(c, "")) for i, j in both for c, x in enumerate(gt[i][1], 1) if x or read[j].get(c, "")]
+    chars = sum(len(a[i]) for i, _ in both)
+    return {
+        "gt_rows": len(a), "pred_rows": len(b), "row_recall": round(len(both) / len(a), 4) if a else None,
+        "missing_rows": [a[i] for i, j in pairs if j is None], "spurious_rows": [b[j] for i, j in pairs if i is None],
+        "name_cer": pytest.approx(sum(cer(a[i], b[j]) * len(a[i]) for i, j in both) / chars, abs=6e-5) if chars else None,
+        "name_error_count": sum(a[i] != b[j] for i, j in both), "name_errors": [(a[i], b[j]) for i, j in both if a[i] != b[j]], "numeric_cells": len(cells),
+        "numeric_accuracy": pytest.approx(sum(x == y for *_, x, y in cells) / len(cells), abs=6e-5) if cells else None, "numeric_errors": [c for c in cells if c[2] != c[3]],
+    }
+
+
+def plain_row(r):
+    return {k: [tuple(x) if isinstance(x, tuple) else x for x in v] if isinstance(v, list) else v for k, v in r.asDict().items() if k != "doc"}
+
+
+def test_rows_of_tables_on_both_sides(spark):
+    gt = {
+        1: [("cash", ["1", "2"]), ("stock", ["3", "4"]), ("land", ["5", ""]), ("debt", ["7", "8"])],
+        2: [("only here", ["1"])],
+        4: [("a", ["1"]), ("a", ["2"]), ("b", ["3"])],
+    }
+    tr = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    html = {
+        1: "<table>" + tr("", "now") + tr("제 3 기", "x") + tr("cash", "1", "2") + tr("stoek", "3", "9") + tr("debt", "7") + tr("more", "1") + tr("note") + "</table>",
+        3: "<table>" + tr("spurious", "1") + "</table>",
+        4: '<table><tr><td rowspan="2">a</td><td>1</td></tr><tr><td>2</td></tr>' + tr("c", "3") + tr("d", "4") + "</table>",
+    }
+    g = spark.createDataFrame([(d, i, n, v) for d, rows in gt.items() for i, (n, v) in enumerate(rows)], "doc int, row int, name string, numbers array<string>")
+    cells = tables.cells(spark.createDataFrame(list(html.items()), "doc int, html string"), "doc", "html", repeat=True)
+    rows, summary = jobs.table_compare(g, cells, "doc")
+    got = {r.doc: plain_row(r) for r in summary.collect()}
+    head = tr("제 3 기", "x")
+    assert got == {d: plain_compare(gt.get(d, []), html.get(d, "").replace(head, "")) for d in (1, 2, 3, 4)}
+    assert [(r.gt_row, r.pred_row, r.status) for r in rows.where("doc = 1").collect()] == [(0, 0, "equal"), (1, 1, "misread"), (2, None, "missing"), (3, 2, "equal"), (None, 3, "spurious")]
+
+
+def test_table_compare_query_equals_plain(spark, sf_dir):
+    from docq.plans import q_more
+
+    gt, html = q_more.compared_tables(spark, sf_dir)
+    want, page = {}, {r.doc: r.html for r in html.collect()}
+    for r in gt.orderBy("doc", "row").collect():
+        want.setdefault(r.doc, []).append((r.name, r.numbers))
+    got = {r.doc: plain_row(r) for r in q_more.job23(spark, sf_dir).collect()}
+    assert got == {d: plain_compare(rows, page.get(d)) for d, rows in want.items()}
+    for k in ("missing_rows", "spurious_rows", "name_errors", "numeric_errors"):
+        assert any(r[k] for r in got.values())
