@@ -158,6 +158,19 @@ def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float =
     return walk(near, doc, ["a_idx", "d", "b_idx"], names, ", ".join(f"{n} {types[n]}" for n in names), lambda: (set(), set()), step)
 
 
+def greedy_l1_outer(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
+    """doc, a_idx, b_idx: the pairs of greedy_l1 and the boxes it leaves over, null on the other side."""
+    pairs = greedy_l1(a, b, doc, idx, max_dist)
+    left, right = a.select(doc, F.col(idx).alias("a_idx")), b.select(doc, F.col(idx).alias("b_idx"))
+    only_a = _unpaired(left, pairs, doc, "a_idx").withColumn("b_idx", F.lit(None).cast(dict(right.dtypes)["b_idx"]))
+    only_b = _unpaired(right, pairs, doc, "b_idx").withColumn("a_idx", F.lit(None).cast(dict(left.dtypes)["a_idx"]))
+    return pairs.unionByName(only_a).unionByName(only_b)
+
+
+def _unpaired(side: DataFrame, pairs: DataFrame, doc: str, key: str) -> DataFrame:
+    return side.join(pairs.select(doc, key), [doc, key], "left_anti")
+
+
 def greedy_best(pairs: DataFrame, doc: str, score: str) -> DataFrame:
     """doc, a_idx, b_idx, score: pairs by (score, a_idx, b_idx) descending, taken while both are unused."""
     types, names = dict(pairs.dtypes), [doc, "a_idx", "b_idx", score]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docq.functions import ids, metric, text
-from docq.operators import agg, joins, rules, sampling, setops, tables
+from docq.operators import agg, joins, reshape, rules, sampling, setops, tables
 
 
 def validate(df: DataFrame, answer: str) -> DataFrame:
@@ -214,3 +214,73 @@ def table_compare(gt_rows: DataFrame, pred_cells: DataFrame, doc: str, header: s
         doc, "gt_rows", "pred_rows", ratio(F.col("n_"), F.col("gt_rows")).alias("row_recall"), "missing_rows", "spurious_rows", ratio(F.col("err_"), F.col("chars_")).alias("name_cer"),
         F.size("name_errors").alias("name_error_count"), "name_errors", "numeric_cells", ratio(n - F.col("wrong_"), n).alias("numeric_accuracy"), "numeric_errors",
     )
+
+
+def block_scores(blocks: DataFrame, layout: DataFrame, doc: str, idx: str, tol: float = 6) -> DataFrame:
+    """blocks with whole coordinates and the score of the first layout box within tol, or null."""
+    corners = ("x1", "y1", "x2", "y2")
+    whole = {c: F.bround(c) for c in corners}
+    boxes = layout.withColumns(whole).groupBy(doc, *corners).agg(F.min(idx).alias(idx), F.max_by("score", idx).alias("score"))
+    b = blocks.withColumns(whole)
+    near = joins.box_proximity(b, boxes, doc, idx, tol).join(boxes.select(doc, F.col(idx).alias("b_idx"), "score"), [doc, "b_idx"])
+    return b.join(near.select(doc, F.col("a_idx").alias(idx), "score"), [doc, idx], "left")
+
+
+def diff_runs(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60, min_delta: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """(changes, summary) of two runs, blocks paired by place (joins.greedy_l1).
+    a, b: doc, idx, x1, y1, x2, y2, label, content, order, score (block_scores).
+
+    changes: doc, a_idx, b_idx, label, change (only_a, only_b, filled, emptied,
+    text_changed, score_up, score_down, order_changed), a, b (the two values as text),
+    chars, delta; a pair may change in text, score and order at once.  summary: the
+    blocks of both runs and the count of each change, for each document of either run."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""), r"(?U)[\s\x1c-\x1f]+", "")
+    side = lambda df, n: df.select(doc, F.col(idx).alias(f"{n}_idx"), F.struct("label", "content", F.col("order").cast("string").alias("order"), "score", bare(F.col("content")).alias("bare")).alias(n))
+    pairs = joins.greedy_l1_outer(a, b, doc, idx, max_dist)
+    j = pairs.join(side(a, "a"), [doc, "a_idx"], "left").join(side(b, "b"), [doc, "b_idx"], "left")
+    x, y, delta = F.col("a.bare"), F.col("b.bare"), F.col("b.score") - F.col("a.score")
+
+    def change(kind: Column, n: str | None = None, chars: Column | None = None, by: Column | None = None) -> Column:
+        values = [(F.col(f"{s}.{n}").cast("string") if n else F.lit(None).cast("string")).alias(s) for s in ("a", "b")]
+        made = F.struct(kind.alias("change"), *values, (chars if chars is not None else F.lit(None).cast("int")).alias("chars"), (by if by is not None else F.lit(None).cast("double")).alias("delta"))
+        return F.when(kind.isNotNull(), made)
+
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    lone = F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b")
+    read = F.when(both & (x == "") & (y != ""), "filled").when(both & (x != "") & (y == ""), "emptied").when(both & (x != y), "text_changed")
+    score = F.when(F.abs(delta) > min_delta, F.when(delta > 0, "score_up").otherwise("score_down"))
+    order = F.when(both & ~F.col("a.order").eqNullSafe(F.col("b.order")), "order_changed")
+    chars = F.when(read == "filled", F.length(y)).when(read == "emptied", F.length(x))
+    found = F.array_compact(F.array(change(lone), change(read, "content", chars), change(score, "score", by=F.round(delta, 4)), change(order, "order")))
+    rows = j.select(doc, "a_idx", "b_idx", F.coalesce("a.label", "b.label").alias("label"), found.alias("found"))
+    changes = rows.select(doc, "a_idx", "b_idx", "label", F.explode("found").alias("c")).select(doc, "a_idx", "b_idx", "label", "c.*")
+    kinds = ("text_changed", "score_up", "score_down", "filled", "emptied", "order_changed", "only_a", "only_b")
+    counts = [F.sum(F.array_contains("found.change", k).cast("bigint")).alias(k) for k in kinds]
+    return changes, rows.groupBy(doc).agg(F.count("a_idx").alias("blocks_a"), F.count("b_idx").alias("blocks_b"), *counts)
+
+
+def upload_mix(small: DataFrame, large: DataFrame, blocks_: DataFrame, inventory: DataFrame, doc: str, repeat: int = 8, n_large: int = 3000, val: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mix, shares, missing) of two sources with validation rows taken from each first.
+    small, large: doc, images (array), answer; blocks_: reshape.blocks; inventory: ref.
+
+    mix: source, split, copy, doc, images, answer, regenerated.  Answers of the small
+    source are built anew from their blocks (tables stay HTML), or kept where there are
+    none; its training rows are repeated, the large source gives n_large (0: all).
+    shares: split, source, n, share.  missing: root, n of images that the inventory lacks."""
+    md = reshape.build_markdown(blocks_, doc, (), ("doc_title",), ("paragraph_title",)).select(doc, F.trim("markdown").alias("md_")).where("md_ <> ''")
+    anew = small.join(md, doc, "left").withColumn("regenerated", F.col("md_").isNotNull()).withColumn("answer", F.coalesce("md_", "answer")).drop("md_")
+    n_small = max(8, val // 8) if val > 0 else 0
+    out = []
+    for name, df, held, limit in (("small", anew, n_small, 0), ("large", large.withColumn("regenerated", F.lit(False)), max(0, val - n_small), n_large)):
+        keys = df.select(doc, ids.draw(seed, F.col(doc).cast("string")).alias("k_"))
+        v = keys.orderBy("k_", doc).limit(held).select(doc)
+        rest = keys.join(v, doc, "left_anti")
+        train = (rest.orderBy("k_", doc).limit(limit) if limit else rest).select(doc)
+        copies = F.sequence(F.lit(1), F.lit(repeat if name == "small" else 1))
+        parts = df.join(train, doc, "left_semi").select("*", F.lit("train").alias("split"), F.explode(copies).alias("copy"))
+        parts = parts.unionByName(df.join(v, doc, "left_semi").select("*", F.lit("val").alias("split"), F.lit(1).alias("copy")))
+        out.append(parts.select(F.lit(name).alias("source"), "split", "copy", doc, "images", "answer", "regenerated"))
+    mix = out[0].unionByName(out[1])
+    counts = mix.groupBy("split", "source").agg(F.count("*").alias("n"))
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("split")))
+    return mix, shares, rules.missing_refs(mix, "images", inventory)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docq.functions import metric, prompts, text
@@ -260,6 +261,26 @@ def job22(spark, d):
     return joins.run_diff(boxes(spark, d), preds(spark, d), ["doc", "idx"], "x1").groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query("job22_diff_blocks")
+def job22_blocks(spark, d):
+    return jobs.diff_runs(*two_runs(spark, d), "doc", "idx")[1]
+
+
+def two_runs(spark, d):
+    """The blocks of pages in two runs: in the second moved a little, numbered anew
+    (some are gone, some new), and with other texts, orders and scores."""
+    cols = ["doc", "idx", "x1", "y1", "x2", "y2", "label"]
+    a = boxes(spark, d).select(*cols, "mark", "l_suppkey", F.concat(F.lit("part "), F.col("l_suppkey").cast("string")).alias("content"), F.when(F.col("mark") == "F", F.col("idx") * 2).alias("order"), (F.col("l_discount") * 10).alias("score"))
+    a = a.withColumn("content", F.when(F.col("l_suppkey") % 6 == 0, "<td> </td>").otherwise(F.col("content")))
+    seen = a.where("NOT (label = 'N' AND mark = 'O')")
+    text_ = F.when(F.col("l_suppkey") % 4 == 0, "").when(F.col("l_suppkey") % 3 == 0, F.concat("content", F.lit(" x"))).otherwise(F.concat(F.lit("<b>"), "content", F.lit("</b>")))
+    b = seen.withColumns({"x1": F.col("x1") + F.col("l_suppkey") % 23 - 5, "y2": F.col("y2") + F.col("l_suppkey") % 3, "content": text_, "score": F.col("score") + (F.col("l_suppkey") % 5 - 2) / 50})
+    b = b.unionByName(seen.where("idx % 3 = 1").withColumns({"idx": F.col("idx") - 0.5, "x1": F.col("x1") + 3000, "x2": F.col("x2") + 3000}))
+    b = b.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("idx")))
+    b = b.withColumn("order", F.when(F.col("order").isNotNull(), F.col("idx") * 2))
+    return tuple(jobs.block_scores(r.select(*cols, "content", "order"), r.select("doc", "idx", "x1", "y1", "x2", "y2", "score"), "doc", "idx") for r in (a, b))
+
+
 @query("job23_table_compare")
 def job23(spark, d):
     gt, html = compared_tables(spark, d)

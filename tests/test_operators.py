@@ -300,3 +300,84 @@ def test_table_compare_query_equals_plain(spark, sf_dir):
     assert got == {d: plain_compare(rows, page.get(d)) for d, rows in want.items()}
     for k in ("missing_rows", "spurious_rows", "name_errors", "numeric_errors"):
         assert any(r[k] for r in got.values())
+
+
+def plain_diff(a, b):
+    """Changes of one document: rows as dicts in order of idx."""
+    import re
+
+    bare = lambda t: re.sub(r"\s+", "", re.sub(r"<[^>]+>", "", t))
+    used, out = set(), []
+    for x in a:
+        near = [(sum(abs(x[c] - y[c]) for c in ("x1", "y1", "x2", "y2")), j) for j, y in enumerate(b) if j not in used]
+        d, j = min(near, default=(99, None))
+        if d >= 60:
+            out.append((x["idx"], None, "only_a"))
+            continue
+        used.add(j)
+        y = b[j]
+        s, t = bare(x["content"]), bare(y["content"])
+        kinds = ["filled" if not s else "emptied" if not t else "text_changed"] if s != t else []
+        if x["score"] is not None and y["score"] is not None and abs(y["score"] - x["score"]) > 0.02:
+            kinds.append("score_up" if y["score"] > x["score"] else "score_down")
+        out += [(x["idx"], y["idx"], k) for k in kinds + (["order_changed"] if x["order"] != y["order"] else [])]
+    return out + [(None, y["idx"], "only_b") for j, y in enumerate(b) if j not in used]
+
+
+BLOCK = "doc int, idx int, x1 double, y1 double, x2 double, y2 double, label string, content string, order int, score double"
+
+
+def runs_of(a, b):
+    out = []
+    for df in (a, b):
+        by = {}
+        for r in df.orderBy("doc", "idx").collect():
+            by.setdefault(r.doc, []).append(r.asDict())
+        out.append(by)
+    return {d: plain_diff(out[0].get(d, []), out[1].get(d, [])) for d in set(out[0]) | set(out[1])}
+
+
+def test_runs_are_matched_by_place(spark):
+    at = lambda y: (0.0, float(y), 100.0, y + 20.0)
+    a = spark.createDataFrame([
+        (1, 0, *at(0), "text", "one", 1, 0.9), (1, 1, *at(100), "text", "", 2, 0.5), (1, 2, *at(200), "table", "<td>x</td>", 3, None), (1, 3, *at(300), "text", "same  text", None, 0.5), (1, 4, *at(900), "text", "gone", 5, 0.5),
+        (2, 0, *at(0), "text", "alone", 1, 0.5)], BLOCK)
+    b = spark.createDataFrame([
+        (1, 0, *at(500), "text", "new", 0, 0.5), (1, 1, *at(3), "text", "ONE", 2, 0.95), (1, 2, *at(99), "text", "now", 2, 0.49), (1, 3, *at(201), "table", "<td> </td>", 3, 0.7), (1, 4, *at(300), "text", "same <b>text</b>", None, 0.3)], BLOCK)
+    changes, summary = jobs.diff_runs(a, b, "doc", "idx")
+    got = sorted((r.doc, r.a_idx, r.b_idx, r.change) for r in changes.where("doc = 1 AND a_idx IS NOT NULL AND b_idx IS NOT NULL").collect())
+    assert got == [(1, 0, 1, "order_changed"), (1, 0, 1, "score_up"), (1, 0, 1, "text_changed"), (1, 1, 2, "filled"), (1, 2, 3, "emptied"), (1, 3, 4, "score_down")]
+    assert sorted((r.change, r.a_idx, r.b_idx) for r in changes.where("a_idx IS NULL OR b_idx IS NULL").collect()) == [("only_a", 0, None), ("only_a", 4, None), ("only_b", None, 0)]
+    assert {(r.doc, r.blocks_a, r.blocks_b, r.filled, r.only_a, r.only_b) for r in summary.collect()} == {(1, 5, 5, 1, 1, 1), (2, 1, 0, 0, 1, 0)}
+    by = {(r.a_idx, r.change): r for r in changes.where("doc = 1").collect()}
+    assert by[0, "score_up"].delta == 0.05 and by[1, "filled"].chars == 3 and (by[0, "text_changed"].a, by[0, "text_changed"].b) == ("one", "ONE")
+    layout = spark.createDataFrame([(1, 0, 4.0, 0.0, 100.0, 20.0, 0.1), (1, 1, 0.0, 0.0, 100.0, 20.0, 0.2), (1, 2, 0.2, 0.0, 100.0, 20.0, 0.3), (1, 3, 4.2, 0.0, 100.0, 20.0, 0.4)], "doc int, idx int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert [r.score for r in jobs.block_scores(a.where("doc = 1").drop("score"), layout, "doc", "idx").orderBy("idx").collect()] == [0.4, None, None, None, None]
+
+
+def test_diff_blocks_query_equals_plain(spark, sf_dir):
+    from docq.plans import q_more
+
+    a, b = q_more.two_runs(spark, sf_dir)
+    want = runs_of(a, b)
+    kinds = ("text_changed", "score_up", "score_down", "filled", "emptied", "order_changed", "only_a", "only_b")
+    got = {r.doc: [r[k] for k in kinds] for r in q_more.job22_blocks(spark, sf_dir).collect()}
+    assert got == {d: [sum(c[2] == k for c in rows) for k in kinds] for d, rows in want.items()}
+    assert all(sum(c) for c in zip(*[v for v in got.values()], strict=True))
+
+
+def test_upload_mix(spark):
+    rows = "doc int, images array<string>, answer string"
+    small = spark.createDataFrame([(i, [f"r/{i}.jpg"], "old") for i in range(20)], rows)
+    large = spark.createDataFrame([(i, [f"d/{i}.jpg"], "doc") for i in range(100, 160)], rows)
+    blocks = spark.createDataFrame([(i, 0, "table", "<table><tr><td colspan='2'>x</td></tr></table>", [0.0], 0) for i in range(15)], "doc int, pos int, label string, content string, bbox array<double>, order_key int")
+    have = spark.createDataFrame([(f"r/{i}.jpg",) for i in range(19)] + [(f"d/{i}.jpg",) for i in range(100, 160)], "ref string")
+    mix, shares, missing = jobs.upload_mix(small, large, blocks, have, "doc", repeat=3, n_large=30, val=16)
+    got = mix.collect()
+    val = {r.doc for r in got if r.split == "val"}
+    train = [r.doc for r in got if r.split == "train"]
+    assert sum(d < 20 for d in val) == 8 and sum(d >= 100 for d in val) == 8 and not val & set(train)
+    assert sorted(d for d in train if d < 20) == sorted([d for d in range(20) if d not in val] * 3) and len(set(train)) == 12 + 30 and len(train) == 36 + 30
+    assert all(r.regenerated == (r.doc < 15) and (r.answer == "old" if 15 <= r.doc < 20 else "<td" in r.answer if r.doc < 15 else r.answer == "doc") for r in got)
+    assert {(r.split, r.source, r.n, round(r.share, 4)) for r in shares.collect()} == {("train", "small", 36, round(36 / 66, 4)), ("train", "large", 30, round(30 / 66, 4)), ("val", "small", 8, 0.5), ("val", "large", 8, 0.5)}
+    assert [tuple(r) for r in missing.collect()] == [("r", 1)]
