@@ -238,14 +238,26 @@ def row_alignment(df: DataFrame, doc: str, gt: str, pred: str) -> DataFrame:
     return df.select(doc, F.explode(seq_align(gt, pred)).alias("m")).select(doc, "m.gt_row", "m.pred_row")
 
 
-def find_labeled(cells_: DataFrame, doc: str, keys: tuple[str, ...], name: str) -> DataFrame:
+def find_labeled(cells_: DataFrame, doc: str, keys: tuple[str, ...], name: str, texts: DataFrame | None = None, text: str = "text") -> DataFrame:
     """doc, name: in the first row whose cells hold one of the keys and a whole
-    number after the first cell, that number.  cells_: doc, row, col, text."""
+    number after the first cell (or in it, if it is the only one), that number; else,
+    with texts, the last number of the first line that holds a key and a number.
+    cells_: doc, row, col, text; texts: doc and a column of lines."""
+
+    def holds(c: Column) -> Column:
+        hit = F.lit(False)
+        for k in keys:
+            hit = hit | F.replace(c, F.lit(" "), F.lit("")).contains(k)
+        return hit
+
     rows = cells_.groupBy(doc, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c")).withColumn("t", F.col("c.text"))
-    joined = F.replace(F.array_join("t", ""), F.lit(" "), F.lit(""))
-    hit = F.lit(False)
-    for k in keys:
-        hit = hit | joined.contains(k)
-    numbers = F.filter(F.transform(F.slice("t", 2, 1000), lambda x: F.regexp_replace(x, "[, ]", "")), lambda x: x.rlike("^-?[0-9]+$"))
-    found = rows.where(hit).select(doc, "row", F.get(numbers, F.lit(0)).cast("bigint").alias("v")).where("v is not null")
-    return found.groupBy(doc).agg(F.min_by("v", "row").alias(name))
+    right = F.when(F.size("t") > 1, F.slice("t", F.lit(2), F.size("t"))).otherwise(F.col("t"))
+    numbers = F.filter(F.transform(right, lambda x: F.regexp_replace(x, "[, ]", "")), lambda x: x.rlike("^-?[0-9]+$"))
+    found = rows.where(holds(F.array_join("t", ""))).select(doc, "row", F.get(numbers, F.lit(0)).cast("bigint").alias("v")).where("v is not null")
+    found = found.groupBy(doc).agg(F.min_by("v", "row").alias(name))
+    if texts is None:
+        return found
+    lines = texts.select(doc, F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line", "t")).where(holds(F.col("t")))
+    last = F.replace(F.element_at(F.regexp_extract_all("t", F.lit("-?[0-9][0-9,]*"), F.lit(0)), -1), F.lit(","), F.lit(""))
+    told = lines.where(F.col("t").rlike("[0-9]")).groupBy(doc).agg(F.min_by(last, "line").cast("bigint").alias("told_"))
+    return found.join(told, doc, "full_outer").select(doc, F.coalesce(name, "told_").alias(name))

@@ -145,11 +145,16 @@ def sca25(spark, d):
     total, sub = F.round("o_totalprice").cast("bigint"), F.round(F.col("o_totalprice") / 1.1).cast("bigint")
     tax = total - sub + F.when(F.col("o_orderstatus") == "P", 7).otherwise(0)
     cell = lambda k, v: F.concat(F.lit(f"<tr><td>{k}</td><td>x</td><td>"), F.format_string("%,d", v), F.lit("</td></tr>"))
-    html = o.select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("<table>"), cell("sub total", sub), cell("vat", tax), cell("grand sum", total), F.lit("</table>")).alias("html"))
-    cells = tables.plain_cells(html, "doc", "html")
-    out = tables.find_labeled(cells, "doc", ("subtotal",), "subtotal")
+    # Of some orders the total stands in a line below the table, of some the tax beside no number in it.
+    below = F.col("o_orderstatus") == "F"
+    vat = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<tr><td>vat</td></tr><tr><td>"), F.format_string("%,d", tax), F.lit("</td></tr>"))).otherwise(cell("vat", tax))
+    html = F.concat(F.lit("<table>"), cell("sub total", sub), vat, F.when(below, "").otherwise(cell("grand sum", total)), F.lit("</table>"))
+    text_ = F.concat_ws("\n", F.lit("receipt 17"), F.when(below, F.format_string("Grand sum 10: see grand sum %,d won", total)), F.when(F.col("o_orderkey") % 3 == 0, F.format_string("vat 10 %% %,d", tax)))
+    page = o.select(F.col("o_orderkey").alias("doc"), html.alias("html"), text_.alias("text"))
+    cells, texts = tables.plain_cells(page, "doc", "html"), page.select("doc", "text")
+    out = tables.find_labeled(cells, "doc", ("subtotal",), "subtotal", texts)
     for name, keys in (("tax", ("vat", "tax")), ("total", ("grandsum",))):
-        out = out.join(tables.find_labeled(cells, "doc", keys, name), "doc", "left")
+        out = out.join(tables.find_labeled(cells, "doc", keys, name, texts), "doc", "left")
     return rules.tenth(rules.sums_up(out, ("subtotal", "tax"), "total", "sum_ok"), "subtotal", "tax", "tenth_ok")
 
 

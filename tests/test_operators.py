@@ -381,3 +381,14 @@ def test_upload_mix(spark):
     assert all(r.regenerated == (r.doc < 15) and (r.answer == "old" if 15 <= r.doc < 20 else "<td" in r.answer if r.doc < 15 else r.answer == "doc") for r in got)
     assert {(r.split, r.source, r.n, round(r.share, 4)) for r in shares.collect()} == {("train", "small", 36, round(36 / 66, 4)), ("train", "large", 30, round(30 / 66, 4)), ("val", "small", 8, 0.5), ("val", "large", 8, 0.5)}
     assert [tuple(r) for r in missing.collect()] == [("r", 1)]
+
+
+def test_labeled_numbers_beside_and_below_tables(spark):
+    rows = {1: [["sum", *["x"] * 1500, "7"]], 2: [["s um 8"], ["sum"], ["sum", "9", "10"]], 3: [["x", "1"]], 4: [["sum", "n/a"]], 6: [["x", "2"]]}
+    rows |= {7: [["1 2, 3"]]}
+    c = spark.createDataFrame([(d, r, i, x) for d, t in rows.items() for r, cells in enumerate(t) for i, x in enumerate(cells)], "doc int, row int, col int, text string")
+    lines = {1: "sum 99", 3: "a 4\ns u m: none\nthe sum of 10 is -1,200 won\nsum 5", 4: "sum\r\nsum 3", 5: "sum 6", 6: "no key 7"}
+    texts = spark.createDataFrame(list(lines.items()), "doc int, text string")
+    got = lambda *a: {r.doc: r.v for r in tables.find_labeled(c, "doc", ("sum",), "v", *a).collect()}
+    assert got() == {1: 7, 2: 9} and got(texts) == {1: 7, 2: 9, 3: -1200, 4: 3, 5: 6}
+    assert {r.doc: r.v for r in tables.find_labeled(c, "doc", ("12",), "v").collect()} == {7: 123}
