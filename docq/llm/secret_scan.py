@@ -52,20 +52,26 @@ EXTRA = (
     Rule("forge", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", 0),
 )
 RULES = BASE + EXTRA
-LEDGER = "blob binary, scanned array<string>, spans array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+LEDGER = "blob binary, scanned array<string>, spans array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string>>"
 
 
 def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def by_rule(rule: Rule, order: int, text: Column) -> Column:
+    """The rule's spans with its key."""
+    return F.transform(of_kind(rule.kind, order, rule.spans(text)), lambda s: s.withField("rule", F.lit(rule.key)))
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows) of all versions of all paths.
 
     versions: a path id and a text for each version; other columns are not read.
     findings: doc_id, blob, spans (start, rank, end, kind; by start, then order
     of rules), one row for each row of versions, found now or earlier by the
-    given rule versions.  ledger: rows that earlier runs returned.
+    given rule versions.  ledger: rows that earlier runs returned; its spans also
+    name the rule version that found them, and those of other versions stay out.
 
     Null text is the empty blob; a null id is kept; repeated rows and equal
     texts share a blob, scanned once.  An empty table gives empty results.
@@ -84,20 +90,19 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     # Text moves once, to the one path of each unseen blob that stands for it.
     todo_ = todo.select(F.col("carrier").alias("c_"), F.col("blob").alias("b_"), "rules").hint("shuffle_hash")
     body = text.join(todo_, F.col("id").eqNullSafe(F.col("c_")) & (F.col("blob") == F.col("b_")))
-    found = [F.when(F.array_contains("rules", r.key), of_kind(r.kind, i, r.spans(F.col("text")))).otherwise(F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")) for i, r in enumerate(rules)]
+    found = [F.when(F.array_contains("rules", r.key), by_rule(r, i, F.col("text"))).otherwise(F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string>>)")) for i, r in enumerate(rules)]
     hits = body.select("blob", reduce(F.concat, found).alias("spans")).where("size(spans) > 0").dropDuplicates(["blob"])
     hits = scratch.table(hits, "hits")
     fresh = todo.select("blob", F.col("rules").alias("scanned")).join(hits, "blob", "left")
-    fresh = fresh.select("blob", "scanned", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")).alias("spans"))
+    fresh = fresh.select("blob", "scanned", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string>>)")).alias("spans"))
     held = hits
     if ledger is not None:
-        kinds = F.array(*[F.lit(r.kind) for r in rules])
-        current = F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))
+        current = F.filter("spans", lambda s: F.array_contains(wanted, s["rule"]))
         old = ledger.where(F.arrays_overlap("scanned", wanted)).select("blob", current.alias("spans"))
         held = held.union(old).where("size(spans) > 0").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     out = paths.join(held.withColumnRenamed("blob", "b_"), F.expr("blob = b_"), "left")
-    none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")
-    return out.select(F.col("id").alias("doc_id"), "blob", F.sort_array(F.coalesce("spans", none)).alias("spans")), fresh
+    none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string>>)")
+    return out.select(F.col("id").alias("doc_id"), "blob", F.transform(F.sort_array(F.coalesce("spans", none)), lambda s: s.dropFields("rule")).alias("spans")), fresh
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
