@@ -10,7 +10,8 @@ by length and position (the window's first word at the token's place less its
 offset, inside the document) before its words are compared one by one.
 
 The item side is held in tasks as sorted arrays of at most `index_windows`
-windows; a larger benchmark is joined in as many blocks, each over all documents.
+windows; a larger benchmark is counted in as many blocks, each over all
+documents, and the arrays of all blocks are then held at once.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def hit_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     found = []
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block)
-        # At most about index_windows rows: this block's index.
+        # About index_windows rows: this block's index; those of all blocks are held to the end.
         held = part.groupBy("win").agg(F.first("k").alias("k"), F.first("words").alias("words"), F.first("tokens").alias("tokens"), F.collect_set("item").alias("items")).collect()
         vocab: dict[int, set] = defaultdict(set)
         for r in held:
