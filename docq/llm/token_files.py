@@ -5,13 +5,15 @@ partition writes two files into a folder of a file system that all executors
 share: `part-P.ids`, all token ids of its texts one after another (16-bit where
 the vocabulary allows, else 32-bit, little-endian), and `part-P.off`, the
 64-bit offsets at which its texts begin, and the end.  Partition bases, the
-prefix sums of their counts, make offsets global; a reader maps the files and
-never loads them.  A task writes under a name of its own attempt and moves the
+prefix sums of their counts, make offsets global; a reader maps the files (on a
+file system that is not local it reads the range of a document) and never loads
+them.  A task writes under a name of its own attempt and moves the
 finished file, so a repeated or lost attempt leaves nothing half-written.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -25,109 +27,205 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docq.llm.scratch import Scratch
-
-#: Words whose ids one worker remembers.
-CACHE = 800_000
+from docq.llm.words import U, _powers, buffers, mix
+
+#: Pieces in one generation of a worker's memory; there are two generations.
+CACHE = 500_000
+#: Characters encoded at once.
+STEP = 2 << 20
+#: Bytes of text in one part.
+PART_BYTES = 64 << 20
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
+_BMP = 1 << 16
+#: Endings that a byte-level tokenizer keeps with their apostrophe.
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 _encoders: dict = {}
-# Odd texts are cut only here; white space as Python knows it holds that of the tokenizer.
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
-
-
-def plain(text: str) -> bool:
-    """Whether white space is only single spaces and line ends, each between other characters."""
-    return (
-        "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text
-        and text[:1] not in (" ", "\n") and text[-1:] not in (" ", "\n") and text.replace("\n", "").isprintable()
-    )
+# Long and odd texts are cut only here.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Known(dict):
-    """Ids by word; a word that is not there is noted and gives None."""
+    """Ids by piece, in two generations of at most `most` pieces each.
 
-    def __init__(self):
-        super().__init__()
-        self.missed: list[str] = []
+    A full generation becomes the old one, whose pieces come back when they are
+    seen again; pieces that were not are forgotten with it.
+    """
 
-    def __missing__(self, word: str) -> None:
-        self.missed.append(word)
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def ids(self, piece: str) -> bytes | None:
+        found = self.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is not None:
+                self.keep(piece, found)
+        return found
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where it
+    is printable, else the next one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
+    return {b: chr(others.get(b, b)) for b in range(256)}
+
+
+def character_kinds(pre_tokenizer) -> np.ndarray:
+    """The kind of each character of the basic plane, as the tokenizer itself cuts
+    it off its neighbours."""
+    kinds = np.full(_BMP + 1, UNKNOWN, dtype=np.uint8)
+    for c in [*range(0xD800), *range(0xE000, _BMP)]:
+        cut = [span[0] for _, span in pre_tokenizer.pre_tokenize_str(f"a{chr(c)}1 {chr(c)}x")]
+        # The cuts of "ac1 cx": where they fall tells what c goes with.
+        kinds[c] = {(0, 2, 3): LETTER, (0, 1, 3, 5): NUMBER, (0, 1, 2, 3, 5): OTHER, (0, 1, 2, 3, 4, 5): SPACE}.get(tuple(cut), UNKNOWN)
+    kinds[0x20] = SPACE
+    return kinds
+
+
+def piece_starts(codes: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level tokenizing begin, in texts that lie one after
+    another in `codes` (code points) from `begins` on, none of them empty.
+
+    A run of letters, of numbers or of other characters is a piece, with one
+    space before it; an apostrophe that starts a piece takes an ending with it;
+    of white space before a piece the last character stands alone.
+    """
+    n = len(codes)
+    first = np.zeros(n + 1, dtype=bool)
+    first[begins] = True
+    first[n] = True
+    change = first[:n].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    blank_before = np.zeros(n, dtype=bool)
+    blank_before[1:] = codes[:-1] == 0x20
+    blank_before &= ~first[:n]
+    start = change & (space | ~blank_before)
+    # The last white space of a run that does not end its text.
+    start[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]
+    quote = np.flatnonzero(start & (codes == 0x27))
+    for ending in _ENDINGS:
+        at = quote[quote + len(ending) < n]
+        for j, c in enumerate(ending, 1):
+            at = at[(codes[at + j] == ord(c)) & ~first[at + j]]
+        start[at + 1] = False
+        after = at + 1 + len(ending)
+        start[after[after < n]] |= ~(blank_before[after[after < n]] & (kind[after[after < n]] != SPACE))
+    start[begins] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """Ids of texts, equal to the tokenizer's own.
 
-    A byte-level tokenizer begins a new piece before a single space between
-    other characters, takes a line end between them for a piece of its own, and
-    parts letters or digits from punctuation; so words are encoded once, with
-    the space before them and without a last stop or comma, and remembered.
+    A byte-level tokenizer merges bytes inside pieces only.  Texts are cut into
+    pieces as columns of code points; of each distinct piece the vocabulary's
+    merges are asked once, then its ids are remembered.  Texts with added tokens
+    or with characters beyond the basic plane, and all texts of other kinds of
+    tokenizers, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
-        self.newline = self._bytes([self.line])
-        self.stops = {c: self._bytes(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,"}
-        self.known = {"": Known(), " ": Known()}  # by what stands before the word
+        spec = json.loads(self.tok.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        self.by_pieces = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.kinds = character_kinds(self.tok.pre_tokenizer) if self.by_pieces else np.zeros(0, np.uint8)
+        # Surrogates, which no text holds, are the only characters of no kind.
+        self.by_pieces = self.by_pieces and not (np.delete(self.kinds[:_BMP], np.s_[0xD800:0xE000]) == UNKNOWN).any()
+        self.letters, self.known = _byte_letters(), Known(cache)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space but a first space, many in one call."""
-        out = []
-        for at in range(0, len(words), 2000):
-            ids = np.array(self.tok.encode("\n".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype=self.dtype)
-            begin = 0
-            for e in np.append(np.flatnonzero(ids == self.line), len(ids)):
-                out.append(ids[begin:e].tobytes())
-                begin = e + 1
-        return out
-
-    def _learn(self, before: str) -> dict[str, bytes]:
-        """Ids of the words that were missed; they are remembered while there is room."""
-        known = self.known[before]
-        words, known.missed = set(known.missed), []
-        ends = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in self.stops and w[-2].isalnum()}
-        names = [w for w in {*(words - ends.keys()), *ends.values()} if w not in known]
-        new = dict(zip(names, self._encode_words([before + w for w in names]), strict=True))
-        out = {w: new[w] for w in words if w not in ends}
-        out |= {w: (known[stem] if stem in known else new[stem]) + self.stops[w[-1]] for w, stem in ends.items()}
-        if len(known) + len(new) + len(ends) <= CACHE:
-            known.update(new)
-            known.update(out)
-        return out
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.ids(piece)
+        if ids is None:
+            merged = self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = self._bytes([t.id for t in merged])
+            self.known.keep(piece, ids)
+        return ids
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, none of them empty, all in the basic plane."""
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        starts = piece_starts(codes, self.kinds[codes], begins[:-1])
+        ends = np.append(starts[1:], len(codes))
+        _, first, which = np.unique(hash_codes(codes, starts, ends), return_index=True, return_inverse=True)
+        ids = [self._piece(whole[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        size = np.array([len(i) for i in ids]) // self.dtype.itemsize
+        flat, head = np.frombuffer(b"".join(ids), dtype=self.dtype), np.cumsum(size) - size
+        n = size[which]
+        to = np.cumsum(n)
+        out = flat[np.repeat(head[which] - (to - n), n) + np.arange(int(to[-1]))]
+        ends_of = to[np.searchsorted(starts, begins[1:]) - 1]
+        return [out[a:b].tobytes() for a, b in zip([0, *ends_of[:-1]], ends_of, strict=True)]
 
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         """Little-endian ids of each text, with the end id after it."""
         tail = b"" if end is None else self._bytes([end])
-        head, rest = self.known[""], self.known[" "]
-        get, missed, cut = rest.__getitem__, rest.missed, []
-        for t in texts:
-            if not t or not plain(t):
-                cut.append(None)
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, held_of, size = [], [], 0
+        for i, t in enumerate(texts):
+            if not t:
                 continue
-            lines = []
-            for words in [line.split(" ") for line in t.split("\n")]:
-                first, before = words.pop(0), len(missed)
-                ids = list(map(get, words))
-                # Words are kept only where some are missing.
-                lines.append((first, head[first], words if len(missed) > before else None, ids))
-            cut.append(lines)
-        learnt_head, learnt_rest = self._learn(""), self._learn(" ")
-        out = []
-        for t, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                out.append(b"".join(self._bytes(e.ids) for e in self.tok.encode_batch(_SAFE.split(t), add_special_tokens=False)) + tail)
+            if not self.by_pieces or max(t) > "\uffff" or any(a in t for a in self.added):
+                parts = _CUT.split(t) if self.by_pieces else [t]
+                out[i] = [self._bytes(e.ids) for e in self.tok.encode_batch(parts, add_special_tokens=False)]
                 continue
-            parts = []
-            for first, i, words, ids in lines:
-                if words is not None:
-                    ids = [learnt_rest[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-                parts.append((learnt_head[first] if i is None else i) + b"".join(ids))
-            out.append(self.newline.join(parts) + tail)
-        return out
+            for part in cut_long(t):
+                if held and size + len(part) > STEP:
+                    for k, ids in zip(held_of, self._pieces(held), strict=True):
+                        out[k].append(ids)
+                    held, held_of, size = [], [], 0
+                held.append(part)
+                held_of.append(i)
+                size += len(part)
+        if held:
+            for k, ids in zip(held_of, self._pieces(held), strict=True):
+                out[k].append(ids)
+        return [b"".join(x) + tail for x in out]
+
+
+def cut_long(text: str):
+    """The text in stretches of about STEP characters, cut where pieces part anyway."""
+    at = 0
+    while len(text) - at > STEP and (m := _CUT.search(text, at + STEP)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def hash_codes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of code points; the stretches tile the codes."""
+    n = ends - starts
+    rel = np.arange(len(codes)) - np.repeat(starts, n)
+    vals = mix(codes.astype(np.uint64) + U(1)) * _powers(int(n.max()))[rel]
+    return mix(np.add.reduceat(vals, starts) + n.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def steps(texts: pa.Array, most: int = 2 * STEP):
+    """(begin, end) of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    offsets, _ = buffers(texts)
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
 
 def _encoder(path: str) -> Encoder:
@@ -145,8 +243,8 @@ def _write(tokenizer_path: str, out: str, end: int | None):
         at, offsets, rows = 0, [0], 0
         with store.open_output_stream(mine + ".ids") as ids, store.open_output_stream(mine + ".off") as off:
             for batch in batches:
-                for a in range(0, batch.num_rows, 512):
-                    piece = batch.slice(a, 512)
+                for a, b in steps(batch.column(1)):
+                    piece = batch.slice(a, b - a)
                     got = enc.encode([t or "" for t in piece.column(1).to_pylist()], end)
                     ids.write(b"".join(got))
                     n = np.array([len(g) // enc.dtype.itemsize for g in got], dtype=np.int64)
@@ -164,14 +262,14 @@ def _write(tokenizer_path: str, out: str, end: int | None):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", out: str | None = None, part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
     """Write the files of all texts; returns their folder and a table of the
     documents: doc_id, part, row (place in the part), width (bytes of an id).
 
     Documents are in ascending order of doc_id over parts and rows (null first,
     repeated rows one after another, ties by text).  Null and empty texts have
     the end id alone, or nothing.  Other columns are not read.  An empty table
-    gives an empty folder and table.
+    gives an empty table.  A part holds about part_bytes bytes of text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -179,9 +277,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
-    made = ordered.mapInArrow(_write(tokenizer_path, out, end_id), "doc_id long, part int, row long, width int")
-    return out, scratch.table(made, "documents")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    # Rows of one id, null included, spread by their texts, and equal rows by their place in the input.
+    order = ["doc_id", F.crc32(F.col("text").cast("binary")), F.monotonically_increasing_id()]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order[:2])
+    made = scratch.table(ordered.mapInArrow(_write(tokenizer_path, out, end_id), "doc_id long, part int, row long, width int"), "documents")
+    for f in store.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("_part-"):  # of an attempt that was lost
+            store.delete_file(f.path)
+    return out, made
 
 
 def _read(out: str, bases: dict[int, int]):
@@ -231,6 +336,10 @@ def part_bases(spark: SparkSession, out: str, documents: DataFrame) -> dict[int,
 
 def read_tokens(out: str, documents: DataFrame) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+    ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
+
+    documents: rows of write_tokens, any part of them, in any order; doc_id may
+    be null or repeated.  An empty table gives an empty result.
+    """
     bases = part_bases(documents.sparkSession, out, documents)
     return documents.mapInArrow(_read(out, bases), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -275,19 +276,47 @@ def test_fisher_yates():
     assert len(seen) == 6
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\ta.é'sl漢 　\x1c\0<|>1", max_size=30), max_size=6))
-def test_encoder_equals_tokenizer(texts):
+WORDS = ["a", "B", "é", "'", " ", "  ", "\n", "\t", "1", "９", "²", "«", "'s", "'ll", "'re", "ve", "\u00a0", "\u3000", "漢", "ª", "\u0301", "\r\n", ".", "\x1c", "\0", "<|endoftext|>", "🎉", "The"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map("".join), max_size=6), st.sampled_from([3, 500_000]), st.sampled_from([8, 1 << 20]))
+def test_encoder_equals_tokenizer(texts, cache, step):
     enc = token_files._encoder(q.tokenizer())
-    got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts, 2)]
+    held, token_files.STEP = (enc.known, token_files.STEP), step
+    enc.known = token_files.Known(cache)
+    try:
+        got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts, 2)]
+    finally:
+        enc.known, token_files.STEP = held
     assert got == [enc.tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_encoder_on_every_character():
+    enc = token_files._encoder(q.tokenizer())
+    texts = [f"x{c}{c}'{c} {c}1{c}\n{c}'s" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10200)])]
+    got = enc.encode(texts, None)
+    assert all(g == enc._bytes(enc.tok.encode(t, add_special_tokens=False).ids) for t, g in zip(texts, got, strict=True))
+
+
+def test_encoder_forgets_what_does_not_return():
+    known = token_files.Known(2)
+    for word in ("a", "b", "c"):
+        known.keep(word, word.encode())
+    assert known.ids("a") == b"a" and set(known) == {"c", "a"}
+    known.keep("d", b"d")
+    assert known.ids("b") is None and known.ids("c") == b"c"
+
+
 def test_token_files(spark, mixed):
     out, made = token_files.write_tokens(mixed, q.tokenizer(), 2)
     got = token_files.read_tokens(out, made).orderBy("start").collect()
     assert len(got) == len(ROWS) and got[0].doc_id is None and [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
     assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+    small, made = token_files.write_tokens(mixed, q.tokenizer(), 2, part_bytes=20)
+    names = os.listdir(small.removeprefix("file:"))
+    assert not [n for n in names if n.startswith("_")] and len(names) > 20
+    assert token_files.read_tokens(small, made).orderBy("start").collect() == got
     out, made = token_files.write_tokens(mixed.limit(0), q.tokenizer(), 2)
     assert token_files.read_tokens(out, made).count() == 0
 
