@@ -85,6 +85,34 @@ def test_near_duplicates_with_chains_and_a_large_group(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
 
 
+def test_texts_of_one_id_keep_their_own_links(spark):
+    rng = np.random.default_rng(9)
+    x, y = (" ".join(rng.choice([f"v{i}" for i in range(900)], 60)) for _ in range(2))
+    got = minhash.near_duplicates(docs(spark, [(5, x, "s"), (5, y, "s"), (2, y + " end", "s"), (3, x + " end", "s"), (5, y, "s")]), shingle_words=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 2), (5, 3)]
+
+
+@pytest.mark.parametrize("many", [1, 16])
+def test_near_duplicates_in_blocks_and_hot_buckets(spark, monkeypatch, many):
+    """Small bounds, so that blocks, second bands and hot keys all come to work."""
+    from docq.llm import scratch
+
+    for module, name, value in ((minhash, "BLOCK", 8), (minhash, "MANY_BLOCKS", many), (minhash, "HOT_ROWS", 20), (minhash, "SAMPLE", 2), (scratch, "HOT_ROWS", 20), (scratch, "BROADCAST_ROWS", 5)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(vocab, 120))
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(int(rng.integers(0, 14))):
+            t[int(rng.integers(0, len(t)))] = str(rng.choice(vocab))
+        texts.append(" ".join(t))
+    texts += [" ".join(base)] * 60 + [" ".join(rng.choice(vocab, int(rng.integers(1, 60)))) for _ in range(40)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), shingle_words=5).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
+
+
 def test_decontamination(spark, mixed):
     bench = spark.createDataFrame([(1, "Three, four FIVE six seven eight nine ten eleven twelve thirteen"), (2, None), (3, "word"), (None, "ten"), (4, "..."), (5, "word"), (10, "字")], "item_id long, text string")
     got = {r.doc_id: r for r in decontam.decontaminate(mixed, bench).collect()}
@@ -93,12 +121,36 @@ def test_decontamination(spark, mixed):
     assert got[4]["items"] == [1] and [tuple(s) for s in got[4].spans] == [(2, 12)] and got[4].n_words == 12
     assert [tuple(s) for s in got[7].spans] == [(2, 13)]
     assert got[1].n_words == 0 and got[12]["items"] == [] and got[11]["items"] == []
-    blocks = {r.doc_id: r for r in decontam.decontaminate(mixed, bench, index_windows=1).collect()}
-    assert {k: (v.n_words, v.spans, v["items"]) for k, v in blocks.items()} == {k: (v.n_words, v.spans, v["items"]) for k, v in got.items()}
+    named = bench.withColumn("item_id", F.concat(F.lit("i"), F.col("item_id").cast("string")))
+    texts = {r.doc_id: r["items"] for r in decontam.decontaminate(mixed, named).collect()}
+    assert texts == {k: [f"i{x}" for x in v["items"]] for k, v in got.items()}
+    assert sorted((r.doc_id is None, r.doc_id) for r in decontam.clean(mixed, bench).collect()) == sorted((r.doc_id is None, r.doc_id) for r in decontam.decontaminate(mixed, bench).collect() if not r["items"])
     assert all(not r["items"] for r in decontam.decontaminate(mixed, bench.limit(0)).collect())
     assert decontam.decontaminate(mixed.limit(0), bench).count() == 0
 
 
+def test_decontamination_holds_no_more_than_a_filter_of_the_benchmark(spark, monkeypatch):
+    """300,000 windows: a task's share of the benchmark stays under a fixed size."""
+    rng = np.random.default_rng(1)
+    words_ = np.array([f"w{i}" for i in range(5000)])
+    items = [(i, " ".join(rng.choice(words_, 309))) for i in range(1000)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    given_ = docs(spark, [(i, "before " + " ".join(items[i][1].split()[40 : 52 + i % 3]) + " after", "s") for i in range(0, 1000, 7)] + [(5000, items[3][1][:40], "s")])
+    sizes = []
+    init = decontam.TokenFilter.__init__
+
+    def noted(self, tokens, most_bits=1 << 22):
+        init(self, tokens, most_bits)
+        sizes.append(self.bits.nbytes)
+
+    monkeypatch.setattr(decontam.TokenFilter, "__init__", noted)
+    got = {r.doc_id: r for r in decontam.decontaminate(given_, bench).collect()}
+    assert sizes and max(sizes) <= (1 << 22) // 8
+    for i in range(0, 1000, 7):
+        assert got[i]["items"] == [i] and [tuple(s) for s in got[i].spans] == [(1, 13 + i % 3)]
+    assert got[5000]["items"] == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "", "x\\n|"]), st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "|>", "/s>", "x", "\n", "é", "INST]"]), max_size=8).map("".join)), max_size=4))
 def test_template_round_trip(turns):
