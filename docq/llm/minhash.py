@@ -8,10 +8,13 @@ number of leading zeros of that value and a few mantissa bits (HyperMinHash).
 Bands of registers propose links, the collision-corrected Jaccard estimate
 drops hopeless ones, and full shingle sets confirm the rest.
 
-Groups of copies never become all their pairs: equal sets are one class; within
-a band's bucket every class is first tested against the smallest one, links are
-merged into components, and only classes of a bucket that are still in
-different components are compared with each other, block by block.
+Groups of copies never become all their pairs: equal sets are one class, a node;
+within a band's bucket every class is first tested against the smallest one,
+links are merged into components, and only classes of a bucket that are still in
+different components are compared with each other, block by block.  In a bucket
+of more than MANY_BLOCKS blocks they are first parted by the next band they
+share.  A bucket, class or component that holds a large share of all rows is
+joined by broadcasting its one row (scratch.skew_join), not by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,16 +23,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docq.llm.components import connected_components
-from docq.llm.scratch import Scratch, bounded
+from docq.llm.scratch import HOT_KEYS, HOT_ROWS, Scratch, bounded, bounded_count, skew_join
 from docq.llm.words import NON_SPACE, U, mix, shingle_set, words_of
 
 ROUNDS = 3
 #: Rows of a bucket compared at once in one task.
 BLOCK = 2048
+#: Blocks of a bucket beyond which it is parted by a second band.
+MANY_BLOCKS = 16
+#: One class in so many is looked at to find the bands' buckets that hold very many.
+SAMPLE = 32
 #: The bits of a bucket's key that hold its band.
 BAND_BITS = 127
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64) * U(0xD1342543DE82EF95))
@@ -99,8 +106,7 @@ def estimate(sig_a, sig_b, n_a, n_b, mantissa_bits: int) -> np.ndarray:
 def _sketch(k: int, size: int, mantissa_bits: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for w in words_of(batch.column(1), NON_SPACE):
+            for w in words_of(batch.column(2), NON_SPACE):
                 b = w.bounds()
                 sets = [shingle_set(w.hashes[b[i] : b[i + 1]], k) for i in range(len(w.counts))]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -108,48 +114,85 @@ def _sketch(k: int, size: int, mantissa_bits: int):
                 sigs: list[bytes | None] = [None] * len(sets)
                 for row, i in enumerate(full):
                     sigs[i] = sig[row].tobytes()
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(w.first, len(sets)),
+                        batch.column(0).slice(w.first, len(sets)),
+                        batch.column(1).slice(w.first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(prints, pa.binary()),
+                        pa.array([_print(s) for s in sets], pa.binary()),
                         pa.array(sigs, pa.binary()),
                     ],
-                    names=["id", "n", "print", "sig"],
+                    names=["id", "key", "n", "print", "sig"],
                 )
 
     return run
 
 
+def _print(s: np.ndarray) -> bytes | None:
+    """What names a set; null for the empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sets(k: int):
+    """(node, set) of rows (node, print, text) whose text has that print: an id may name several texts."""
+
     def run(batches):
         for batch in batches:
-            for w in words_of(batch.column(1), NON_SPACE):
+            wanted = batch.column(1).to_pylist()
+            for w in words_of(batch.column(2), NON_SPACE):
                 b = w.bounds()
-                sets = [shingle_set(w.hashes[b[i] : b[i + 1]], k).view(np.int64) for i in range(len(w.counts))]
-                off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, len(sets)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "set"]
-                )
+                sets = [shingle_set(w.hashes[b[i] : b[i + 1]], k) for i in range(len(w.counts))]
+                keep = [i for i, s in enumerate(sets) if _print(s) == wanted[w.first + i]]
+                off = np.concatenate(([0], np.cumsum([len(sets[i]) for i in keep]))).astype(np.int32)
+                flat = np.concatenate([sets[i].view(np.int64) for i in keep]) if keep else np.zeros(0, np.int64)
+                nodes = batch.column(0).take(pa.array([w.first + i for i in keep], pa.int64()))
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "set"])
 
     return run
 
 
-def _band_keys(bands: int, rows: int):
-    """(key, id) for every band of every signature; the low bits of a key are its band."""
+def _keys_of(sig: np.ndarray) -> np.ndarray:
+    """Key of each band of signatures (n, bands, rows); its low bits are its band."""
+    n, bands, rows = sig.shape
     weights = mix(np.arange(1, rows + 1, dtype=np.uint64))
+    seeds = np.arange(1, bands + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+    key = mix((sig.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + seeds)
+    return (key & ~U(BAND_BITS)) | np.arange(bands, dtype=np.uint64)
+
+
+def _signatures(column: pa.Array, bands: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), bands, -1)
+
+
+def _band_keys(bands: int):
+    """(key, id) for every band of the signature of rows (id, sig)."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys = _keys_of(_signatures(batch.column(1), bands)).view(np.int64)
+                for j in range(bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), batch.column(0)], names=["key", "id"])
+
+    return run
+
+
+def _second_bands(bands: int):
+    """(key, sub, run, id) of rows (key, id, sig) for every band after the key's own."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, bands, rows)
-            for j in range(bands):
-                key = mix((sig[:, j, :].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) + U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                key = (key & ~U(BAND_BITS)) | U(j)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "id"])
+            keys = _keys_of(_signatures(batch.column(2), bands))
+            own = batch.column(0).to_numpy()
+            for j in range(1, bands):
+                rows = np.flatnonzero((own & BAND_BITS) < j)
+                both = mix(mix(own[rows].view(np.uint64)) ^ keys[rows, j])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), j, np.int32)), pa.array(both.view(np.int64)), batch.column(1).take(pa.array(rows))],
+                    names=["key", "sub", "run", "id"],
+                )
 
     return run
 
@@ -171,10 +214,11 @@ def _hopeful(mantissa_bits: int, least: float):
     return run
 
 
-def _hopeful_pairs(rows, band: int, bands: int, mantissa_bits: int, least: float, percent: int):
+def _hopeful_pairs(rows, band: int, sub: int, bands: int, mantissa_bits: int, least: float, percent: int):
     """(x, y) of a bucket's rows (block, id, root, n, sig, ...) in different
     components and, where there are two, different blocks, whose sizes and
-    estimate allow a link; each pair in the first band that it shares."""
+    estimate allow a link; each pair in the first band that it shares, and in
+    the second one where the bucket is parted by that."""
     block, root, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 2, 3))
     sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
     two = block.min() != block.max()
@@ -188,12 +232,16 @@ def _hopeful_pairs(rows, band: int, bands: int, mantissa_bits: int, least: float
             y = y[estimate(sig[[x]], sig[y], n[[x]], n[y], mantissa_bits) >= least]
         if len(y):
             same = (sig[y].reshape(len(y), bands, -1) == sig[x].reshape(1, bands, -1)).all(axis=2)
-            for z in y[same.argmax(axis=1) == band]:
+            good = same.argmax(axis=1) == band
+            if sub >= 0:
+                same[:, band] = False
+                good &= same.argmax(axis=1) == sub
+            for z in y[good]:
                 yield x, int(z)
 
 
 def _runs(work, columns: list[tuple[str, pa.DataType]]):
-    """work(key, rows) for each run of rows (key, i, j, ...), sorted by these three."""
+    """work(at, rows) for each run of rows (run, i, j, key, sub, ...), sorted by the first three; at is all five."""
 
     def run(batches):
         held, at, out = [], None, []
@@ -202,11 +250,11 @@ def _runs(work, columns: list[tuple[str, pa.DataType]]):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
 
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != at:
+            for a, i, j, key, sub, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None or (a, i, j) != at[:3]:
                     if len(held) > 1:
                         out.extend(work(at, held))
-                    held, at = [], (key, i, j)
+                    held, at = [], (a, i, j, key, sub)
                 held.append(row)
             yield batch_of(out)
             out = []
@@ -217,15 +265,18 @@ def _runs(work, columns: list[tuple[str, pa.DataType]]):
     return run
 
 
+RUN = "run bigint, i int, j int, key bigint, sub int, block int, id bigint, root bigint, n bigint, sig binary"
+_RUN_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
 def _open(bands: int, mantissa_bits: int, least: float, percent: int):
-    """The rows (key, i, j, block, id, root, n, sig) that have a hopeful partner in their run: no more than came in."""
+    """The rows (RUN) that have a hopeful partner in their run: no more than came in."""
 
     def work(at, rows):
-        has = {z for pair in _hopeful_pairs(rows, at[0] & BAND_BITS, bands, mantissa_bits, least, percent) for z in pair}
+        has = {z for pair in _hopeful_pairs(rows, at[3] & BAND_BITS, at[4], bands, mantissa_bits, least, percent) for z in pair}
         return [(*at, *rows[z]) for z in sorted(has)]
 
-    ints = [("key", 64), ("i", 32), ("j", 32), ("block", 32), ("id", 64), ("root", 64), ("n", 64)]
-    return _runs(work, [*((c, pa.int64() if b == 64 else pa.int32()) for c, b in ints), ("sig", pa.binary())])
+    return _runs(work, [(name, _RUN_TYPES[kind]) for name, kind in (c.split() for c in RUN.split(", "))])
 
 
 def _linked(bands: int, mantissa_bits: int, least: float, percent: int):
@@ -242,7 +293,7 @@ def _linked(bands: int, mantissa_bits: int, least: float, percent: int):
 
         out = []
         sets = {}
-        for x, z in _hopeful_pairs(rows, at[0] & BAND_BITS, bands, mantissa_bits, least, percent):
+        for x, z in _hopeful_pairs(rows, at[3] & BAND_BITS, at[4], bands, mantissa_bits, least, percent):
             a, b = find(rows[x][2]), find(rows[z][2])
             if a == b:
                 continue
@@ -279,57 +330,55 @@ def near_duplicates(
 
     Null, empty or wordless text: no shingles, linked with nothing, kept.  Null
     id: not linked, component null, kept.  Repeated rows and equal texts share
-    a component; the id is taken to name one text.  Other columns of docs are
-    not read.  An empty table gives an empty result.
+    a component.  Several texts under one id are several documents, each with
+    its own links; column `key` (decontam.text_key) tells them apart.  Other
+    columns of docs are not read.  An empty table gives an empty result.
 
     At similarity `threshold` = 0.8 a link escapes all bands with chance
-    (1 - 0.8**7)**60 = 7e-7; `slack` is over five standard errors of the estimate.
-    Seven rows a band keep texts that merely share a passage out of each other's
-    buckets.
+    (1 - 0.8**7)**60 = 7e-7, and all but one, which is too few in a bucket of
+    more than MANY_BLOCKS blocks, with 1.2e-5; `slack` is over five standard
+    errors of the estimate.  Seven rows a band keep texts that merely share a
+    passage out of each other's buckets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     percent, size, least = round(threshold * 100), bands * rows, threshold - slack
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    every = scratch.table(text.mapInArrow(_sketch(shingle_words, size, mantissa_bits), "id long, n long, print binary, sig binary"), "sketch")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col), F.length(F.col(text_col))).alias("key"), F.col(text_col).alias("text"))
+    every = scratch.table(text.mapInArrow(_sketch(shingle_words, size, mantissa_bits), "id long, key long, n long, print binary, sig binary"), "sketch")
 
+    # Equal sets have equal signatures.
     usable = every.where("n > 0 and id is not null")
-    classes = usable.groupBy("print").agg(F.min("id").alias("rep"))
-    member = usable.select("id", "n", "print", "sig").join(classes, "print")
-    reps = member.where("id = rep").groupBy("id").agg(F.min("n").alias("n"), F.first("sig").alias("sig"))
-    reps = scratch.table(reps, "classes")
-
-    keys = reps.select("id", "sig").mapInArrow(_band_keys(bands, rows), "key long, id long")
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    shared = scratch.table(keys.join(hubs, "key"), "buckets")
+    classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("held"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("node").alias("id"), "n", "sig")
+
+    shared = scratch.table(_buckets(reps.select("id", "sig"), bands, scratch), "buckets")
     star = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    star = scratch.table(star, "star")
     side = {x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
     sizes_fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    hopeful = (
-        star.join(side["b"], "b")
-        .join(side["a"], "a")
-        .where(sizes_fit)
-        .select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
-        .mapInArrow(_hopeful(mantissa_bits, least), "a long, b long, est double")
-    )
-    hopeful = scratch.table(hopeful, "hopeful")
+    hubs = scratch.table(star.groupBy("a").agg(F.count("*").alias("held")).join(side["a"], "a"), "hubs")
+    hopeful = skew_join(star.join(side["b"], "b"), hubs, "a", "held", few=0, hot_keys=10_000).where(sizes_fit).select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    hopeful = scratch.table(hopeful.mapInArrow(_hopeful(mantissa_bits, least), "a long, b long, est double"), "hopeful")
+    scratch.drop(star, hubs)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """id, set of the documents named."""
-        wanted = scratch.table(ids.distinct(), "wanted")
-        sets = text.join(bounded(wanted), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"])
-        sets = scratch.table(sets, "sets")
-        scratch.drop(wanted)
-        return sets
+        """id, set of the nodes named."""
+        wanted = classes.select(F.col("node").alias("id"), "rep", "print").join(bounded(scratch.table(ids.distinct(), "ids")), "id", "left_semi")
+        wanted = scratch.table(wanted.withColumnRenamed("id", "node"), "wanted")
+        named = text.join(bounded(wanted), F.expr("id = rep")).select("node", "print", "text")
+        return scratch.table(named.mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) whose full shingle sets reach the threshold."""
+        """Pairs (a, b), a written table, whose full shingle sets reach the threshold."""
         sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        firsts = pairs.groupBy("a").agg(F.count("*").alias("held")).join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        firsts = scratch.table(firsts, "firsts")
+        both = skew_join(pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"), firsts, "a", "held", few=0, hot_keys=1000)
         same = F.size(F.array_intersect("set_a", "set_b"))
         found = both.select("a", "b", same.alias("same"), (F.size("set_a") + F.size("set_b") - same).alias("all")).where(f"100 * same >= {percent} * all")
         out = scratch.table(found.select("a", "b"), name)
-        scratch.drop(sets)
+        scratch.drop(sets, firsts)
         return out
 
     # One link for each class first: its best hub.  Most components are whole after it.
@@ -355,37 +404,73 @@ def near_duplicates(
     # Last, classes of a bucket in components that no link joins yet: those with a
     # hopeful partner get their full sets and are compared with each other.  Only
     # links leave a task, and no more than join its components.
-    rooted = with_root(shared.select("key", "id", "held"), "id", "root")
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = (
-        rooted.where("held > 2")
-        .join(split, "key", "left_semi")
-        .join(reps, "id")
-        .withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "sig")
-    )
+    rooted = scratch.table(with_root(shared.where("held > 2").select("key", "id"), "id", "root"), "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    split = scratch.table(split.select("key", F.col("rows").alias("held"), "rows"), "split")
+    unlinked = skew_join(rooted, split, "key", "rows").join(reps, "id")
+    few = F.col("held") <= BLOCK * MANY_BLOCKS
+    open_rows = _blocked(unlinked.where(few).withColumn("run", F.col("key")).withColumn("sub", F.lit(-1)))
+    if not split.where(~few).isEmpty():
+        large = scratch.table(unlinked.where(~few).select("key", "id", "sig"), "large")
+        parted = scratch.table(large.mapInArrow(_second_bands(bands), "key long, sub int, run long, id long"), "parted")
+        counts = scratch.table(parted.groupBy("run").agg(F.count("*").alias("held")).where("held > 1").withColumn("rows", F.col("held")), "runs")
+        again = with_root(skew_join(parted, counts, "run", "rows"), "id", "root").join(reps, "id")
+        open_rows = open_rows.unionByName(_blocked(again))
     how = (bands, mantissa_bits, least, percent)
-    some = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open(*how), "key long, i int, j int, block int, id long, root long, n long, sig binary")
+    some = open_rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(_open(*how), RUN)
     some = scratch.table(some, "open")
     if not some.isEmpty():
         sets = sets_of(some.select("id"))
-        full = some.join(sets, "id").select("key", "i", "j", "block", "id", "root", "n", "sig", "set")
-        joined = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(*how), "a long, b long")
+        full = some.join(sets, "id").select(*some.columns, "set")
+        joined = full.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(_linked(*how), "a long, b long")
         found.append(scratch.table(joined.distinct(), "links"))
-        scratch.drop(sets)
         links = links.union(found[-1])
         roots = connected_components(links, scratch)
-    scratch.drop(some)
-    scratch.drop(reps, shared, *found)
-
-    out = (
-        every.select("id", "n", "print")
-        .join(classes.select(F.col("print").alias("p_"), "rep"), F.expr("print = p_ and id is not null"), "left")
-        .join(roots.select(F.col("node").alias("rep_"), "root"), F.expr("rep = rep_"), "left")
-        .withColumn("component_id", F.coalesce("root", "rep", "id"))
-    )
-    return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    # A component is named by the smallest id among its classes.
+    linked = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "rep"), "node")
+    linked = scratch.table(linked, "linked")
+    names = scratch.table(linked.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("rows")), "names")
+    named = classes.select("node", "print", "rep", "held").join(skew_join(linked.select("node", "root"), names, "root", "rows").select("node", "component"), "node", "left")
+    named = scratch.table(named.where("held > 1 or component is not null").select("print", F.coalesce("component", "rep").alias("component"), "held"), "named")
+    scratch.drop(*(t for t, _ in scratch.held if t is not every and t is not named))
+
+    out = skew_join(usable.select("id", "key", "n", "print"), named, "print", "held", "left").select("id", "key", "n", F.coalesce("component", "id").alias("component_id"))
+    out = out.unionByName(every.where("n = 0 or id is null").select("id", "key", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
+
+
+def _buckets(signatures: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
+    """key, id, hub (the smallest id), held (ids) of all buckets of two ids or more.
+
+    signatures: id, sig, a written table.  Buckets that a sample of the ids shows to
+    hold very many are counted by partial sums and their hubs broadcast; all
+    others, in one shuffle.  A bucket that the sample misses is merely shuffled.
+    """
+    kind = "key long, id long"
+    keys = signatures.mapInArrow(_band_keys(bands), kind)
+    n = signatures.count()
+    hot = None
+    if n > HOT_ROWS:
+        sample = signatures.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_band_keys(bands), kind)
+        least = max(HOT_ROWS // SAMPLE, n * bands // SAMPLE // HOT_KEYS)
+        hot = scratch.table(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key"), "hot")
+        hot = None if hot.isEmpty() or not bounded_count(hot, 2 * HOT_KEYS) else F.broadcast(hot)
+    cold = keys if hot is None else keys.join(hot, "key", "left_anti")
+    bucket = Window.partitionBy("key")
+    out = cold.select("key", "id", F.min("id").over(bucket).alias("hub"), F.count("*").over(bucket).alias("held")).where("held > 1")
+    if hot is not None:
+        some = keys.join(hot, "key")
+        hubs = scratch.table(some.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("held")), "hot-hubs")
+        out = out.unionByName(some.join(F.broadcast(hubs), "key").where("held > 1").select("key", "id", "hub", "held"))
+    return out
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (run, held, key, sub, id, root, n, sig) as RUN: dealt into blocks of about
+    BLOCK rows of a run, once for each block that their own meets."""
+    return (
+        rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "sub", "block", "id", "root", "n", "sig")
     )

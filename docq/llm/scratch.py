@@ -22,16 +22,16 @@ HOT_KEYS = 50_000
 HOT_ROWS = 1000
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner", few: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner", few: int | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
     """left joined (inner or left) with right on a column; right, a written table,
     says in `count` about how many rows of left hold its key; count is not kept.
 
-    Where right has at most `few` rows it is broadcast.  Else rows of left with a
+    Where right has at most `few` rows (BROADCAST_ROWS) it is broadcast.  Else rows of left with a
     hot key, of more than HOT_ROWS rows and more than one in `hot_keys` of them
     all, are not shuffled: right's rows of these keys are broadcast, at most
     hot_keys where right has one row a key.  The rest is shuffled.
     """
-    if bounded_count(right, few):
+    if bounded_count(right, BROADCAST_ROWS if few is None else few):
         return left.join(F.broadcast(right.drop(count)), key, how)
     total = right.select(key, count).dropDuplicates([key]).agg(F.sum(count)).first()[0] or 0
     least = max(HOT_ROWS, total // hot_keys)
@@ -43,7 +43,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str
     return some.unionByName(left.join(names, key, "left_anti").join(cold, key, how))
 
 
-def bounded_count(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+def bounded_count(df: DataFrame, most: int) -> bool:
     """Whether a written table has at most so many rows."""
     return df.limit(most + 1).count() <= most
 
@@ -51,7 +51,7 @@ def bounded_count(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
 def bounded(df: DataFrame) -> DataFrame:
     """df, a written table of short rows, for broadcast where its rows are counted
     and few; as it is beyond that, for Spark to shuffle."""
-    return F.broadcast(df) if bounded_count(df) else df
+    return F.broadcast(df) if bounded_count(df, BROADCAST_ROWS) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
