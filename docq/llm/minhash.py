@@ -55,7 +55,7 @@ def compress(values: np.ndarray, mantissa_bits: int) -> np.ndarray:
 def registers(sets: list[np.ndarray], size: int, mantissa_bits: int) -> np.ndarray:
     """One row of `size` registers for each non-empty set."""
     n = len(sets)
-    lens = np.array([len(s) for s in sets])
+    lens = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(n), lens)
     empty_value = U(0xFFFFFFFFFFFFFFFF)
