@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docq.llm.components import connected_components
-from docq.llm.scratch import HOT_KEYS, HOT_ROWS, Scratch, bounded, bounded_count, skew_join
+from docq.llm.scratch import HOT_KEYS, HOT_ROWS, Scratch, bounded, skew_join
 from docq.llm.words import NON_SPACE, U, mix, shingle_set, words_of
 
 ROUNDS = 3
@@ -164,15 +164,37 @@ def _signatures(column: pa.Array, bands: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), bands, -1)
 
 
-def _band_keys(bands: int):
-    """(key, id) for every band of the signature of rows (id, sig)."""
+def _band_keys(bands: int, hot: np.ndarray | None = None, inside: bool = False):
+    """(key, id) for every band of the signature of rows (id, sig); of keys in the
+    sorted array `hot` none, or with `inside` these alone."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = _keys_of(_signatures(batch.column(1), bands)).view(np.int64)
                 for j in range(bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), batch.column(0)], names=["key", "id"])
+                    key, ids = keys[:, j], batch.column(0)
+                    if hot is not None:
+                        rows = np.flatnonzero(_member(key, hot)[1] == inside)
+                        key, ids = key[rows], ids.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), ids], names=["key", "id"])
+
+    return run
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in a sorted array, not empty, and whether it is there."""
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return at, among[at] == values
+
+
+def _with_hubs(keys: np.ndarray, hubs: np.ndarray, held: np.ndarray):
+    """(key, id, hub, held) of rows (key, id), all of whose keys are in the sorted `keys`."""
+
+    def run(batches):
+        for batch in batches:
+            at, _ = _member(batch.column(0).to_numpy(), keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hubs[at]), pa.array(held[at])], names=["key", "id", "hub", "held"])
 
     return run
 
@@ -352,7 +374,7 @@ def near_duplicates(
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = classes.select(F.col("node").alias("id"), "n", "sig")
 
-    shared = scratch.table(_buckets(reps.select("id", "sig"), bands, scratch), "buckets")
+    shared = scratch.table(_buckets(reps.select("id", "sig"), bands), "buckets")
     star = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     star = scratch.table(star, "star")
     side = {x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
@@ -404,13 +426,13 @@ def near_duplicates(
     # Last, classes of a bucket in components that no link joins yet: those with a
     # hopeful partner get their full sets and are compared with each other.  Only
     # links leave a task, and no more than join its components.
-    rooted = scratch.table(with_root(shared.where("held > 2").select("key", "id"), "id", "root"), "rooted")
+    rooted = scratch.table(with_root(shared.where("held > 2").select("key", "id", "held"), "id", "root"), "rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    split = scratch.table(split.select("key", F.col("rows").alias("held"), "rows"), "split")
-    unlinked = skew_join(rooted, split, "key", "rows").join(reps, "id")
+    split = scratch.table(split.select("key", "rows"), "split")
+    unlinked = skew_join(rooted, split, "key", "rows", "left_semi").join(reps, "id")
     few = F.col("held") <= BLOCK * MANY_BLOCKS
     open_rows = _blocked(unlinked.where(few).withColumn("run", F.col("key")).withColumn("sub", F.lit(-1)))
-    if not split.where(~few).isEmpty():
+    if not split.where(F.col("rows") > BLOCK * MANY_BLOCKS).isEmpty():
         large = scratch.table(unlinked.where(~few).select("key", "id", "sig"), "large")
         parted = scratch.table(large.mapInArrow(_second_bands(bands), "key long, sub int, run long, id long"), "parted")
         counts = scratch.table(parted.groupBy("run").agg(F.count("*").alias("held")).where("held > 1").withColumn("rows", F.col("held")), "runs")
@@ -439,29 +461,29 @@ def near_duplicates(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
 
 
-def _buckets(signatures: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
+def _buckets(signatures: DataFrame, bands: int) -> DataFrame:
     """key, id, hub (the smallest id), held (ids) of all buckets of two ids or more.
 
     signatures: id, sig, a written table.  Buckets that a sample of the ids shows to
-    hold very many are counted by partial sums and their hubs broadcast; all
-    others, in one shuffle.  A bucket that the sample misses is merely shuffled.
+    hold very many, at most 2 * HOT_KEYS, are counted by partial sums and their hubs
+    go to the tasks; all others, in one shuffle.  A bucket that the sample misses is merely shuffled.
     """
     kind = "key long, id long"
-    keys = signatures.mapInArrow(_band_keys(bands), kind)
     n = signatures.count()
-    hot = None
+    hot = np.zeros(0, np.int64)
     if n > HOT_ROWS:
         sample = signatures.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_band_keys(bands), kind)
-        least = max(HOT_ROWS // SAMPLE, n * bands // SAMPLE // HOT_KEYS)
-        hot = scratch.table(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key"), "hot")
-        hot = None if hot.isEmpty() or not bounded_count(hot, 2 * HOT_KEYS) else F.broadcast(hot)
-    cold = keys if hot is None else keys.join(hot, "key", "left_anti")
+        # Each of these keys has more than one in 2 * HOT_KEYS of the sampled rows: there are fewer of them.
+        least = max(HOT_ROWS // SAMPLE, sample.count() // (2 * HOT_KEYS))
+        hot = np.sort(np.array([r.key for r in sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()], dtype=np.int64))
+    cold = signatures.mapInArrow(_band_keys(bands, hot if len(hot) else None), kind)
     bucket = Window.partitionBy("key")
     out = cold.select("key", "id", F.min("id").over(bucket).alias("hub"), F.count("*").over(bucket).alias("held")).where("held > 1")
-    if hot is not None:
-        some = keys.join(hot, "key")
-        hubs = scratch.table(some.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("held")), "hot-hubs")
-        out = out.unionByName(some.join(F.broadcast(hubs), "key").where("held > 1").select("key", "id", "hub", "held"))
+    if len(hot):
+        some = signatures.mapInArrow(_band_keys(bands, hot, inside=True), kind)
+        hubs = sorted(some.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("held")).collect())
+        found = _with_hubs(*(np.array([h[i] for h in hubs], dtype=np.int64) for i in range(3)))
+        out = out.unionByName(some.mapInArrow(found, "key long, id long, hub long, held long").where("held > 1"))
     return out
 
 

@@ -23,7 +23,7 @@ HOT_ROWS = 1000
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner", few: int | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """left joined (inner or left) with right on a column; right, a written table,
+    """left joined (inner, left or left_semi) with right on a column; right, a written table,
     says in `count` about how many rows of left hold its key; count is not kept.
 
     Where right has at most `few` rows (BROADCAST_ROWS) it is broadcast.  Else rows of left with a
@@ -39,7 +39,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str
     if hot.isEmpty():
         return left.join(right.drop(count), key, how)
     names = F.broadcast(hot.select(key).distinct())
-    some = left.join(F.broadcast(hot) if bounded_count(hot, hot_keys) else hot, key)
+    some = left.join(F.broadcast(hot) if bounded_count(hot, hot_keys) else hot, key, "left_semi" if how == "left_semi" else "inner")
     return some.unionByName(left.join(names, key, "left_anti").join(cold, key, how))
 
 
