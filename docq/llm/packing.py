@@ -1,9 +1,9 @@
 """Conflict-constrained best-fit packing of texts into bins of fixed size.
 
 Texts are cut into pieces of at most `capacity`; a full piece is a bin by
-itself.  The other pieces are dealt into shards by a hash of their document, so
-that each shard holds about `shard_rows` pieces, and every shard is packed in
-one task, largest first.  Open bins are kept ordered by residual space; each
+itself.  The other pieces, one of each text, are dealt into shards by a hash of
+their row, so that each shard holds about `shard_rows` pieces however often a
+row repeats, and every shard is packed in one task, largest first.  Open bins are kept ordered by residual space; each
 carries a bitmap of the sources and one of the duplicate clusters inside it.
 The search starts at the successor of the piece's size and goes on until the
 tightest bin that conflicts in neither bitmap is found, else opens a bin.
@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docq.llm.scratch import Scratch
+from docq.llm.token_files import _encoder, steps
 
 
 class Bins:
@@ -91,7 +93,7 @@ def pack_shard(rows: list[tuple], capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack(capacity: int):
-    """Rows (shard, size, doc_id, piece, start, source, cluster) sorted by shard, size descending."""
+    """Rows (shard, size, row, doc_id, piece, start, source, cluster) sorted by shard, size descending."""
 
     def run(batches):
         held, at = [], None
@@ -106,17 +108,45 @@ def _pack(capacity: int):
             yield packed(held)
 
     def packed(rows):
-        where = pack_shard([(r[1], r[5], r[6]) for r in rows], capacity)
+        where = pack_shard([(r[1], r[6], r[7]) for r in rows], capacity)
         cols = [
-            pa.array([r[0] for r in rows], pa.int32()), pa.array([b for b, _ in where], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-            pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([s for _, s in where], pa.int64()),
+            pa.array([r[0] for r in rows], pa.int32()), pa.array([b for b, _ in where], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
+            pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([s for _, s in where], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["shard", "bin", "doc_id", "piece", "text_start", "length", "bin_start"])
+        return pa.RecordBatch.from_arrays(cols, names=["shard", "bin", "doc_id", "piece", "text_start", "length", "bin_start", "row"])
 
     return run
 
 
+def _places(rows: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
+    """A bin and a place in it for each piece of rows (row, doc_id, s, cluster, n), a written table."""
+    full = F.floor(F.col("n") / capacity)
+    rest = rows.where((F.col("n") % capacity > 0) | (F.col("n") == 0))
+    shards = max(1, -(-rest.count() // shard_rows))
+    shard = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int")
+    pieces = rest.select(shard.alias("shard"), (F.col("n") % capacity).alias("size"), "row", "doc_id", full.alias("piece"), (full * capacity).alias("start"), F.col("s").alias("source"), "cluster")
+    packed = (
+        pieces.repartition(shards, "shard")
+        .sortWithinPartitions("shard", F.desc("size"), "doc_id", "row")
+        .mapInArrow(_pack(capacity), "shard int, bin long, doc_id long, piece long, text_start long, length long, bin_start long, row long")
+    )
+    # Full pieces are whole bins: the row's, in a shard below zero for each piece.
+    whole = rows.where(full > 0).select("row", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full.cast("long") - 1)).alias("piece"))
+    whole = whole.select(
+        (F.lit(-1) - F.col("piece")).cast("int").alias("shard"), F.col("row").alias("bin"), "doc_id", "piece", (F.col("piece") * capacity).alias("text_start"),
+        F.lit(capacity).cast("long").alias("length"), F.lit(0).cast("long").alias("bin_start"), "row",
+    )
+    return packed.unionByName(whole)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None) -> DataFrame:
+    """docs with what packing needs: row, doc_id, s, cluster."""
+    cluster = F.xxhash64(F.col(text_col)) if cluster_col is None else F.xxhash64(F.col(cluster_col))
+    source = F.when(F.col(source_col).isNotNull(), F.xxhash64(F.col(source_col).cast("string")))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), source.alias("s"), cluster.alias("cluster"), F.col(text_col).alias("text"))
+
+
 def pack(
     docs: DataFrame,
     capacity: int = 8192,
@@ -130,39 +160,60 @@ def pack(
 
     Returns shard, bin (unique within its shard), doc_id, piece, text_start,
     length (code points of the text), bin_start (where the piece begins in its
-    bin).  No bin exceeds `capacity`, and of pieces smaller than it no bin holds
-    two of one source, of one duplicate cluster, or of one document.
+    bin), row (which row of docs, by their order in its files; repeated rows have
+    numbers of their own).  No bin exceeds `capacity`, and of pieces smaller than
+    it no bin holds two of one source, of one duplicate cluster, or of one document.
 
     cluster_col names the duplicate cluster; by default equal texts form one.
     Null and empty texts make one piece of length 0; a null source conflicts
     with nothing; repeated rows conflict as equal texts; a null id is kept.
     Other columns are not read.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
-    cluster = F.xxhash64(F.col(text_col)) if cluster_col is None else F.xxhash64(F.col(cluster_col))
-    rows = scratch.table(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(source_col).cast("string")).alias("s"), F.col(source_col).isNull().alias("no_source"),
-            cluster.alias("cluster"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n"),
-        ),
-        "rows",
-    )
-    full = F.floor(F.col("n") / capacity)
-    rest = rows.where((F.col("n") % capacity > 0) | (F.col("n") == 0))
-    shards = max(1, -(-rest.count() // shard_rows), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", F.lit(17)), F.lit(shards)).cast("int")
-    source = F.when(F.col("no_source"), None).otherwise(F.col("s"))
-    pieces = rest.select(shard.alias("shard"), (F.col("n") % capacity).alias("size"), "doc_id", full.alias("piece"), (full * capacity).alias("start"), source.alias("source"), "cluster")
-    packed = (
-        pieces.repartition(shards, "shard")
-        .sortWithinPartitions("shard", F.desc("size"), "doc_id", "cluster")
-        .mapInArrow(_pack(capacity), "shard int, bin long, doc_id long, piece long, text_start long, length long, bin_start long")
-    )
-    # Full pieces are whole bins, numbered below zero by document and piece.
-    whole = rows.where(full > 0).select("doc_id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), full.cast("long") - 1)).alias("piece"))
-    whole = whole.select(
-        F.lit(-1).alias("shard"), F.xxhash64("doc_id", "cluster", "piece").alias("bin"), "doc_id", "piece", (F.col("piece") * capacity).alias("text_start"),
-        F.lit(capacity).cast("long").alias("length"), F.lit(0).cast("long").alias("bin_start"),
-    )
-    return packed.unionByName(whole)
+    scratch = Scratch(docs.sparkSession, "packing")
+    rows = _named(docs, id_col, text_col, source_col, cluster_col).withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return _places(scratch.table(rows.drop("text"), "rows"), capacity, shard_rows)
+
+
+def _ids(tokenizer_path: str, end_id: int | None):
+    def run(batches):
+        enc = _encoder(tokenizer_path)
+        for batch in batches:
+            for a, b in steps(batch.column(4)):
+                piece = batch.slice(a, b - a)
+                got = enc.encode([t or "" for t in piece.column(4).to_pylist()], end_id)
+                off = np.concatenate(([0], np.cumsum([len(g) // enc.dtype.itemsize for g in got]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(got), enc.dtype).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:4], ids, pa.array(np.diff(off).astype(np.int64))], names=["row", "doc_id", "s", "cluster", "ids", "n"])
+
+    return run
+
+
+def pack_ids(
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = 2048,
+    end_id: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    cluster_col: str | None = None,
+    shard_rows: int = 8192,
+) -> DataFrame:
+    """Bins of token ids: shard, bin, ids (at most `capacity` of them), pieces
+    (bin_start, length, row, doc_id, piece, token_start; in order).
+
+    Texts are encoded whole, with end_id after each where it is given, and cut at
+    `capacity` ids; bins and their conflicts are those of pack.  A row's pieces in
+    order are its ids again.  Null and empty texts add no ids but the end id.
+    """
+    scratch = Scratch(docs.sparkSession, "packing")
+    named = _named(docs, id_col, text_col, source_col, cluster_col)
+    rows = scratch.table(named.mapInArrow(_ids(tokenizer_path, end_id), "row long, doc_id long, s long, cluster long, ids array<int>, n long"), "ids")
+    placed = _places(rows.drop("ids"), capacity, shard_rows).join(rows.select("row", "ids"), "row")
+    cut = F.slice("ids", (F.col("text_start") + 1).cast("int"), F.col("length").cast("int"))
+    piece = F.struct("bin_start", "length", "row", "doc_id", "piece", F.col("text_start").alias("token_start"), cut.alias("cut"))
+    # A bin holds at most `capacity` ids, and pieces of no ids at most one of each source.
+    bins = placed.groupBy("shard", "bin").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    pieces = F.transform("p", lambda x: x.dropFields("cut"))
+    return bins.select("shard", "bin", F.flatten("p.cut").alias("ids"), pieces.alias("pieces"))
