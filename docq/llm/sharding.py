@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docq.llm.scratch import BROADCAST_ROWS, Scratch
+from docq.llm.scratch import HOT_ROWS, Scratch, bounded, bounded_count
+
+
+#: Buckets whose bases (two numbers each) may be broadcast: 100 TB in the default size.
+MANY_BUCKETS = 4_000_000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -63,27 +67,34 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 42, id_col:
     and slot is the random order; equal input and seed give it again.
 
     bucket_bytes bounds what one task holds: a bucket of that many bytes of
-    text, on average.  Null texts stay null; null ids and repeated rows are
-    records like others (rows that agree in id and text may trade places);
-    other columns are not read; an empty table gives an empty result.
+    text, on average.  100 TB make 3 million buckets of the default size; give a
+    larger one where executors have the memory.  Null texts stay null; null ids
+    and repeated rows are records like others (rows that agree in id and text may
+    trade places; many of them are dealt by their place in the input, not to one
+    bucket); other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "shards")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    # Null ids and repeated ids spread by their text.
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int")
-    dealt = rows.select(bucket.alias("bucket"), "doc_id", "text").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.crc32(F.col("text").cast("binary")))
+    scratch = Scratch(docs.sparkSession, "shards")
+    crc = F.crc32(F.col("text").cast("binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("crc", crc)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    groups = scratch.table(rows.groupBy("doc_id", "crc").agg(F.count("*").alias("n"), F.sum(size).alias("size")), "groups")
+    total = groups.agg(F.sum("size"), F.sum("n")).first()
+    n, buckets = total[1] or 0, max(1, -(-(total[0] or 0) // bucket_bytes))
+    # Null ids and repeated ids spread by their text, groups of equal rows by the rows' places.
+    hot = groups.where(F.col("n") > HOT_ROWS).select(F.col("doc_id").alias("d_"), F.col("crc").alias("c_"))
+    if not hot.isEmpty():
+        rows = rows.join(bounded(hot), F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("crc").eqNullSafe(F.col("c_")), "left")
+        rows = rows.withColumn("salt", F.when(F.col("d_").isNotNull() | F.col("c_").isNotNull(), F.monotonically_increasing_id()))
+    else:
+        rows = rows.withColumn("salt", F.lit(None).cast("long"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "crc", "salt"), F.lit(buckets)).cast("int")
+    dealt = rows.select(bucket.alias("bucket"), "doc_id", "text", "crc").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "crc").drop("crc")
     written = scratch.table(dealt.mapInArrow(_shuffled(seed), "bucket int, doc_id long, text string, bucket_slot long"), "buckets")
-    counts = dict(written.groupBy("bucket").agg(F.count("*")).collect())
-    n, before = 0, []
-    for b in range(buckets):
-        before.append((b, n))
-        n += counts.get(b, 0)
     # One row a bucket: a bound by bytes of input over bucket_bytes.
-    bases = spark.createDataFrame(before, "bucket int, before long")
-    bases = F.broadcast(bases) if buckets <= BROADCAST_ROWS else bases
+    counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    bases = scratch.table(counts.select("bucket", before.alias("before")), "bases")
+    bases = F.broadcast(bases) if bounded_count(bases, MANY_BUCKETS) else bases
     placed = written.join(bases, "bucket").withColumn("at", F.col("before") + F.col("bucket_slot"))
     # Shard s takes places ceil(s * n / shards) and on.
     placed = placed.withColumn("shard", F.expr(f"cast((at * {shards}L) div {max(n, 1)}L as int)"))

@@ -221,6 +221,24 @@ def test_packing(spark, mixed):
         bins.setdefault((r.shard, r.bin), []).append(r)
     assert all(sum(r.length for r in b) <= 100 for b in bins.values())
     assert packing.pack(mixed.limit(0)).count() == 0
+    twice = docs(spark, [(5, "x" * 250, "a"), (5, "x" * 250, "a")])
+    held = {}
+    for r in packing.pack(twice, capacity=100).collect():
+        held[r.shard, r.bin] = held.get((r.shard, r.bin), 0) + r.length
+    assert sorted(held.values()) == [50, 50, 100, 100, 100, 100]
+
+
+def test_bins_of_ids_rebuild_their_documents(spark, mixed):
+    enc = token_files._encoder(q.tokenizer())
+    got = packing.pack_ids(mixed, q.tokenizer(), capacity=64, end_id=2).collect()
+    parts = {}
+    for b in got:
+        assert len(b.ids) == sum(p.length for p in b.pieces) <= 64
+        for p in b.pieces:
+            parts.setdefault((p.row, p.doc_id), []).append((p.piece, b.ids[p.bin_start : p.bin_start + p.length]))
+    ids = sorted((str(d), [x for _, i in sorted(v) for x in i]) for (_, d), v in parts.items())
+    assert ids == sorted((str(i), enc.tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, _ in ROWS)
+    assert packing.pack_ids(mixed.limit(0), q.tokenizer()).count() == 0
 
 
 def test_tightest_compatible_bin():
@@ -322,6 +340,22 @@ def test_sharding(spark, mixed):
     assert sorted(map(str, first)) == sorted(str(r) for r in spark.createDataFrame([(r.doc_id, r.shard, r.slot) for r in got], "doc_id long, shard int, slot long").collect())
 
 
+def test_orders_do_not_hang_on_settings(spark, mixed):
+    rows = mixed.union(docs(spark, [(77, "again", "s")] * 1500))
+    got = []
+    for n in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            made = sharding.external_shuffle(mixed, shards=4, bucket_bytes=4096)
+            packed = packing.pack(mixed, capacity=100)
+            got.append([sorted(map(str, df.collect())) for df in (made.select("doc_id", "shard", "slot"), packed.select("doc_id", "shard", "bin", "piece"))])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+    many = sharding.external_shuffle(rows, shards=3, bucket_bytes=4096).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in many) == len(ROWS) + 1500 and max(r["count"] for r in many) - min(r["count"] for r in many) <= 1
+
+
 def test_fisher_yates():
     assert sorted(sharding.fisher_yates(1000, 1)) == list(range(1000)) and list(sharding.fisher_yates(0, 1)) == []
     seen = {tuple(sharding.fisher_yates(3, s)) for s in range(200)}
