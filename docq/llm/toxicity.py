@@ -217,24 +217,30 @@ def fit_weights(rows, width: int, settings: Settings) -> tuple[np.ndarray, float
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most settings.max_labelled of the labelled rows, chosen by a hash of their id.
+    """Fit on at most settings.max_labelled of the labelled documents, those of
+    smallest hash of their id: the same in every run.
 
     labels: doc_id, toxic (1 or 0; null is unlabelled; of repeated ids the
-    largest).  Without labelled texts, or with one class only, the model has no
+    largest).  Of several rows of docs with one id one is fitted on, that of the
+    smallest hash of its text.  Without labelled texts, or with one class only, the model has no
     features and its bias is that class's side (0 without any).
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     y = scratch.table(y, "labels")
     n = y.count()
-    part = min(1.0, settings.max_labelled / max(n, 1))
-    chosen = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(settings.max_labelled)
+    # Half as many again as wanted, of which the first are taken.
+    part = min(1.0, (1.5 * settings.max_labelled + 1000) / max(n, 1))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = y.where(place < int(part * (1 << 30))).orderBy(place, "id").limit(settings.max_labelled)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most max_labelled ids: a proven bound.
-    rows = scratch.table(text.join(F.broadcast(chosen), "id").select("text", "y"), "training")
+    labelled = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r"))
+    rows = scratch.table(labelled.select("r.text", "r.y"), "training")
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
+        scratch.drop(rows, y)
         return Model(bias=4.0 if n1 else -4.0 if n0 else 0.0)
     counts = rows.mapInArrow(_counts(settings.gram), "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     counts = scratch.table(counts.where(F.col("n1") + F.col("n0") >= settings.min_docs), "counts")
@@ -250,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     best = counts.select("feature", ratio.alias("ratio")).where(F.col("ratio") > float(least)).orderBy(F.desc("ratio"), "feature").limit(settings.max_features)
     features = np.sort(np.array([r.feature for r in best.collect()], dtype=np.int64).view(np.uint64))
     if not len(features):
+        scratch.drop(rows, y, counts)
         return Model(bias=0.0)
     trained = rows.mapInArrow(_training(features, settings), "y int, on array<long>, plus array<array<long>>, minus array<array<long>>").collect()
     scratch.drop(rows, y, counts)

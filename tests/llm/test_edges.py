@@ -174,6 +174,19 @@ def test_chat_masks(spark):
     assert chat.format_conversations(t.limit(0), q.tokenizer()).count() == 0
 
 
+def by_sets(text, weights, bias, gram=5):
+    """The score of a text from sets of its words and n-grams, one at a time."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    found = set()
+    for word in re.findall(rb"[a-z\x80-\xff]+", low):
+        raw = np.frombuffer(word, np.uint8)
+        found.add(int(words.hash_runs(raw, np.array([0]), np.array([len(raw)]))[0]))
+        for i in range(len(word) - gram + 1):
+            g = int.from_bytes(word[i : i + gram], "big") + gram * 0x9E3779B97F4A7C15
+            found.add(int(words.mix(np.array([g % 2**64], dtype=np.uint64))[0]))
+    return 1 / (1 + np.exp(-(bias + sum(weights.get(h, 0.0) for h in found))))
+
+
 def test_toxicity(spark, mixed):
     bad = [(100 + i, f"you are a rotten{'x' * (i % 3)} person and this is text {i}", "s") for i in range(40)]
     good = [(200 + i, f"the weather today is mild and this is text {i}", "s") for i in range(60)]
@@ -183,6 +196,13 @@ def test_toxicity(spark, mixed):
     got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
     assert min(got[i] for i, _, _ in bad) > 0.7 and max(got[i] for i, _, _ in good) < 0.3
     assert all(0 <= r.score <= 1 for r in toxicity.score(mixed, model).collect())
+    plain = {h: w for h, w in zip(model.features.tolist(), model.weights, strict=True)}
+    for r in toxicity.score(mixed.union(d), model).join(mixed.union(d).select("doc_id", "text").distinct(), "doc_id").collect():
+        assert abs(r.score - by_sets(r.text or "", plain, model.bias)) < 1e-9
+    assert len(plain) > 5
+    few = toxicity.Settings(max_labelled=30)
+    models = [toxicity.fit(x, labels, few) for x in (d, d.union(d).repartition(7))]
+    assert models[0].features.tolist() == models[1].features.tolist() and np.allclose(models[0].weights, models[1].weights)
     assert toxicity.score(mixed.limit(0), model).count() == 0
     assert toxicity.fit(d, labels.limit(0)).bias == 0.0 and toxicity.fit(d, labels.where("toxic = 1")).bias > 0
 
