@@ -5,8 +5,8 @@ array of the vectors' bit strings (signs of random projections) in sorted
 order.  A query descends every tree to its longest prefix match; then all trees
 ascend together, one bit at a time, until the vectors that share a prefix of
 that length in some tree are enough candidates, which are compared exactly.
-Every vector is indexed, and every query meets every block; a block's answers
-are merged by query.
+Every vector is indexed, and every query meets every block (a stated query set
+against all rows, in blocks); a block's answers are merged by query.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def nearest(
     trees: int = 32,
     candidate_share: float = 1.0,
     least_candidates: int = 400,
-    block_rows: int = 8192,
+    block_rows: int = 4096,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -131,8 +131,7 @@ def nearest(
     smallest ids, all that any query can need.  Repeated query rows are
     answered once.  Null ids take no part.  Other columns are not read.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
+    scratch = Scratch(vectors.sparkSession, "ann")
 
     def usable(df: DataFrame) -> DataFrame:
         v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
@@ -144,9 +143,8 @@ def nearest(
     index = some.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("id", F.element_at("ids", 1))
     index = scratch.table(index.withColumn("dim", F.size("vec")), "vectors")
     asked = scratch.table(usable(queries).dropDuplicates(["id"]).withColumn("dim", F.size("vec")), "queries")
-    counts = index.groupBy("dim").agg(F.count("*").alias("n"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block_rows), F.least(F.lit(tasks), F.ceil(F.col("n") / 1024))).cast("int")).drop("n")
+    # One row a dimension: no more than the longest vector has components.
+    counts = F.broadcast(index.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
     place = index.join(counts, "dim").select(F.xxhash64("dim", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), F.lit(0).alias("kind"), "id", "ids", "vec")
     meet = asked.join(counts, "dim").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     meet = meet.select(F.xxhash64("dim", "b").alias("block"), F.lit(1).alias("kind"), "id", F.array("id").alias("ids"), "vec")
