@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Fixed values.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 BULLETS_FROM, BULLETS_TO = "○●•＊※（）－–—“”‘’", "ㅇㅇㅇ**()---\"\"''"
 BULLET_HEAD = r"^[ㅇoO0*\-–—·・•○●■□㉠①\s]+"
 REASON_KEYS = ("길이", "반복", "표")
@@ -56,17 +56,21 @@ def _span_attributes(tag: str, to: str, c: Column) -> Column:
     return F.regexp_replace(c, rf"(?i)<{tag}(?:\s(?![^>]*\b(?:row|col)span\s*=)[^>]*)?>", f"<{to}>")
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def canon(c: Column) -> Column:
-    """One spelling for texts that differ in markup only: fences and table
-    sections dropped, header cells as cells, span attributes alone kept."""
-    t = unescape(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?m)^```[a-z]*\s*|\s*```$", "")))
+    """One spelling for texts that differ in markup only: a fence around the text and
+    table sections dropped, header cells as cells, span attributes alone kept."""
+    t = unescape(_stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A\s*```[a-zA-Z]*\s*|\s*```\s*\z", "")))
     h = F.regexp_replace(t, r"(?i)<br\s*/?>", "<br/>")
     h = F.regexp_replace(h, r"(?i)</?(?:thead|tbody|tfoot)[^>]*>", "")
     h = F.regexp_replace(_span_attributes("th", "td", h), r"(?i)</th>", "</td>")
     h = _span_attributes("td", "td", h)
     h = F.regexp_replace(F.regexp_replace(h, r"(?i)<tr(?:\s[^>]*)?>", "<tr>"), r"(?i)<table(?:\s[^>]*)?>", "<table>")
     h = F.regexp_replace(F.regexp_replace(h, r">\s+<", "><"), r"\s+", " ")
-    return F.trim(F.when(t.contains("<"), h).otherwise(t))
+    return _stripped(F.when(t.contains("<"), h).otherwise(t))
 
 
 def compare_key(c: Column) -> Column:

@@ -46,10 +46,11 @@ def experiment_metrics(scores: DataFrame, model: str, cer: str, drop: DataFrame,
 
 
 def kie_weighted(docs: DataFrame, by: str) -> DataFrame:
-    """Sum of scores over sum of fields, for general, table and both, by type and in total (null)."""
+    """Sum of scores over sum of fields, for general, table and both, by type and in
+    total (null).  Scores are summed exactly, to six places, whatever their order."""
 
     def ratio(s: Column, n: Column) -> Column:
-        return F.when(F.sum(n) > 0, F.sum(s) / F.sum(n))
+        return F.when(F.sum(n) > 0, F.sum(s.cast("decimal(20,6)")).cast("double") / F.sum(n))
 
     g, t = (F.col("general_score"), F.col("general_n")), (F.col("table_score"), F.col("table_n"))
     return docs.rollup(by).agg(
@@ -57,6 +58,11 @@ def kie_weighted(docs: DataFrame, by: str) -> DataFrame:
     )
 
 
+def registry(samples: DataFrame, keys: list[str], first: list[str]) -> DataFrame:
+    """Number of samples by keys, with the least value of the columns that a group shares."""
+    return samples.groupBy(*keys).agg(F.count("*").alias("sample_count"), *[F.min(c).alias(c) for c in first])
+
+
 def kie_unweighted(docs: DataFrame, by: str) -> DataFrame:
     """Plain mean of the documents' accuracies; differs from kie_weighted."""
     acc = (F.col("general_score") + F.col("table_score")) / (F.col("general_n") + F.col("table_n"))

@@ -6,11 +6,14 @@ is a page, so its boxes are few, and no join crosses documents.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docq.functions import geom
 
@@ -124,20 +127,23 @@ def iou_match(gt: DataFrame, pred: DataFrame, doc: str, idx: str, thr: float = 0
 def walk(df: DataFrame, doc: str, order: list, names: list[str], schema: str, start, step) -> DataFrame:
     """Rows of each document in order, through step(state, row), which returns an
     output row or None; start() makes a document's state.  Rows stream through a
-    task, so a document costs no more than its state, and documents no overhead."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, start()
-        for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                if getattr(row, doc) != at:
-                    at, state = getattr(row, doc), start()
-                if (got := step(state, row)) is not None:
+    task, so a document costs no more than its state, and documents no overhead.
+    Rows with a null doc are one document."""
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            row_of = namedtuple("Row", batch.schema.names)
+            which, out = batch.schema.get_field_index(doc), []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or values[which] != at:
+                    at, state = values[which], start()
+                if (got := step(state, row_of._make(values))) is not None:
                     out.append(got)
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(made)], names=names)
 
-    return df.repartition(doc).sortWithinPartitions(doc, *order).mapInPandas(run, schema)
+    return df.repartition(doc).sortWithinPartitions(doc, *order).mapInArrow(run, schema)
 
 
 def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:

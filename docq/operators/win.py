@@ -15,16 +15,17 @@ def reading_order(blocks: DataFrame, doc: str, y: str, x: str, tie: str, base: i
 def line_group(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
     """doc, idx, line: boxes by (y1, x1); a box opens a line when its top is further
     from the line's first box than max(8, 0.6 x the page's median height).  The
-    anchor follows from what came before, so a page's boxes stream through one task."""
+    anchor follows from what came before, so a page's boxes stream through one task.
+    Boxes with a null doc are one page; a box without a top opens a line."""
     types = dict(boxes.dtypes)
     heights = boxes.groupBy(doc).agg(F.greatest(F.lit(8.0), 0.6 * F.median(F.col("y2") - F.col("y1"))).alias("tol"))
 
     def step(state, row):
-        if state[0] is None or abs(row.y1 - state[0]) > row.tol:
+        if state[0] is None or row.y1 is None or abs(row.y1 - state[0]) > row.tol:
             state[0], state[1] = row.y1, state[1] + 1
         return getattr(row, doc), getattr(row, idx), state[1]
 
-    rows = boxes.select(doc, idx, "x1", "y1").join(heights, doc)
+    rows = boxes.select(doc, idx, "x1", "y1").join(heights.withColumnRenamed(doc, "d_"), F.col(doc).eqNullSafe(F.col("d_"))).drop("d_")
     return walk(rows, doc, ["y1", "x1", idx], [doc, idx, "line"], f"{doc} {types[doc]}, {idx} {types[idx]}, line int", lambda: [None, -1], step)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,65 @@ def unseen_pool(pool: DataFrame, seen: DataFrame, on: str, doc: str, order: list
     return one_per_group(joins.unseen(pool, seen, on), doc, order).orderBy(*order).limit(n)
 
 
+def apply_review(consensus: DataFrame, verdicts: DataFrame, on: str, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(gt, blocked): labels that consensus or a reviewer settles, in one spelling, and
+    the rows that wait with the reason.  Rows whose image names an excluded label are
+    left out.  consensus: on, image, grade, parser_changed, parser, label; verdicts:
+    on, verdict, correct."""
+    out = reduce(lambda a, b: a | b, [F.coalesce(F.col("image"), F.lit("")).contains(x) for x in excluded], F.lit(False))
+    kept = consensus.where(~out)
+    gt, blocked = setops.apply_verdicts(kept, verdicts, on)
+    source = F.when(F.col("verified"), "human").otherwise("consensus")
+    return gt.join(kept.select(on, "image"), on).select(on, "image", "grade", text.canon(F.col("label")).alias("label"), "verified", source.alias("source")), blocked
+
+
+def taxonomy_tree(rows: DataFrame, tasks: DataFrame, package: str, task: str) -> tuple[DataFrame, DataFrame]:
+    """(records, registry): package rows under the category and data set of their task,
+    and a row for each file of the tree.  tasks: package, task, dataset_name, category
+    (a row for each pair).  A task that is not listed fails the job."""
+    named = rows.join(tasks, [package, task], "left")
+    unknown = F.raise_error(F.concat(F.lit("no category for task "), F.coalesce(F.col(task), F.lit("null"))))
+    records = named.withColumn("category", F.coalesce("category", unknown.cast("string")))
+    files = records.groupBy(package, "dataset_name", "category").agg(F.count("*").alias("sample_count"))
+    return records, files.withColumn("path", F.concat_ws("/", package, "dataset_name", F.concat("category", F.lit(".json"))))
+
+
+def kie_eval(scores: DataFrame, doc: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, figures): sums of scores by document, and their weighted accuracy by
+    type and in total.  scores: doc, by, part ("general" or "table"), row (of a table),
+    score (null where nothing was predicted, which counts as 0), in_gt, in_pred."""
+    score = F.coalesce("score", F.lit(0.0)).cast("decimal(20,6)")
+
+    def of(part: str, x: Column) -> Column:
+        return F.when(F.col("part") == part, x)
+
+    def rows_in(side: str) -> Column:
+        return F.count_distinct(F.when((F.col("part") == "table") & F.col(side), F.col("row")))
+
+    docs = scores.groupBy(doc, by).agg(
+        *[F.coalesce(F.sum(of(p, score)).cast("double"), F.lit(0.0)).alias(f"{p}_score") for p in ("general", "table")],
+        *[F.count(of(p, F.lit(1))).alias(f"{p}_n") for p in ("general", "table")],
+        rows_in("in_gt").alias("gt_rows"), rows_in("in_pred").alias("pred_rows"), F.count("score").alias("predicted"),
+    )
+    return docs, agg.kie_weighted(docs, by)
+
+
+def kie_low_accuracy(docs: DataFrame, scores: DataFrame, doc: str, threshold: float = 0.70) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(low, causes, fields) of kie_eval's documents: those under the threshold or
+    without a prediction; how many by cause; and of their fields the failures, most first.
+    scores as for kie_eval, with field."""
+    n = F.col("general_n") + F.col("table_n")
+    accuracy = F.when((n > 0) & (F.col("predicted") > 0), (F.col("general_score") + F.col("table_score")) / n)
+    low = docs.withColumn("accuracy", accuracy).where(accuracy.isNull() | (accuracy < threshold))
+    cause = (
+        F.when(F.col("predicted") == 0, "no_prediction").when(F.col("gt_rows") != F.col("pred_rows"), "row_mismatch")
+        .when(F.col("table_score") * F.col("general_n") < F.col("general_score") * F.col("table_n"), "table").otherwise("general")
+    )
+    low = low.withColumn("cause", cause)
+    bad = scores.join(low.select(doc), doc, "left_semi").where(F.coalesce("score", F.lit(0.0)) < 1)
+    return low, low.groupBy("cause").agg(F.count("*").alias("n")), bad.groupBy("field").agg(F.count("*").alias("failures"), F.count_distinct(doc).alias("docs"))
+
+
 def low_accuracy(docs: DataFrame, cause: Column, metric_col: str, threshold: float = 0.70) -> DataFrame:
     """cause, n of documents under the threshold or without a prediction."""
     low = docs.where((F.col(metric_col) < threshold) | F.col(metric_col).isNull())

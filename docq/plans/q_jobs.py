@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docq.functions import metric
 from docq.operators import reshape, rules
 from docq.plans import jobs
-from docq.plans.catalog import BOXES, LINES, READS, boxes, html_tables, kie_docs, query, reads, t
+from docq.plans.catalog import BOXES, LINES, READS, boxes, html_tables, kie_docs, lines, query, reads, t
 from docq.plans.q_text import _FIELDS
 
 
@@ -122,3 +122,75 @@ def job20(spark, d):
     r = reads(spark, d).withColumn("field", F.lit("name"))
     out = jobs.doc_report(r.select("id", "field", F.col("gt").alias("value")), r.select("id", "field", F.col("pred").alias("value")), r.select("id", F.upper("gt").alias("text")), "id")
     return out.select("id", "field", "gt", "pred", "status", "in_text")
+
+
+_REVIEWED = """v AS (SELECT id, model AS image, gt, pred, CASE WHEN tier = 'ECONOMY' THEN 'high' WHEN tier = 'PROMO' THEN 'mid' ELSE 'low' END AS grade, id % 7 = 0 AS changed,
+  CASE WHEN tier = 'STANDARD' THEN 'parser' WHEN tier = 'SMALL' THEN 'other' WHEN tier = 'MEDIUM' AND id % 2 = 0 THEN ' Model' END AS verdict, CASE WHEN id % 3 = 0 THEN ' fixed ' END AS correct FROM reads WHERE NOT contains(model, '#2')),
+ s AS (SELECT *, CASE WHEN verdict IS NULL AND (grade = 'low' OR changed) THEN 'waiting' WHEN verdict = 'other' AND correct IS NULL THEN 'no_correction' END AS reason FROM v)"""
+
+
+@query(
+    "job08_apply_review",
+    f"""WITH {READS}, {_REVIEWED} SELECT id, CASE WHEN reason IS NULL THEN image END AS image, grade, CASE WHEN reason IS NULL THEN trim(CASE verdict WHEN 'parser' THEN gt WHEN 'other' THEN correct ELSE pred END) END AS label,
+ CASE WHEN reason IS NULL THEN CASE WHEN verdict IS NULL THEN 'consensus' ELSE 'human' END END AS source, reason FROM s""",
+)
+def job08(spark, d):
+    r = reads(spark, d)
+    grade = F.when(F.col("tier") == "ECONOMY", "high").when(F.col("tier") == "PROMO", "mid").otherwise("low")
+    c = r.select("id", F.col("model").alias("image"), grade.alias("grade"), (F.col("id") % 7 == 0).alias("parser_changed"), F.col("gt").alias("parser"), F.col("pred").alias("label"))
+    verdict = F.when(F.col("tier") == "STANDARD", "parser").when(F.col("tier") == "SMALL", "other").when((F.col("tier") == "MEDIUM") & (F.col("id") % 2 == 0), " Model")
+    gt, blocked = jobs.apply_review(c, r.select("id", verdict.alias("verdict"), F.when(F.col("id") % 3 == 0, " fixed ").alias("correct")), "id", ["#2"])
+    none = F.lit(None).cast("string")
+    return gt.select("id", "image", "grade", "label", "source", none.alias("reason")).unionByName(blocked.select("id", none.alias("image"), "grade", none.alias("label"), none.alias("source"), "reason"))
+
+
+@query(
+    "job14_taxonomy_tree",
+    """SELECT o_orderpriority AS package, CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END AS dataset_name, CASE o_orderstatus WHEN 'F' THEN 'extraction' WHEN 'O' THEN 'ocr' ELSE 'vqa' END AS category, count(*) AS sample_count,
+ o_orderpriority || '/' || CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END || '/' || CASE o_orderstatus WHEN 'F' THEN 'extraction' WHEN 'O' THEN 'ocr' ELSE 'vqa' END || '.json' AS path FROM orders GROUP BY 1, 2, 3, 5""",
+)
+def job14(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("package"), F.col("o_orderstatus").alias("task"), "o_orderkey")
+    name = F.when(F.col("task") == "F", "filled").otherwise("open")
+    category = F.when(F.col("task") == "F", "extraction").when(F.col("task") == "O", "ocr").otherwise("vqa")
+    tasks = rows.select("package", "task").distinct().withColumn("dataset_name", name).withColumn("category", category)
+    return jobs.taxonomy_tree(rows, tasks, "package", "task")[1]
+
+
+_FIELD_SCORES = """s AS (SELECT l_orderkey AS doc, o_orderpriority AS doc_type, CASE WHEN idx = 1 THEN 'general' ELSE 'table' END AS part, idx AS row, l_returnflag AS field,
+  CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.5 END END AS score, true AS in_gt, l_linestatus = 'F' OR l_quantity > 25 AS in_pred
+  FROM lines JOIN orders ON o_orderkey = l_orderkey),
+ k AS (SELECT doc, doc_type, coalesce(sum(score) FILTER (part = 'general'), 0) AS gs, count(*) FILTER (part = 'general') AS gn, coalesce(sum(score) FILTER (part = 'table'), 0) AS ts, count(*) FILTER (part = 'table') AS tn,
+  count(*) FILTER (part = 'table') AS gr, count(*) FILTER (part = 'table' AND in_pred) AS pr, count(score) AS predicted FROM s GROUP BY 1, 2)"""
+
+
+def _field_scores(spark, d):
+    j = lines(spark, d).join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.select(
+        F.col("l_orderkey").alias("doc"), F.col("o_orderpriority").alias("doc_type"), F.when(F.col("idx") == 1, "general").otherwise("table").alias("part"), F.col("idx").alias("row"), F.col("l_returnflag").alias("field"),
+        F.when(F.col("l_linestatus") == "F", F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.5)).alias("score"), F.lit(True).alias("in_gt"), ((F.col("l_linestatus") == "F") | (F.col("l_quantity") > 25)).alias("in_pred"),
+    )
+
+
+@query(
+    "job18_kie_eval",
+    f"""WITH {LINES}, {_FIELD_SCORES} SELECT doc_type, count(*) AS docs, round(sum(gs) / sum(gn), 6) AS general, round(sum(ts) / sum(tn), 6) AS "table", round(sum(gs + ts) / sum(gn + tn), 6) AS total, count(*) FILTER (gr <> pr) AS row_mismatch
+ FROM k GROUP BY ROLLUP (doc_type)""",
+)
+def job18(spark, d):
+    _, figures = jobs.kie_eval(_field_scores(spark, d), "doc", "doc_type")
+    return figures.select("doc_type", "docs", *[F.round(c, 6).alias(c) for c in ("general", "table", "total")], "row_mismatch")
+
+
+@query(
+    "job19_kie_low_accuracy",
+    f"""WITH {LINES}, {_FIELD_SCORES}, low AS (SELECT doc, CASE WHEN predicted = 0 THEN 'no_prediction' WHEN gr <> pr THEN 'row_mismatch' WHEN ts * gn < gs * tn THEN 'table' ELSE 'general' END AS cause
+  FROM k WHERE predicted = 0 OR (gs + ts) / (gn + tn) < 0.7)
+ SELECT 'cause' AS kind, cause AS name, count(*) AS n, count(*) AS docs FROM low GROUP BY 2
+ UNION ALL SELECT 'field', field, count(*), count(DISTINCT doc) FROM s WHERE doc IN (SELECT doc FROM low) AND coalesce(score, 0) < 1 GROUP BY 2""",
+)
+def job19(spark, d):
+    s = _field_scores(spark, d)
+    docs, _ = jobs.kie_eval(s, "doc", "doc_type")
+    _, causes, fields = jobs.kie_low_accuracy(docs, s, "doc")
+    return causes.select(F.lit("cause").alias("kind"), F.col("cause").alias("name"), "n", F.col("n").alias("docs")).unionByName(fields.select(F.lit("field").alias("kind"), F.col("field").alias("name"), F.col("failures").alias("n"), "docs"))

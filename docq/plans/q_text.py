@@ -73,10 +73,10 @@ def flt08(spark, d):
     return rules.duplicate_ref(docs, "refs")
 
 
-@query("flt09_vocabulary", "SELECT event_id, event_type FROM events WHERE event_type NOT IN (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) > 10)")
+@query("flt09_vocabulary", "SELECT event_id, event_type FROM events WHERE event_type NOT IN (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) > 49)")
 def flt09(spark, d):
     e = t(spark, d, "events")
-    vocab = e.groupBy("event_type").agg(F.avg("value").alias("v")).where("v > 10").select("event_type")
+    vocab = e.groupBy("event_type").agg(F.avg("value").alias("v")).where("v > 49").select("event_type")
     return rules.outside_vocab(e, vocab, ["event_type"]).select("event_id", "event_type")
 
 

@@ -392,3 +392,33 @@ def test_labeled_numbers_beside_and_below_tables(spark):
     got = lambda *a: {r.doc: r.v for r in tables.find_labeled(c, "doc", ("sum",), "v", *a).collect()}
     assert got() == {1: 7, 2: 9} and got(texts) == {1: 7, 2: 9, 3: -1200, 4: 3, 5: 6}
     assert {r.doc: r.v for r in tables.find_labeled(c, "doc", ("12",), "v").collect()} == {7: 123}
+
+
+def test_canon_keeps_fences_inside(spark):
+    assert one(spark, text.canon(F.col("t")), t=("string", "a\n```py\nb\n```\nc")) == "a\n```py\nb\n```\nc"
+    assert one(spark, text.canon(F.col("t")), t=("string", " ```HTML\nx & y\n``` \n")) == "x & y"
+    assert one(spark, text.canon(F.col("t")), t=("string", "\n a\t")) == "a"
+
+
+def test_matchers_with_null_documents(spark):
+    pairs = spark.createDataFrame([(None, 0, 0, 0.9), (None, 0, 1, 0.8), (None, 1, 0, 0.7), (5, 0, 1, 0.6)], "doc long, a_idx int, b_idx int, score double")
+    got = sorted(map(tuple, joins.greedy_best(pairs, "doc", "score").collect()), key=str)
+    assert got == [(5, 0, 1, 0.6), (None, 0, 0, 0.9)]
+    boxes = spark.createDataFrame([(None, 0, 0.0, 0.0, 9.0), (None, 1, 0.0, 50.0, 59.0), (1, 0, 0.0, 0.0, 9.0), (1, 1, 3.0, None, None)], "doc long, idx int, x1 double, y1 double, y2 double")
+    lines = {(r.doc, r.idx): r.line for r in win.line_group(boxes, "doc", "idx").collect()}
+    assert lines == {(None, 0): 0, (None, 1): 1, (1, 1): 0, (1, 0): 1}
+
+
+def test_review_and_tree(spark):
+    from docq.plans import jobs
+
+    c = spark.createDataFrame([(i, f"img{i}_seal" if i == 9 else f"img{i}", g, False, "p", f"```\nl{i}\n```") for i, g in ((1, "high"), (2, "low"), (3, "low"), (4, "mid"), (5, "low"), (9, "high"))], "id int, image string, grade string, parser_changed boolean, parser string, label string")
+    v = spark.createDataFrame([(3, "Parser ", None), (4, "other", ""), (5, "what", None)], "id int, verdict string, correct string")
+    gt, blocked = jobs.apply_review(c, v, "id", ["_seal"])
+    assert sorted((r.id, r.image, r.label, r.source) for r in gt.collect()) == [(1, "img1", "l1", "consensus"), (3, "img3", "p", "human")]
+    assert sorted((r.id, r.reason) for r in blocked.collect()) == [(2, "waiting"), (4, "no_correction"), (5, "unknown_verdict")]
+    rows = spark.createDataFrame([("a", "t1"), ("a", "t1"), ("a", "t2")], "package string, task string")
+    tasks = spark.createDataFrame([("a", "t1", "d", "c"), ("a", "t2", "d", "e")], "package string, task string, dataset_name string, category string")
+    assert sorted((r.path, r.sample_count) for r in jobs.taxonomy_tree(rows, tasks, "package", "task")[1].collect()) == [("a/d/c.json", 2), ("a/d/e.json", 1)]
+    with pytest.raises(Exception, match="no category for task t2"):
+        jobs.taxonomy_tree(rows, tasks.where("task = 't1'"), "package", "task")[1].collect()
