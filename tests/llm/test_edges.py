@@ -475,3 +475,11 @@ def test_scratch_tables(spark):
     assert b.count() == 3 and [d is b for d, _ in s.held] == [True]
     with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
         a.count()
+
+
+def test_redaction_of_several_and_overlapping_spans(spark):
+    span = "array<struct<start:bigint,end:bigint>>"
+    rows = [(1, "abcdefghij", [(1, 3), (2, 5), (7, 8)]), (2, "é🎉cd", [(0, 2)]), (3, "abc", []), (4, None, [(0, 1)]), (5, "abcdef", [(0, 3), (3, 6)])]
+    d = spark.createDataFrame(rows, f"id int, t string, s {span}")
+    got = {r.id: r.x for r in d.select("id", secret_scan.redacted(F.col("t"), F.col("s"), "*").alias("x")).collect()}
+    assert got == {1: "a*fg*ij", 2: "*cd", 3: "abc", 4: None, 5: "**"}
