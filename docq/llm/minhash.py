@@ -353,8 +353,10 @@ def near_duplicates(
     Null, empty or wordless text: no shingles, linked with nothing, kept.  Null
     id: not linked, component null, kept.  Repeated rows and equal texts share
     a component.  Several texts under one id are several documents, each with
-    its own links; column `key` (decontam.text_key) tells them apart.  Other
-    columns of docs are not read.  An empty table gives an empty result.
+    its own links; column `key` (decontam.text_key) tells them apart, and column
+    `cluster` their components, which may bear one name: a number for each
+    component of two rows or more, null for other rows.  Other columns of docs
+    are not read.  An empty table gives an empty result.
 
     At similarity `threshold` = 0.8 a link escapes all bands with chance
     (1 - 0.8**7)**60 = 7e-7, and all but one, which is too few in a bucket of
@@ -452,13 +454,13 @@ def near_duplicates(
     linked = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "rep"), "node")
     linked = scratch.table(linked, "linked")
     names = scratch.table(linked.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("rows")), "names")
-    named = classes.select("node", "print", "rep", "held").join(skew_join(linked.select("node", "root"), names, "root", "rows").select("node", "component"), "node", "left")
-    named = scratch.table(named.where("held > 1 or component is not null").select("print", F.coalesce("component", "rep").alias("component"), "held"), "named")
+    named = classes.select("node", "print", "rep", "held").join(skew_join(linked.select("node", "root"), names, "root", "rows").select("node", "root", "component"), "node", "left")
+    named = scratch.table(named.where("held > 1 or component is not null").select("print", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "node").alias("cluster"), "held"), "named")
     scratch.drop(*(t for t, _ in scratch.held if t is not every and t is not named))
 
-    out = skew_join(usable.select("id", "key", "n", "print"), named, "print", "held", "left").select("id", "key", "n", F.coalesce("component", "id").alias("component_id"))
-    out = out.unionByName(every.where("n = 0 or id is null").select("id", "key", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
+    out = skew_join(usable.select("id", "key", "n", "print"), named, "print", "held", "left").select("id", "key", "n", F.coalesce("component", "id").alias("component_id"), "cluster")
+    out = out.unionByName(every.where("n = 0 or id is null").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("cluster")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "cluster")
 
 
 def _buckets(signatures: DataFrame, bands: int) -> DataFrame:

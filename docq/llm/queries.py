@@ -30,7 +30,7 @@ def sha(text: Column) -> Column:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, threshold=0.8).drop("key")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, threshold=0.8).drop("key", "cluster")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,9 @@ def test_texts_of_one_id_keep_their_own_links(spark):
     x, y = (" ".join(rng.choice([f"v{i}" for i in range(900)], 60)) for _ in range(2))
     got = minhash.near_duplicates(docs(spark, [(5, x, "s"), (5, y, "s"), (2, y + " end", "s"), (3, x + " end", "s"), (5, y, "s")]), shingle_words=2).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 2), (5, 3)]
+    apart = minhash.near_duplicates(docs(spark, [(1, x, "s"), (1, y, "s"), (2, y, "s"), (3, "alone", "s"), (4, "", "s")]), shingle_words=2).collect()
+    assert [r.component_id for r in apart if r.doc_id < 3] == [1, 1, 1] and [r.cluster for r in apart if r.doc_id > 2] == [None, None]
+    assert sorted(r.cluster is None for r in apart if r.doc_id == 1) == [False, True] and len({r.cluster for r in apart if r.cluster is not None}) == 1
 
 
 @pytest.mark.parametrize("many", [1, 16])
