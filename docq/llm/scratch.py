@@ -1,7 +1,7 @@
 """Tables that cut lineage, in the folder the cluster shares.
 
-The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a
-local temporary folder takes its place.  A task that an executor loses is run
+The folder is ``spark.checkpoint.dir``; only where that is unset and driver and
+tasks are one process (tests) a local temporary folder takes its place.  A task that an executor loses is run
 again from these files, never from memory of one machine.
 """
 
@@ -55,9 +55,12 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI; sets one of its own only where none is set."""
+    """The shared folder as a URI; sets one of its own only where none is set and the
+    master is local.  On a cluster an unset folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-docq-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

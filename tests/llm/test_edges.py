@@ -523,6 +523,20 @@ def test_scratch_tables(spark):
         a.count()
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from docq.llm.scratch import shared_dir
+
+    def session(found, master):
+        return Some(conf=Some(get=lambda *_: found), sparkContext=Some(master=master))
+
+    assert shared_dir(session("file:///shared/", "spark://host:7077")) == "file:///shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(None, master))
+
+
 def test_redaction_of_several_and_overlapping_spans(spark):
     span = "array<struct<start:bigint,end:bigint>>"
     rows = [(1, "abcdefghij", [(1, 3), (2, 5), (7, 8)]), (2, "é🎉cd", [(0, 2)]), (3, "abc", []), (4, None, [(0, 1)]), (5, "abcdef", [(0, 3), (3, 6)])]
