@@ -115,14 +115,19 @@ def arm_pivot(df: DataFrame, tier: str, arm: str, ok: str, arms: list[str]) -> D
 
 
 def at_index(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at index int(n * share) of the ascending order, one column each.
+    """Values of a number column at index int(n * share) of the ascending order, one column each.
 
-    A distributed selection: values are counted, counts ordered, and the value
-    whose running count passes an index is taken.
+    Equal values are counted first.  Approximate quantiles of the distinct values cut
+    them into 256 ranges; sums of the ranges before one, and a running count inside
+    it, give the exact index, so no task orders all values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
-    upto = F.sum("c_").over(Window.orderBy("v_").rowsBetween(Window.unboundedPreceding, 0))
-    running = counts.withColumn("upto_", upto).withColumn("n_", F.sum("c_").over(Window.partitionBy()))
+    cuts = counts.agg(F.percentile_approx("v_", [i / 256 for i in range(1, 256)], 10_000).alias("cuts_"))  # one row
+    placed = counts.crossJoin(F.broadcast(cuts)).select("v_", "c_", F.size(F.filter("cuts_", lambda c: c < F.col("v_"))).alias("b_"))
+    sums = placed.groupBy("b_").agg(F.sum("c_").alias("s_"))  # at most 256 rows
+    base = sums.select("b_", (F.sum("s_").over(Window.orderBy("b_")) - F.col("s_")).alias("at_"), F.sum("s_").over(Window.partitionBy()).alias("n_"))
+    inside = F.sum("c_").over(Window.partitionBy("b_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0))
+    running = placed.join(F.broadcast(base), "b_").withColumn("upto_", F.col("at_") + inside)
     picks = [F.min(F.when(F.col("upto_") > F.least(F.floor(F.col("n_") * s), F.col("n_") - 1), F.col("v_"))).alias(name) for name, s in shares.items()]
     return running.agg(*picks)
 

@@ -78,10 +78,15 @@ k_per_group = cap_per_group
 
 def stratified_split(df: DataFrame, stratum: str, doc: str, ratios: tuple[float, float] = (0.8, 0.1), seed: int = 0) -> DataFrame:
     """split: of each stratum in drawn order, int(n r) train, int(n r) val, the rest test."""
-    w = Window.partitionBy(stratum)
-    d = df.withColumn("r_", F.row_number().over(w.orderBy(draw(seed, F.col(doc).cast("string")), doc))).withColumn("n_", F.count("*").over(w))
+    h = df.withColumn("g_", F.struct(stratum)).withColumn("h_", draw(seed, F.col(doc).cast("string"))).withColumn("b_", F.substring("h_", 1, 3))
+    counts = h.groupBy("g_", "b_").agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(Window.partitionBy("g_").orderBy("b_")) - F.col("c_")
+    base = counts.select("g_", "b_", upto.alias("at_"), F.sum("c_").over(Window.partitionBy("g_")).alias("n_"))
+    # A stratum is ranked in up to 4096 buckets of the hash; rows move once, for the join and the window.
+    d = h.join(base, ["g_", "b_"]).withColumn("r_", F.col("at_") + F.row_number().over(Window.partitionBy("g_", "b_").orderBy("h_", doc)))
     train, val = (F.floor(F.round(F.col("n_") * r, 9)) for r in ratios)
-    return d.withColumn("split", F.when(F.col("r_") <= train, "train").when(F.col("r_") <= train + val, "val").otherwise("test")).drop("r_", "n_")
+    split = F.when(F.col("r_") <= train, "train").when(F.col("r_") <= train + val, "val").otherwise("test")
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c != "split"], split.alias("split"))
 
 
 def group_split(df: DataFrame, group: str, test: float = 0.1, val: float = 0.1, seed: int = 0) -> DataFrame:

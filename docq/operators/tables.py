@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -129,17 +130,66 @@ def _levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def _table_tree(html: str | None) -> list[tuple]:
-    """Nodes in post-order: (label, leftmost leaf); td labels carry spans and text."""
-    nodes: list[tuple] = []
-    rows = rows_of(html)
-    for row in rows:
-        first = len(nodes)
-        for text, rs, cs, _ in row:
-            nodes.append((("td", rs, cs, " ".join(text.split())), len(nodes)))
-        nodes.append((("tr", 1, 1, ""), first if row else len(nodes)))
-    nodes.append((("table", 1, 1, ""), 0 if nodes else len(nodes)))
-    return nodes
+# Tags whose text belongs to the cell around them.
+INLINE = ("b", "i", "u", "sup", "sub", "br", "span")
+SECTIONS = ("thead", "tbody", "tfoot")
+ENDED_BY = {"td": ("td",), "tr": ("td", "tr")} | {s: ("td", "tr", *SECTIONS) for s in SECTIONS}
+
+
+class _Tree(HTMLParser):
+    """Nodes of one table in post-order: (label, leftmost leaf)."""
+
+    def __init__(self, structure_only: bool):
+        super().__init__(convert_charrefs=True)
+        self.structure_only = structure_only
+        self.nodes: list[tuple] = []
+        self.open: list[tuple] = []
+        self.inner: list[str] = []
+        self.text = ""
+
+    def shut(self):
+        label, first = self.open.pop()
+        if label[0] == "td":
+            label, self.text, self.inner = (*label[:3], "" if self.structure_only else " ".join(self.text.split())), "", []
+        self.nodes.append((label, first))
+
+    def handle_starttag(self, tag, attrs):
+        tag = "td" if tag == "th" else tag
+        while self.open and self.open[-1][0][0] in ENDED_BY.get(tag, ()):
+            self.shut()
+        if self.open and self.open[-1][0][0] == "td":
+            if tag not in ("br", "img", "hr", "input"):
+                self.inner.append(tag)
+            return
+        a = dict(attrs)
+        spans = [int(a[k]) if tag == "td" and (a.get(k) or "").isdigit() else 1 for k in ("rowspan", "colspan")]
+        self.open.append(((tag, *spans, ""), len(self.nodes)))
+        if tag in ("col", "br", "img", "hr", "input"):
+            self.shut()
+
+    def handle_endtag(self, tag):
+        tag = "td" if tag == "th" else tag
+        if tag in self.inner:
+            del self.inner[len(self.inner) - 1 - self.inner[::-1].index(tag) :]
+        elif tag in (label[0] for label, _ in self.open):
+            while self.open[-1][0][0] != tag:
+                self.shut()
+            self.shut()
+
+    def handle_data(self, data):
+        if self.open and self.open[-1][0][0] == "td" and all(t in INLINE for t in self.inner):
+            self.text += data
+
+
+def _table_tree(html: str, structure_only: bool = False) -> list[tuple]:
+    """Nodes of a table in post-order: (label, leftmost leaf).  Sections and rows are
+    nodes; heads are cells; labels of cells carry spans and text."""
+    p = _Tree(structure_only)
+    p.feed(html)
+    p.close()
+    while p.open:
+        p.shut()
+    return p.nodes
 
 
 def tree_distance(a: list[tuple], b: list[tuple]) -> float:
@@ -163,6 +213,9 @@ def tree_distance(a: list[tuple], b: list[tuple]) -> float:
     for i in keyroots(a):
         for j in keyroots(b):
             la, lb = a[i][1], b[j][1]
+            if la == i and lb == j:  # two leaves: no cost is over 1, a removal and an insertion are 2
+                dist[i][j] = cost(a[i][0], b[j][0])
+                continue
             f = [[0.0] * (j - lb + 2) for _ in range(i - la + 2)]
             for x in range(1, i - la + 2):
                 f[x][0] = x
@@ -179,41 +232,66 @@ def tree_distance(a: list[tuple], b: list[tuple]) -> float:
     return dist[-1][-1]
 
 
-@F.pandas_udf(DoubleType())
-def teds(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Tree similarity of two tables, 1 for equal ones: null without a table in
-    ref, 0 without one in hyp; one less the edit distance over the larger tree."""
+def teds(ref: Column | str, hyp: Column | str, structure_only: bool = False) -> Column:
+    """Tree similarity of the first tables of two texts, 1 for equal ones: null
+    without a whole table in ref, 0 without one in hyp; one less the edit distance
+    over the larger tree.  structure_only: texts of cells do not count.
+
+    Its cost is the product of the two trees' sizes and more; equal trees are settled at once.
+    """
 
     def one(r, h):
-        if "<table" not in (r or "").lower():
-            return None
-        if "<table" not in (h or "").lower() or "</table>" not in h.lower():
-            return 0.0
-        a, b = _table_tree(r), _table_tree(h)
+        r, h = (re.search(r"(?is)<table\b.*?</table>", x or "") for x in (r, h))
+        if not r or not h:
+            return 0.0 if r else None
+        a, b = (_table_tree(x.group(), structure_only) for x in (r, h))
         return max(0.0, 1 - tree_distance(a, b) / max(len(a), len(b)))
 
-    return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="float64")
+    @F.pandas_udf(DoubleType())
+    def score(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="float64")
+
+    return score(ref, hyp)
+
+
+def token_grid(structure: list[str], texts: list[str]) -> list[tuple[int, int, str, bool, bool]]:
+    """(row, col, text, is_head, origin) of every place of a table.  Its width is the widest
+    row's sum of column spans; spans end at its edges, and places without a cell are empty origins."""
+    rows, head, left = [], False, iter(texts)
+    for end, tag, attrs in re.findall(r"<(/?)(thead|tr|td|th)\b([^>]*)>", "".join(structure)):
+        if tag == "thead":
+            head = not end
+        elif tag == "tr" and not end:
+            rows.append([])
+        elif tag != "tr" and not end:
+            text = re.sub(r"</?(?:b|i|sup|sub|em|strong|u|small)>", "", next(left, "") or "")
+            spans = dict(re.findall(r'(rowspan|colspan)="(\d+)"', attrs))
+            if rows:
+                rows[-1].append((" ".join(text.split()), head, int(spans.get("rowspan", 1)), int(spans.get("colspan", 1))))
+    width = max((sum(cell[3] for cell in row) for row in rows), default=0)
+    places = {}
+    for r, row in enumerate(rows):
+        for text, in_head, rs, cs in row:
+            c = next((c for c in range(width) if (r, c) not in places), None)
+            if c is None:
+                break
+            places |= {(i, j): ("", in_head, False) for i in range(r, min(r + rs, len(rows))) for j in range(c, min(c + cs, width))}
+            places[r, c] = (text, in_head, True)
+    return [(r, c, *places.get((r, c), ("", False, True))) for r in range(len(rows)) for c in range(width)]
 
 
 def grid_from_tokens(df: DataFrame, doc: str, structure: str, cells_: str) -> DataFrame:
-    """doc, row, col, text, origin from a table's structure tokens and its cells' texts.
-    structure: array of tags and attributes; cells_: array of texts, one for each cell in order."""
+    """doc, row, col, text, is_head, origin from a table's structure tokens and its cells' texts.
+    structure: array of tags and attributes; cells_: array of texts, one for each cell in order.
+    A null array is an empty one."""
     kind = dict(df.dtypes)[doc]
 
-    def html(tokens, texts):
-        out, left = [], iter(texts if texts is not None else [])
-        for tok in tokens if tokens is not None else []:
-            out.append(tok)
-            if tok in ("<td>", "<th>", ">"):
-                out.append((next(left, "") or "").replace("&", "&amp;").replace("<", "&lt;"))
-        return "".join(out)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(d, *c) for d, s, t in zip(f[doc], f[structure], f[cells_], strict=True) for c in grid_of(html(s, t))]
-            yield pd.DataFrame(out, columns=[doc, "row", "col", "text", "origin"])
+            out = [(d, *g) for d, s, t in zip(f[doc], f[structure], f[cells_], strict=True) for g in token_grid([] if s is None else s, [] if t is None else t)]
+            yield pd.DataFrame(out, columns=[doc, "row", "col", "text", "is_head", "origin"])
 
-    return df.select(doc, structure, cells_).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, origin boolean")
+    return df.select(doc, structure, cells_).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, is_head boolean, origin boolean")
 
 
 @F.pandas_udf(ArrayType(StructType().add("gt_row", "integer").add("pred_row", "integer")))

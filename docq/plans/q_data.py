@@ -1017,7 +1017,7 @@ def sca33(spark, d):
 
 @query(
     "udf01_teds",
-    f"WITH {LINES} SELECT l_orderkey AS doc, round(1 - count(*) FILTER (l_returnflag = 'R') / (1 + 4 * (count(*) + 1)), 6) AS teds FROM lines GROUP BY 1",
+    f"WITH {LINES} SELECT l_orderkey AS doc, round(1 - count(*) FILTER (l_returnflag = 'R') / (3 + 4 * (count(*) + 1)), 6) AS teds FROM lines GROUP BY 1",
 )
 def udf01(spark, d):
     # Trees cost far more than their bytes tell: spread them over all cores.

@@ -51,11 +51,12 @@ def prj13(spark, d):
 
 @query(
     "prj19_grid_from_tokens",
-    f"""WITH {LINES} SELECT l_orderkey AS doc, CAST(idx - 1 AS INT) AS "row", 0 AS col, CAST(l_partkey AS VARCHAR) AS text, true AS origin FROM lines
-UNION ALL SELECT l_orderkey, CAST(idx - 1 AS INT), 1, l_returnflag || '<', true FROM lines UNION ALL SELECT l_orderkey, CAST(idx - 1 AS INT), 2, '', false FROM lines""",
+    f"""WITH {LINES} SELECT l_orderkey AS doc, CAST(idx - 1 AS INT) AS "row", 0 AS col, CAST(l_partkey AS VARCHAR) AS text, idx = 1 AS is_head, true AS origin FROM lines
+UNION ALL SELECT l_orderkey, CAST(idx - 1 AS INT), 1, l_returnflag || '<', idx = 1, true FROM lines UNION ALL SELECT l_orderkey, CAST(idx - 1 AS INT), 2, '', idx = 1, false FROM lines""",
 )
 def prj19(spark, d):
     row = F.array(*[F.lit(x) for x in ("<tr>", "<td>", "</td>", "<td", ' colspan="2"', ">", "</td>", "</tr>")])
+    row = F.when(F.col("idx") == 1, F.concat(F.array(F.lit("<thead>")), row, F.array(F.lit("</thead>")))).otherwise(row)
     pair = F.array(F.col("l_partkey").cast("string"), F.concat("l_returnflag", F.lit("<")))
     g = lines(spark, d).groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("idx", row.alias("s"), pair.alias("c")))).alias("a"))
     return tables.grid_from_tokens(g.select("doc", F.flatten("a.s").alias("structure"), F.flatten("a.c").alias("cells")), "doc", "structure", "cells")

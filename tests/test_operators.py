@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docq.functions import geom, metric, num, prompts, text
-from docq.operators import joins, reshape, rules, setops, tables, win
+from docq.operators import agg, joins, reshape, rules, sampling, setops, tables, win
 from docq.plans import jobs
 from docq.sources import io
 from docq.streaming import stream
@@ -68,6 +68,20 @@ def test_teds(spark, ref, hyp, want):
     assert got == pytest.approx(want) if want is not None else got is None
 
 
+SECTIONS = "<TABLE><thead><tr><th>a<tbody><tr><td>b <b>c</b><em>no</em>d</td></tr></tbody></TABLE>"
+
+
+def test_table_trees(spark):
+    labels = [label for label, _ in tables._table_tree(SECTIONS)]
+    assert labels == [("td", 1, 1, "a"), ("tr", 1, 1, ""), ("thead", 1, 1, ""), ("td", 1, 1, "b cd"), ("tr", 1, 1, ""), ("tbody", 1, 1, ""), ("table", 1, 1, "")]
+    assert [first for _, first in tables._table_tree(SECTIONS)] == [0, 0, 0, 3, 3, 3, 0]
+    both = {"a": ("string", SECTIONS + TABLE), "b": ("string", SECTIONS.replace("<th>a", "<th>x"))}
+    assert one(spark, tables.teds("a", "b"), **both) == pytest.approx(1 - 1 / 7)
+    assert one(spark, tables.teds("a", "b", structure_only=True), **both) == 1.0
+    assert one(spark, tables.teds("a", "b"), a=("string", TABLE[:-8]), b=("string", TABLE)) is None
+    assert one(spark, tables.teds("a", "b"), a=("string", TABLE), b=("string", None)) == 0.0
+
+
 def test_tree_distance_is_a_metric_on_small_trees():
     import itertools
 
@@ -87,6 +101,34 @@ def test_spans_of_cells():
     assert tables.grid_of(None) == tables.grid_of("no table") == []
 
 
+def test_grid_of_tokens(spark):
+    tokens = ["<thead>", "<tr>", "<td", ' colspan="2"', ">", "</td>", "</tr>", "</thead>", "<tr>", "<td", ' rowspan="3"', ">", "</td>", "</tr>"]
+    want = [(0, 0, "h x", True, True), (0, 1, "", True, False), (1, 0, "a", False, True), (1, 1, "", False, True)]
+    assert tables.token_grid(tokens, ["<b>h</b>  x", "a"]) == want
+    assert tables.token_grid(tokens, [])[0] == (0, 0, "", True, True)
+    df = spark.createDataFrame([(1, tokens, ["h x", "a"]), (2, None, None)], "doc int, s array<string>, c array<string>")
+    assert sorted(tuple(r) for r in tables.grid_from_tokens(df, "doc", "s", "c").collect()) == [(1, *w) for w in want]
+
+
+def test_values_at_an_index(spark):
+    for values in ([], [None, 3], list(range(1000, 0, -1)), [7] * 50 + [1, 2, 9], [float(i % 97) for i in range(5000)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double" if values and isinstance(values[0], float) else "v int")
+        rest = sorted(v for v in values if v is not None)
+        shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.999, "e": 1.0}
+        want = [rest[min(int(len(rest) * s), len(rest) - 1)] if rest else None for s in shares.values()]
+        assert list(agg.at_index(df, "v", shares).first()) == want
+
+
+def test_stratified_split_of_one_large_and_a_null_stratum(spark):
+    rows = [(i, "hot") for i in range(3000)] + [(3000 + i, None) for i in range(10)] + [(5000, "one")]
+    got = sampling.stratified_split(spark.createDataFrame(rows, "id int, s string"), "s", "id").collect()
+    counts = {}
+    for r in got:
+        counts[r.s, r.split] = counts.get((r.s, r.split), 0) + 1
+    assert counts == {("hot", "train"): 2400, ("hot", "val"): 300, ("hot", "test"): 300, (None, "train"): 8, (None, "val"): 1, (None, "test"): 1, ("one", "test"): 1}
+    assert sorted(r.id for r in got) == [i for i, _ in rows]
+
+
 def box_rows(spark, rows):
     return spark.createDataFrame([(1, *r) for r in rows], "doc int, idx int, x1 double, y1 double, x2 double, y2 double")
 
