@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docq.llm import ann, chat, decontam, minhash, packing, pii, secret_scan, sharding, token_files, toxicity
+from docq.llm import ann, chat, conversation_repair, decontam, hard_negatives, minhash, packing, pii, quality, secret_scan, sharding, token_files, toxicity
 from docq.llm.spans import written
 
 END_ID = 2
@@ -105,6 +105,37 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(out, documents)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, gone: conversations with planted faults, by a hash of conversation and turn."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind, text = F.crc32(name.cast("binary")) % 20, F.coalesce("text", F.lit(" "))
+    return turns.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), (kind == 0).alias("gone"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("again"),
+    ).drop("again")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", sha(text).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -116,6 +147,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_tokens": op10_tokens,
+    "op11_quality": op11_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -197,4 +231,62 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-SQL = {"op1_minhash": SQL1, "op2_decontamination": SQL2, "op3_chat": SQL3, "op7_secrets": SQL7}
+SQL12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+# The checksum of a key, bit by bit; then, row after row, the cheapest edits that lead to each state of the pattern.
+SQL13 = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)),
+    CAST(4294967295 AS BIGINT)) % 20 AS d FROM k),
+r AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+p AS (
+  SELECT *, left(role, 1) AS c, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM o),
+s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, unnest([{'q': 0, 'm': {'cost': 0, 'audit': '', 'said': ''}}, {'q': 2, 'm': {'cost': 2, 'audit': 'I', 'said': chr(10) || 'user:'}},
+    {'q': 3, 'm': {'cost': 4, 'audit': 'II', 'said': chr(10) || 'user:' || chr(10) || 'assistant:'}}], recursive := false) AS x FROM p
+  UNION ALL
+  SELECT conv_id, i, {'q': q, 'm': min({'cost': cost, 'audit': audit, 'said': said})} FROM (
+    SELECT conv_id, i, y.q AS q, cost + y.cost AS cost, audit || y.audit AS audit, said || y.said AS said FROM (
+      SELECT conv_id, i, e.q AS q, cost + e.cost AS cost, audit || e.audit AS audit, said || e.said AS said,
+        unnest(CASE WHEN e.q = 2 THEN [{'q': 2, 'cost': 0, 'audit': '', 'said': ''}, {'q': 3, 'cost': 2, 'audit': 'I', 'said': chr(10) || 'assistant:'}]
+          ELSE [{'q': e.q, 'cost': 0, 'audit': '', 'said': ''}, {'q': 2, 'cost': 2, 'audit': 'I', 'said': chr(10) || 'user:'},
+            {'q': 3, 'cost': 4, 'audit': 'II', 'said': chr(10) || 'user:' || chr(10) || 'assistant:'}] END) AS y
+      FROM (
+        SELECT s.conv_id, p.i, s.x.m.cost AS cost, s.x.m.audit AS audit, s.x.m.said AS said,
+          unnest(list_concat([{'q': s.x.q, 'cost': 3, 'audit': 'D', 'said': ''}], CASE WHEN fault IN ('b', 'd') THEN [] ELSE list_filter([
+            {'q': CASE WHEN s.x.q = 0 AND c = 's' THEN 1 WHEN s.x.q <> 2 AND c = 'u' THEN 2 WHEN s.x.q = 2 AND c = 'a' THEN 3 ELSE -1 END, 'cost': CASE WHEN fault = 't' THEN 1 ELSE 0 END, 'audit': 'K', 'said': chr(10) || role || ':' || text},
+            {'q': CASE WHEN s.x.q = 2 THEN 3 ELSE 2 END, 'cost': CASE WHEN fault = 't' THEN 3 ELSE 2 END, 'audit': 'R', 'said': chr(10) || CASE WHEN s.x.q = 2 THEN 'assistant' ELSE 'user' END || ':' || text}],
+            lambda z: z.q >= 0) END)) AS e
+        FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = s.i + 1))) GROUP BY conv_id, i, q),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY conv_id),
+best AS (SELECT n.conv_id, min(s.x.m) AS m FROM n JOIN s ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.i = n.n AND s.x.q IN (0, 3) GROUP BY n.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(m.cost, 0) AS BIGINT) AS cost, coalesce(m.audit, '') AS audit, sha256(coalesce(m.said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+SQL = {"op1_minhash": SQL1, "op2_decontamination": SQL2, "op3_chat": SQL3, "op7_secrets": SQL7, "op12_hard_negatives": SQL12, "op13_conversation_repair": SQL13}
