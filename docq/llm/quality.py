@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,9 +144,13 @@ def train(y: np.ndarray, bounds: np.ndarray, buckets: np.ndarray, counts: np.nda
     entries are buckets[bounds[i]:bounds[i + 1]]."""
     rng = np.random.default_rng(settings.seed)
     # Only buckets of the training rows are held.
-    used, col = np.unique(buckets, return_inverse=True)
-    total = np.add.reduceat(counts, bounds[:-1]) if len(y) else np.zeros(0)
-    share = counts / np.repeat(total, np.diff(bounds))
+    place = np.zeros(1 << settings.bits, dtype=np.int32)
+    place[buckets] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    col = place[buckets]
+    share = counts.astype(np.float32)
+    share /= np.repeat(np.add.reduceat(counts, bounds[:-1], dtype=np.int64).astype(np.float32), np.diff(bounds))
     e = rng.uniform(-1 / settings.dim, 1 / settings.dim, (len(used), settings.dim))
     w, b = np.zeros((settings.dim, 2)), np.zeros(2)
     w[:, 1] = rng.uniform(-0.5, 0.5, settings.dim)
@@ -204,15 +209,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     within = rows.select("id", F.octet_length("text").cast("long").alias("size")).withColumn("size", so_far).where(F.col("size") <= settings.max_bytes).select("id")
     got = rows.join(F.broadcast(within), "id").select("text", "id", "y").mapInArrow(_bags(settings), "id long, y int, buckets binary, counts binary").toArrow().sort_by("id")
     scratch.drop(rows, y)
-    got = got.filter(pa.compute.greater(pa.compute.binary_length(got["buckets"]), 0))
+    got = got.filter(pc.greater(pc.binary_length(got["buckets"]), 0))
     label = got["y"].to_numpy().astype(np.int64).clip(0, 1)
     if len(set(label.tolist())) < 2:
         side = 2.0 * (2 * int(label[0]) - 1) if len(label) else 0.0
         return Model(bias=np.array([-side, side]))
-    bags = got["buckets"].to_pylist()
-    bounds = np.append(0, np.cumsum([len(x) // 4 for x in bags]))
-    buckets, counts = (np.frombuffer(b"".join(x), dtype="<i4") for x in (bags, got["counts"].to_pylist()))
-    return train(label, bounds, buckets, counts.astype(np.float64), settings)
+    bounds = np.append(0, np.cumsum(pc.binary_length(got["buckets"]).to_numpy() // 4))
+
+    def flat(name: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), dtype="<i4") for x in got[name]])
+
+    return train(label, bounds, flat("buckets"), flat("counts"), settings)
 
 
 def score_of(text: Column, model: Model, settings: Settings = Settings()) -> Column:
