@@ -6,16 +6,11 @@ is a page, so its boxes are few, and no join crosses documents.
 
 from __future__ import annotations
 
-from collections import namedtuple
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from docq.functions import geom
+from docq.operators.lineage import cut
 
 
 def pair(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
@@ -124,44 +119,85 @@ def iou_match(gt: DataFrame, pred: DataFrame, doc: str, idx: str, thr: float = 0
     )
 
 
-def walk(df: DataFrame, doc: str, order: list, names: list[str], schema: str, start, step) -> DataFrame:
-    """Rows of each document in order, through step(state, row), which returns an
-    output row or None; start() makes a document's state.  Rows stream through a
-    task, so a document costs no more than its state, and documents no overhead.
-    Rows with a null doc are one document."""
-    made = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        for batch in batches:
-            row_of = namedtuple("Row", batch.schema.names)
-            which, out = batch.schema.get_field_index(doc), []
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or values[which] != at:
-                    at, state = values[which], start()
-                if (got := step(state, row_of._make(values))) is not None:
-                    out.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(made)], names=names)
-
-    return df.repartition(doc).sortWithinPartitions(doc, *order).mapInArrow(run, schema)
-
-
-def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
-    """doc, a_idx, b_idx: in the order of a, the nearest unused box of b, if under max_dist."""
-    p = _sides(a, b, doc, idx)
+#: Pairs of a document up to which one task folds them; a document with more is matched in rounds.
+FOLD_PAIRS = 2000
+
+
+def _greedy(pairs: DataFrame, doc: str, keys: list, a_keys: list, b_keys: list) -> DataFrame:
+    """The pairs (doc, a_idx, b_idx, ...) that are taken when all go by `keys`, least first,
+    and each is taken while both its sides are unused.
+
+    a_keys, b_keys: what orders the pairs of one a, of one b, in the same way.
+    Documents of at most FOLD_PAIRS pairs are folded as one array.  In a larger
+    one, a pair that comes first for both its sides is taken whatever else is, so
+    all such pairs are taken at once, those they rule out are dropped, and so on until
+    none is left: joins and aggregates on (doc, side), no task holds a document.
+    Sides are not null; null docs are one document.
+    """
+    pairs = cut(pairs)
+    names = pairs.columns
+    large = pairs.groupBy(F.col(doc).alias("d_")).agg(F.count("*").alias("n")).where(F.col("n") > FOLD_PAIRS).select("d_")
+    if large.isEmpty():
+        return _folded(pairs, doc, keys)
+    # A large document has thousands of pairs; there may still be many, so no hint.
+    same = F.col(doc).eqNullSafe(F.col("d_"))
+    live, out = cut(pairs.join(large, same, "left_semi")), _folded(pairs.join(large, same, "left_anti"), doc, keys)
+    while not live.isEmpty():
+        firsts = [
+            live.groupBy(F.col(doc).alias("d_"), side).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("p")).select("p.*")
+            for side, order in (("a_idx", a_keys), ("b_idx", b_keys))
+        ]
+        other = firsts[1].select(F.col(doc).alias("d_"), F.col("a_idx").alias("a_"), F.col("b_idx").alias("b_"))
+        both = F.col(doc).eqNullSafe(F.col("d_")) & (F.col("a_idx") == F.col("a_")) & (F.col("b_idx") == F.col("b_"))
+        taken = cut(firsts[0].join(other, both, "left_semi"))
+        out = out.unionByName(taken)
+        for side in ("a_idx", "b_idx"):
+            used = taken.select(F.col(doc).alias("d_"), F.col(side).alias("s_"))
+            live = live.join(used, F.col(doc).eqNullSafe(F.col("d_")) & (F.col(side) == F.col("s_")), "left_anti")
+        live = cut(live)
+    return out
+
+
+def _folded(pairs: DataFrame, doc: str, keys: list) -> DataFrame:
+    names = pairs.columns
+    # Keys come first and are told apart by place, so that they order the array.
+    one = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*names).alias("p"))
+    kinds = dict(pairs.dtypes)
+    rest = ",".join(f"`{n}`:{kinds[n]}" for n in names)
+    start = F.expr(f"named_struct('a', cast(array() as array<{kinds['a_idx']}>), 'b', cast(array() as array<{kinds['b_idx']}>), 'out', cast(array() as array<struct<{rest}>>))")
+
+    def step(acc, x):
+        free = ~F.array_contains(acc["a"], x["p"]["a_idx"]) & ~F.array_contains(acc["b"], x["p"]["b_idx"])
+        more = F.struct(F.array_append(acc["a"], x["p"]["a_idx"]).alias("a"), F.array_append(acc["b"], x["p"]["b_idx"]).alias("b"), F.array_append(acc["out"], x["p"]).alias("out"))
+        return F.when(free, more).otherwise(acc)
+
+    folded = F.aggregate(F.sort_array(F.collect_list(one)), start, step, lambda acc: acc["out"])
+    return pairs.groupBy(F.col(doc).alias("d_")).agg(folded.alias("out")).select(F.inline("out"))
+
+
+def _near(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float) -> DataFrame:
+    """doc, a_idx, b_idx, d: boxes less than max_dist apart in L1.  Boxes meet by cells of
+    that size: a box of b is in its own cell, one of a looks into the nine around it."""
+    size = float(max_dist)
+
+    def sided(df: DataFrame, side: str) -> DataFrame:
+        names = [F.col(c).cast("double").alias(f"{side}_{c}") for c in ("x1", "y1", "x2", "y2")]
+        out = df.select(F.col(doc).alias(f"{side}_doc"), F.col(idx).alias(f"{side}_idx"), *names)
+        return out.withColumns({f"{side}_{c}c": F.floor(F.col(f"{side}_{c}") / size) for c in ("x1", "y1")})
+
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    looks = sided(a, "a").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    here = sided(b, "b")
+    on = F.col("a_doc").eqNullSafe(F.col("b_doc")) & (F.col("a_x1c") + F.col("dx") == F.col("b_x1c")) & (F.col("a_y1c") + F.col("dy") == F.col("b_y1c"))
     d = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("x1", "y1", "x2", "y2")), F.lit(0.0))
-    near = p.withColumn("d", d).where(F.col("d") < max_dist).select(doc, "a_idx", "b_idx", "d")
-    types, names = dict(near.dtypes), [doc, "a_idx", "b_idx"]
+    return looks.join(here, on).withColumn("d", d).where(F.col("d") < size).select(F.col("a_doc").alias(doc), "a_idx", "b_idx", "d")
 
-    def step(state, row):
-        done, used = state
-        if row.a_idx in done or row.b_idx in used:
-            return None
-        done.add(row.a_idx)
-        used.add(row.b_idx)
-        return getattr(row, doc), row.a_idx, row.b_idx
 
-    return walk(near, doc, ["a_idx", "d", "b_idx"], names, ", ".join(f"{n} {types[n]}" for n in names), lambda: (set(), set()), step)
+def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
+    """doc, a_idx, b_idx: in the order of a, the nearest unused box of b (ties: the smaller idx), if under max_dist."""
+    near = _near(a, b, doc, idx, max_dist)
+    keys = [F.col("a_idx"), F.col("d"), F.col("b_idx")]
+    return _greedy(near, doc, keys, ["d", "b_idx"], ["a_idx", "d"]).select(doc, "a_idx", "b_idx")
 
 
 def greedy_l1_outer(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
@@ -178,19 +214,12 @@ def _unpaired(side: DataFrame, pairs: DataFrame, doc: str, key: str) -> DataFram
 
 
 def greedy_best(pairs: DataFrame, doc: str, score: str) -> DataFrame:
-    """doc, a_idx, b_idx, score: pairs by (score, a_idx, b_idx) descending, taken while both are unused."""
-    types, names = dict(pairs.dtypes), [doc, "a_idx", "b_idx", score]
-
-    def step(state, row):
-        a, b = state
-        if row.a_idx in a or row.b_idx in b:
-            return None
-        a.add(row.a_idx)
-        b.add(row.b_idx)
-        return getattr(row, doc), row.a_idx, row.b_idx, getattr(row, score)
-
-    order = [F.desc(score), F.desc("a_idx"), F.desc("b_idx")]
-    return walk(pairs.select(*names), doc, order, names, ", ".join(f"{n} {types[n]}" for n in names), lambda: (set(), set()), step)
+    """doc, a_idx, b_idx, score: pairs by (score, a_idx, b_idx) descending, taken while both are unused.
+    Sides are whole numbers; a null score comes last."""
+    pairs = pairs.select(doc, "a_idx", "b_idx", score)
+    last = F.col(score).isNull()
+    down = [last, -F.col(score), -F.col("a_idx"), -F.col("b_idx")]
+    return _greedy(pairs, doc, down, [*down[:2], down[3]], down[:3])
 
 
 def span_overlap(spans: DataFrame, targets: DataFrame, doc: str, value: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docq.operators.joins import walk
+from docq.operators import scan
+from docq.operators.scan import forward_fill, moving_average, quantile_pick, running_total  # noqa: F401
 
 
 def reading_order(blocks: DataFrame, doc: str, y: str, x: str, tie: str, base: int = 0) -> DataFrame:
@@ -14,19 +15,26 @@ def reading_order(blocks: DataFrame, doc: str, y: str, x: str, tie: str, base: i
 
 def line_group(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
     """doc, idx, line: boxes by (y1, x1); a box opens a line when its top is further
-    from the line's first box than max(8, 0.6 x the page's median height).  The
-    anchor follows from what came before, so a page's boxes stream through one task.
-    Boxes with a null doc are one page; a box without a top opens a line."""
-    types = dict(boxes.dtypes)
-    heights = boxes.groupBy(doc).agg(F.greatest(F.lit(8.0), 0.6 * F.median(F.col("y2") - F.col("y1"))).alias("tol"))
+    from the line's first box than max(8, 0.6 x the page's median height).
 
-    def step(state, row):
-        if state[0] is None or row.y1 is None or abs(row.y1 - state[0]) > row.tol:
-            state[0], state[1] = row.y1, state[1] + 1
-        return getattr(row, doc), getattr(row, idx), state[1]
+    Which lines there are follows from the distinct tops of a page alone: they are
+    folded in order, each against the top of the line before.  A box is in the last line
+    that begins at or above it.  What is held of a page is its distinct tops, not its boxes.
+    Boxes with a null doc are one page; a box without a top opens a line, before all others.
+    """
+    tol = F.greatest(F.lit(8.0), 0.6 * F.median(F.col("y2") - F.col("y1")))
+    pages = boxes.groupBy(F.col(doc).alias("d_")).agg(tol.alias("tol"), F.sort_array(F.collect_set(F.col("y1").cast("double"))).alias("tops"), F.count_if(F.col("y1").isNull()).alias("bare"))
 
-    rows = boxes.select(doc, idx, "x1", "y1").join(heights.withColumnRenamed(doc, "d_"), F.col(doc).eqNullSafe(F.col("d_"))).drop("d_")
-    return walk(rows, doc, ["y1", "x1", idx], [doc, idx, "line"], f"{doc} {types[doc]}, {idx} {types[idx]}, line int", lambda: [None, -1], step)
+    def step(starts, y):
+        return F.when(y - F.element_at(starts, -1) > F.col("tol"), F.array_append(starts, y)).otherwise(starts)
+
+    starts = F.aggregate("tops", F.array().cast("array<double>"), lambda acc, y: F.when(F.size(acc) == 0, F.array(y)).otherwise(step(acc, y)))
+    pages = pages.select("d_", starts.alias("starts"), "bare")
+    rows = boxes.select(doc, idx, "x1", F.col("y1").cast("double").alias("y1")).join(pages, F.col(doc).eqNullSafe(F.col("d_")))
+    line = F.size(F.filter("starts", lambda s: s <= F.col("y1"))) - 1 + F.col("bare")
+    topped = rows.where("y1 is not null").select(doc, idx, line.cast("int").alias("line"))
+    bare = scan.row_index(boxes.where("y1 is null").select(doc, idx, "x1"), doc, ["x1", idx])
+    return topped.unionByName(bare.select(doc, idx, F.col("i_").cast("int").alias("line")))
 
 
 def one_per_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -48,29 +56,6 @@ def best_per_slot(df: DataFrame, slot: str, item: str, score: str, lower: bool,
     return few.groupBy(slot).agg(c.alias("c")).select(slot, F.col("c")[0]["item"].alias("best"), F.array_join("c.item", ",").alias("candidates"))
 
 
-def moving_average(df: DataFrame, key: str, order: list[str], value: str, k: int) -> DataFrame:
-    """moving: mean of a value and of up to k before it."""
-    return df.withColumn("moving", F.avg(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-k, 0)))
-
-
-def running_total(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    return df.withColumn("running", F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def forward_fill(df: DataFrame, key: str, order: list[str], col: str) -> DataFrame:
-    """The last value of a column that is not null, at or before each row."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(f"{col}_filled", F.last(col, ignorenulls=True).over(w))
-
-
-def quantile_pick(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """Rows at index size * i // (n + 1), i = 1..n, of each key's order."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("i_", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n_", F.count("*").over(w))
-    at = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.floor(F.col("n_") * i / (n + 1)))
-    return ranked.where(F.array_contains(at, F.col("i_").cast("bigint"))).drop("i_", "n_")
-
-
 def bands(df: DataFrame, score: str, edges: list[float]) -> DataFrame:
     """band, n: rows by the highest edge that their score reaches; -1 below all."""
     s, out = F.col(score), F.lit(-1.0)

@@ -124,9 +124,25 @@ def jon08(spark, d):
     return joins.enclosing_box(b, b, "doc", "idx", 60)
 
 
-@query("jon09_greedy_l1")
+# Pairs p (doc, k, a_idx, b_idx) of a document one after another in the order of k, each taken while both sides are unused.
+_TAKEN = """g AS (
+  SELECT doc, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub, false AS hit FROM (SELECT DISTINCT doc FROM p)
+  UNION ALL
+  SELECT doc, k, CASE WHEN hit THEN list_append(ua, a_idx) ELSE ua END, CASE WHEN hit THEN list_append(ub, b_idx) ELSE ub END, hit FROM (
+    SELECT p.doc, p.k, ua, ub, a_idx, b_idx, NOT list_contains(ua, a_idx) AND NOT list_contains(ub, b_idx) AS hit FROM g JOIN p ON p.doc = g.doc AND p.k = g.k + 1)),
+taken AS (SELECT p.* FROM p JOIN g ON p.doc = g.doc AND p.k = g.k WHERE hit)"""
+_L1 = "abs(a.x1 - b.x1) + abs(a.y1 - b.y1) + abs(a.x2 - b.x2) + abs(a.y2 - b.y2)"
+_NEAR = f"p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY a_idx, d, b_idx) AS k FROM (SELECT a.doc, a.idx AS a_idx, b.idx AS b_idx, {_L1} AS d FROM boxes a JOIN preds b ON a.doc = b.doc) WHERE d < 200)"
+
+
+@query(
+    "jon09_greedy_l1",
+    f"""WITH RECURSIVE {BOXES}, {_NEAR}, {_TAKEN}
+SELECT doc, a_idx, b_idx FROM taken UNION ALL SELECT doc, idx, NULL FROM boxes WHERE (doc, idx) NOT IN (SELECT (doc, a_idx) FROM taken)
+UNION ALL SELECT doc, NULL, idx FROM preds WHERE (doc, idx) NOT IN (SELECT (doc, b_idx) FROM taken)""",
+)
 def jon09(spark, d):
-    return joins.greedy_l1(boxes(spark, d), preds(spark, d), "doc", "idx", 200)
+    return joins.greedy_l1_outer(boxes(spark, d), preds(spark, d), "doc", "idx", 200)
 
 
 _IOU = f"""{BOXES}, p AS (SELECT a.doc, a.idx AS a_idx, b.idx AS b_idx, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
@@ -152,11 +168,17 @@ def agg07(spark, d):
     return out.select("gt", "tp", "pred", *[R6(c).alias(c) for c in ("precision", "recall", "coverage", "covered", "mean_iou", "preds_per_gt")])
 
 
-@query("jon11_greedy_best")
+@query(
+    "jon11_greedy_best",
+    f"""WITH RECURSIVE {BOXES}, o AS (SELECT a.doc, a.idx AS a_idx, b.idx AS b_idx, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
+ (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM boxes a JOIN preds b ON a.doc = b.doc),
+p AS (SELECT doc, a_idx, b_idx, i / (sa + sb - i) AS score, row_number() OVER (PARTITION BY doc ORDER BY i / (sa + sb - i) DESC, a_idx DESC, b_idx DESC) AS k FROM o WHERE i > 0), {_TAKEN}
+SELECT doc, a_idx, b_idx, round(score, 6) AS score FROM taken""",
+)
 def jon11(spark, d):
     a, b = boxes(spark, d), preds(spark, d)
     p = joins._sides(a, b, "doc", "idx").withColumn("score", geom.iou(geom.box("a_"), geom.box("b_"))).where("score > 0")
-    return joins.greedy_best(p, "doc", "score")
+    return joins.greedy_best(p, "doc", "score").withColumn("score", R6("score"))
 
 
 @query(
@@ -496,7 +518,16 @@ def win01(spark, d):
     return win.reading_order(boxes(spark, d), "doc", "y1", "x1", "idx").select("doc", "idx", "order")
 
 
-@query("win02_line_group")
+# Boxes of a page one after another by (y1, x1, idx), with the top of the line they are in.
+_GROUPED = """m AS (SELECT doc, greatest(8, 0.6 * median(y2 - y1)) AS tol FROM boxes GROUP BY doc),
+o AS (SELECT boxes.*, tol, row_number() OVER (PARTITION BY doc ORDER BY y1, x1, idx) AS k FROM boxes JOIN m USING (doc)),
+grouped AS (
+  SELECT doc, idx, k, y1 AS top, 0 AS line FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.doc, o.idx, o.k, CASE WHEN o.y1 - top > tol THEN o.y1 ELSE top END, CASE WHEN o.y1 - top > tol THEN line + 1 ELSE line END FROM grouped JOIN o ON o.doc = grouped.doc AND o.k = grouped.k + 1)"""
+
+
+@query("win02_line_group", f"WITH RECURSIVE {BOXES}, {_GROUPED} SELECT doc, idx, line FROM grouped")
 def win02(spark, d):
     return win.line_group(boxes(spark, d), "doc", "idx")
 
@@ -523,14 +554,18 @@ def win05(spark, d):
     return win.best_per_slot(t(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", lower=False)
 
 
+# Rows of a chunk of the prefix scans: few, so that the small tables have several for a key.
+CHUNK = 300
+
+
 @query("win06_moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS moving FROM events")
 def win06(spark, d):
-    return win.moving_average(t(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 5).select("event_id", R6("moving").alias("moving"))
+    return win.moving_average(t(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 5, CHUNK).select("event_id", R6("moving").alias("moving"))
 
 
 @query("win07_running_total", "SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events")
 def win07(spark, d):
-    return win.running_total(t(spark, d, "events"), "event_type", ["ts", "event_id"], "user_id").select("event_id", "running")
+    return win.running_total(t(spark, d, "events"), "event_type", ["ts", "event_id"], "user_id", CHUNK).select("event_id", "running")
 
 
 @query(
@@ -547,7 +582,7 @@ def win08(spark, d):
     "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM documents) SELECT lang, doc_id FROM r WHERE i IN (c * 1 // 4, c * 2 // 4, c * 3 // 4)",
 )
 def win09(spark, d):
-    return win.quantile_pick(t(spark, d, "documents"), "lang", ["n_chars", "doc_id"], 3).select("lang", "doc_id")
+    return win.quantile_pick(t(spark, d, "documents"), "lang", ["n_chars", "doc_id"], 3, CHUNK).select("lang", "doc_id")
 
 
 @query("win10_bands", "SELECT CAST(CASE WHEN value >= 80 THEN 80.0 WHEN value >= 60 THEN 60.0 WHEN value >= 40 THEN 40.0 WHEN value >= 20 THEN 20.0 ELSE -1.0 END AS DOUBLE) AS band, count(*) AS n FROM events GROUP BY 1")

@@ -8,6 +8,7 @@ from docq.functions import metric
 from docq.operators import reshape, rules
 from docq.plans import jobs
 from docq.plans.catalog import BOXES, LINES, READS, boxes, html_tables, kie_docs, lines, query, reads, t
+from docq.plans.q_data import _GROUPED
 from docq.plans.q_text import _FIELDS
 
 
@@ -60,7 +61,14 @@ def job04(spark, d):
     return jobs.field_vqa(customer_fields(spark, d), questions, "doc")
 
 
-@query("job05_page_ocr")
+@query(
+    "job05_page_ocr",
+    f"""WITH RECURSIVE {BOXES}, {_GROUPED}, bins AS (SELECT doc, floor(x1 / 15) AS bin, count(*) AS n FROM boxes GROUP BY 1, 2),
+tl AS (SELECT doc, sum(n) >= 20 AND count(*) FILTER (n >= 5) >= 2 AS tl FROM bins GROUP BY 1),
+f AS (SELECT doc, count(*) AS n, avg(CASE WHEN label = 'R' THEN 1.0 ELSE 0.0 END) AS h, count(*) FILTER (trim(mark) <> '') AS texts FROM boxes GROUP BY 1),
+l AS (SELECT doc, line, string_agg(label || idx, ' ' ORDER BY x1, idx) AS t FROM boxes JOIN grouped USING (doc, idx) GROUP BY 1, 2)
+SELECT doc, string_agg(t, chr(10) ORDER BY line) AS text FROM l JOIN f USING (doc) JOIN tl USING (doc) WHERE n >= 2 AND h <= 0.5 AND NOT tl AND texts > 0 GROUP BY doc""",
+)
 def job05(spark, d):
     b = boxes(spark, d).withColumn("word", F.concat("label", F.col("idx").cast("string")))
     drops = rules.page_drop_reason(b.withColumn("hand", F.col("label") == "R"), "doc", "x1", "hand", "mark", min_boxes=2, hand_max=0.5)
