@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[Column, Column, Column, Column]
@@ -12,6 +12,19 @@ def box(prefix: str = "") -> Box:
     return tuple(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
 
 
+def quad_box(x: Column, y: Column) -> Box:
+    """The upright box around the corners of a quad (arrays of their x and y)."""
+    return F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)
+
+
+def union_bbox(words: DataFrame, line: list[str], x: str, y: str, text: str, order: list[str]) -> DataFrame:
+    """line, x1, y1, x2, y2, text: of each line the box around its words' quads, and their texts in order, joined by spaces."""
+    b = quad_box(F.col(x), F.col(y))
+    edges = [f(c).alias(n) for f, c, n in zip((F.min, F.min, F.max, F.max), b, ("x1", "y1", "x2", "y2"), strict=True)]
+    said = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("text_"))))
+    return words.groupBy(*line).agg(*edges, F.array_join(F.transform(said, lambda w: w["text_"]), " ").alias("text"))
+
+
 def area(b: Box) -> Column:
     return F.greatest(b[2] - b[0], F.lit(0)) * F.greatest(b[3] - b[1], F.lit(0))
 

@@ -133,11 +133,39 @@ def at_index(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
 
 
 def token_budget(df: DataFrame, total: str, limit: int) -> DataFrame:
-    """Rows over a limit, tokens lost to it, and the most, as the next multiple of 1024."""
+    """Rows over a limit, tokens lost to it, the most, as the next multiple of 1024 too, and
+    p50 to p100: totals at index int(n * share) of their order."""
     t = F.col(total)
-    return df.agg(
+    sums = df.agg(
         F.count("*").alias("n"), F.count_if(t > limit).alias("over"), F.sum(F.greatest(t - limit, F.lit(0))).alias("lost"), F.max(t).alias("most"), (F.ceil(F.max(t) / 1024) * 1024).cast("bigint").alias("next_1024")
     )
+    return sums.crossJoin(at_index(df, total, {f"p{q}": q / 100 for q in (50, 90, 95, 99, 100)}))  # two single rows
+
+
+def size_profile(df: DataFrame, order: str, w: str, h: str, sample: int = 300, seed: int = 0) -> DataFrame:
+    """n, and of a systematic sample the least, middle and greatest width and height and the
+    middle size in megapixels (middle: at index n // 2)."""
+    from docq.operators.sampling import systematic
+
+    wide, high = F.col(w), F.col(h)
+    # A report over a bounded sample: its values are sorted in one row.
+    s = systematic(df.where(wide.isNotNull() & high.isNotNull()), order, sample, seed).agg(
+        F.count("*").alias("n"), *[F.sort_array(F.collect_list(c)).alias(n) for c, n in ((wide, "w"), (high, "h"), (wide * high / 1e6, "mp"))]
+    )
+    middle = lambda c: F.get(c, F.floor(F.size(c) / 2).cast("int"))
+    edges = [x for n in ("w", "h") for x in (F.get(n, F.lit(0)).alias(f"{n}_min"), middle(n).alias(f"{n}_med"), F.get(n, F.size(n) - 1).alias(f"{n}_max"))]
+    return s.select("n", *edges, F.round(middle("mp"), 2).alias("mp_med"))
+
+
+def item_hits(items: DataFrame, texts: DataFrame, doc: str, by: list[str]) -> DataFrame:
+    """by, n, name_hits, price_hits: items whose name, whose price stands in their document's text.
+    items: doc, name, price and the columns `by`; texts: doc, text.  An empty name or price is no hit."""
+    j = items.join(texts.select(doc, "text"), doc, "left")
+
+    def hit(c: str) -> Column:
+        return F.count_if((F.coalesce(F.col(c), F.lit("")) != "") & F.col("text").contains(F.col(c)))
+
+    return j.groupBy(*by).agg(F.count("*").alias("n"), hit("name").alias("name_hits"), hit("price").alias("price_hits"))
 
 
 def funnel(df: DataFrame, reason: str, order: list[str]) -> DataFrame:

@@ -1,21 +1,33 @@
-"""Cutting lineage where a plan is read more than once or grows with rounds."""
+"""Folders that driver and executors share: cut lineage, tables on the way, checkpoints of streams."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as files under spark.checkpoint.dir, which driver and executors share.  Only where that
-    is unset and the master is local a temporary folder stands in; on a cluster it is an error."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if spark.sparkContext.master.partition("[")[0] != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="spark-docq-")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Only where that is unset and the master is local a
+    temporary folder stands in; on a cluster it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-docq-")
         spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_dir(spark)}/docq-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as files under the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

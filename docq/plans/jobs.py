@@ -107,6 +107,23 @@ def checkpoint_report(scores: DataFrame, step: str, task: str, arm: str, cer: st
     return scores.groupBy(step, task).pivot(arm, arms).agg(F.avg(cer))
 
 
+def panel_index(scores: DataFrame, on: str, arm: str, as_is: str, to_be: str) -> DataFrame:
+    """A row for each case of a side-by-side panel: on, gt_chars, of either arm its text's
+    length, CER and whether it is exact, the gain (CER saved), and the verdict: better,
+    worse, same or missing (an arm has no text).  scores: on, arm, gt, pred.
+    Of repeated rows of an arm the largest text counts."""
+    picked = scores.where(F.col(arm).isin(as_is, to_be)).groupBy(on).agg(
+        F.max("gt").alias("gt"), *[F.max(F.when(F.col(arm) == a, F.col("pred"))).alias(n) for a, n in ((as_is, "a"), (to_be, "b"))]
+    )
+    both = picked.select(on, F.length("gt").alias("gt_chars"), *[
+        c for n, name in (("a", "as_is"), ("b", "to_be"))
+        for c in (F.length(n).alias(f"{name}_chars"), F.when(F.col(n).isNotNull(), metric.cer(F.col("gt"), F.col(n))).alias(f"{name}_cer"), (F.col("gt") == F.col(n)).alias(f"{name}_exact"))
+    ])
+    gain = F.col("as_is_cer") - F.col("to_be_cer")
+    verdict = F.when(gain.isNull(), "missing").when(gain > 0, "better").when(gain < 0, "worse").otherwise("same")
+    return both.withColumn("gain", gain).withColumn("verdict", verdict)
+
+
 def unseen_pool(pool: DataFrame, seen: DataFrame, on: str, doc: str, order: list[str], n: int) -> DataFrame:
     """n rows that training has not seen, at most one of each document."""
     from docq.operators.win import one_per_group

@@ -9,6 +9,7 @@ from docq.functions import metric, prompts, text
 from docq.operators import agg, joins, reshape, rules, sampling, setops, tables
 from docq.plans import jobs
 from docq.plans.catalog import BOXES, LINES, READS, SCORES, boxes, html_tables, kie_docs, lines, preds, query, reads, responses, scores, t
+from docq.plans.q_data import _CER
 
 R6 = lambda c: F.round(c, 6)
 
@@ -64,17 +65,17 @@ def prj19(spark, d):
 
 @query("agg09_item_hits", f"WITH {READS} SELECT tier, count(*) AS n, count(*) FILTER (contains(pred, split_part(gt, ' ', 1))) AS name_hits, count(*) FILTER (contains(pred, split_part(gt, ' ', 3))) AS price_hits FROM reads GROUP BY 1")
 def agg09(spark, d):
-    part = F.split("gt", " ")
-    return reads(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("pred").contains(part[0])).alias("name_hits"), F.count_if(F.col("pred").contains(part[2])).alias("price_hits"))
+    part, r = F.split("gt", " "), reads(spark, d)
+    return agg.item_hits(r.select("id", "tier", part[0].alias("name"), part[2].alias("price")), r.select("id", F.col("pred").alias("text")), "id", ["tier"])
 
 
 @query(
     "agg16_size_profile",
-    "WITH r AS (SELECT p_size, row_number() OVER (ORDER BY md5('0|' || p_partkey), p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT count(*) AS n, min(p_size) AS least, max(p_size) AS most, median(p_size) AS middle FROM r WHERE i % greatest(1, n // 50) = 0",
+    """WITH r AS (SELECT p_size, p_name, row_number() OVER (ORDER BY md5('0|' || p_partkey), p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT count(*) AS n, min(p_size) AS w_min, list_sort(list(p_size))[count(*) // 2 + 1] AS w_med, max(p_size) AS w_max, min(length(p_name)) AS h_min, CAST(list_sort(list(length(p_name)))[count(*) // 2 + 1] AS INT) AS h_med, max(length(p_name)) AS h_max,
+ round(list_sort(list(p_size * length(p_name) / 1000000.0))[count(*) // 2 + 1], 2) AS mp_med FROM r WHERE i % greatest(1, n // 50) = 0""",
 )
 def agg16(spark, d):
-    s = sampling.systematic(t(spark, d, "part"), "p_partkey", 50)
-    return s.agg(F.count("*").alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.median("p_size").alias("middle"))
+    return agg.size_profile(t(spark, d, "part").withColumn("high", F.length("p_name")), "p_partkey", "p_size", "high", 50)
 
 
 @query(
@@ -308,9 +309,46 @@ def compared_tables(spark, d):
     return n.select("doc", "row", "name", "numbers"), html
 
 
-@query("job25_panel_index", f"WITH {READS} SELECT id, model, length(gt) AS gt_len, length(pred) AS pred_len, gt = pred AS exact FROM reads")
+@query(
+    "job25_panel_index",
+    f"""WITH {READS}, x AS (SELECT id, gt, CASE WHEN id % 11 <> 0 THEN upper(gt) END AS a, pred AS b FROM reads),
+c AS (SELECT *, {_CER.replace('pred', 'a')} AS ca, {_CER.replace('pred', 'b')} AS cb FROM x)
+SELECT id, length(gt) AS gt_chars, length(a) AS as_is_chars, round(ca, 6) AS as_is_cer, gt = a AS as_is_exact, length(b) AS to_be_chars, round(cb, 6) AS to_be_cer, gt = b AS to_be_exact, round(ca - cb, 6) AS gain,
+  CASE WHEN ca IS NULL THEN 'missing' WHEN ca > cb THEN 'better' WHEN ca < cb THEN 'worse' ELSE 'same' END AS verdict FROM c""",
+)
 def job25(spark, d):
-    return reads(spark, d).select("id", "model", F.length("gt").alias("gt_len"), F.length("pred").alias("pred_len"), (F.col("gt") == F.col("pred")).alias("exact"))
+    r = reads(spark, d)
+    arms = r.where("id % 11 <> 0").select("id", "gt", F.upper("gt").alias("pred"), F.lit("before").alias("arm")).unionByName(r.select("id", "gt", "pred", F.lit("after").alias("arm")))
+    out = jobs.panel_index(arms, "id", "arm", "before", "after")
+    return out.withColumns({c: F.round(c, 6) for c in ("as_is_cer", "to_be_cer", "gain")})
+
+
+@query(
+    "sca34_root_cause",
+    """WITH k AS (SELECT l_orderkey AS doc, avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS g, avg(l_discount * 10) AS tb, count(*) AS gn, count(*) FILTER (l_quantity > 2) AS pn, sum(l_quantity) AS chars, bool_and(l_returnflag = 'R') AS lost FROM lineitem GROUP BY 1)
+SELECT doc, CASE WHEN pn = 0 THEN 'missing_prediction' WHEN chars <= 120 THEN 'empty_parse' WHEN lost THEN 'table_lost' WHEN gn <> pn THEN 'row_count' WHEN round(tb - g, 6) > 0.15 THEN 'general_fields' WHEN round(g - tb, 6) > 0.15 THEN 'table_fields' ELSE 'overall' END AS cause FROM k""",
+)
+def sca34(spark, d):
+    k = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(
+        F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("g"), F.avg(F.col("l_discount") * 10).alias("tb"), F.count("*").alias("gn"), F.count_if(F.col("l_quantity") > 2).alias("pn"),
+        F.sum("l_quantity").alias("chars"), F.bool_and(F.col("l_returnflag") == "R").alias("lost"),
+    )
+    diff = F.round(F.col("tb") - F.col("g"), 6)
+    return k.select("doc", rules.root_cause(F.col("pn") == 0, F.col("chars"), F.col("lost"), F.col("gn"), F.col("pn"), F.lit(0.0), diff).alias("cause"))
+
+
+@query(
+    "job17_score_predictions",
+    f"""WITH {READS}, m AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'table' ELSE 'text' END AS task FROM reads WHERE id % 7 <> 0), s AS (SELECT model, task, {_CER} AS cer, gt = pred AS ok FROM m),
+tk AS (SELECT model, task, count(*) AS n, sum(cer) AS s, avg(cer) AS m, count(*) FILTER (ok) AS e FROM s GROUP BY 1, 2)
+SELECT model, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS micro, round(avg(m), 6) AS macro, CAST(sum(e) AS BIGINT) AS exact FROM tk GROUP BY 1""",
+)
+def job17(spark, d):
+    # The predictions' own idea of the truth is not read; crops that were dropped are not scored.
+    r = reads(spark, d)
+    manifest = r.where("id % 7 <> 0").select("id", "gt", F.when(F.col("id") % 3 == 0, "table").otherwise("text").alias("task"))
+    out = jobs.score_predictions(manifest, r.select("id", "model", "pred"), "id")
+    return out.select("model", "n", R6("micro").alias("micro"), R6("macro").alias("macro"), "exact")
 
 
 @query(

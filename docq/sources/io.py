@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # ---- readers ----
 
@@ -15,12 +18,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_docs(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(docs, corrupt): one JSON document a file, keyed by the file's stem; broken ones apart."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """(docs, corrupt): one JSON document a file, keyed by the file's stem, in any folder under
+    the path; files that are blank or no JSON apart, as they stand.  Spark's readers
+    pass over files without a single byte."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    r = raw.select(stem.alias("doc_id"), F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
-    good = r.where("r._corrupt_record is null").select("r.*", "doc_id").drop("_corrupt_record")
-    return good, r.where("r._corrupt_record is not null").select("doc_id", "r._corrupt_record")
+    r = raw.select(stem.alias("doc_id"), "value", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"))
+    good = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
+    return r.where(good).select("r.*", "doc_id").drop("_corrupt_record"), r.where(~good).select("doc_id", F.col("value").alias("_corrupt_record"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,11 +33,21 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def scan_review_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, corrupt): a review sheet, its byte order mark dropped, rows without a verdict
+    left out; lines with more or fewer cells than the header apart, as they stand."""
+    head = spark.read.option("header", True).csv(path).columns
+    names = [c.lstrip("\ufeff").strip() for c in head]
+    schema = StructType([StructField(c, StringType()) for c in [*names, "_corrupt_record"]])
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    good = df.where(F.col("_corrupt_record").isNull() & (F.trim(F.coalesce("verdict", F.lit(""))) != "")).drop("_corrupt_record")
+    # The cells are looked at too, as Spark reads no file for its corrupt lines alone.
+    return good, df.where(F.col("_corrupt_record").isNotNull() & (F.length(F.concat_ws("", *names)) >= 0)).select("_corrupt_record")
+
+
 def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A review sheet, its byte order mark dropped, rows without a verdict left out."""
-    df = spark.read.option("header", True).csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return df.where(F.trim(F.coalesce("verdict", F.lit(""))) != "")
+    """The good rows of scan_review_csv."""
+    return scan_review_csv(spark, path)[0]
 
 
 def parse_yolo(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -51,9 +66,9 @@ def read_yolo(spark: SparkSession, path: str) -> DataFrame:
 
 def read_field_texts(spark: SparkSession, path: str, allowed: tuple[str, ...]) -> DataFrame:
     """doc_id, field, value from files DOC_field.txt, over all folders under the path."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    t = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_name")
-    parts = t.select(F.regexp_extract(name, r"^([^_]+)_(.+)\.[^.]+$", 1).alias("doc_id"), F.regexp_extract(name, r"^([^_]+)_(.+)\.[^.]+$", 2).alias("field"), F.trim("value").alias("value"))
+    parts = t.select(F.regexp_extract(name, r"^([^_]+)_(.+)\.[^.]+$", 1).alias("doc_id"), F.regexp_extract(name, r"^([^_]+)_(.+)\.[^.]+$", 2).alias("field"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
     return parts.where(F.col("field").isin(*allowed) & (F.col("value") != ""))
 
 
@@ -69,7 +84,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """ext, files, bytes of the files under a path; contents are not read."""
+    """ext, files, bytes of the files under a path that have a byte at least; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return f.groupBy(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("ext")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
@@ -115,12 +130,40 @@ def parse_progress(col: Column) -> Column:
     return F.when(col.rlike(p), F.struct(part[0].cast("int").alias("done"), part[1].cast("int").alias("total"), part[2].cast("double").alias("sec_per_it")))
 
 
-def profile_table(df: DataFrame) -> DataFrame:
-    """name, type, rows, nulls, distinct of each column, in one pass over the table."""
-    each = [F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls")) for c, t in df.dtypes]
+def profile_table(df: DataFrame, position: list[str | Column] | None = None, lg_distinct: int = 16) -> DataFrame:
+    """name, type, rows, nulls, distinct, first of each column, in one pass over the table.
+
+    distinct comes of a sketch that merges: exact up to 2 ** lg_distinct values, an
+    estimate beyond.  first is the value in the row of least `position` (columns that tell
+    rows apart, as a file's path and the row in it; null without), as text: binary as <bytes n>."""
+
+    def shown(c: str, kind: str) -> Column:
+        if kind == "binary":
+            return F.concat(F.lit("<bytes "), F.octet_length(c).cast("string"), F.lit(">"))
+        return F.to_json(c) if kind.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+
+    def one(c: str, kind: str) -> Column:
+        sketch = F.theta_sketch_agg(F.col(c) if kind in ("int", "bigint", "string", "binary") else shown(c, kind), lg_distinct)
+        first = F.lit(None).cast("string")
+        if position:
+            # A null first value is one too: what is compared is never null.
+            first = F.min_by(F.struct(shown(c, kind).alias("v")), F.struct(*position))["v"]
+        return F.struct(
+            F.lit(c).alias("name"), F.lit(kind).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"),
+            F.coalesce(F.theta_sketch_estimate(sketch), F.lit(0)).alias("distinct"), first.alias("first"),
+        )
+
+    held = {c if isinstance(c, str) else "" for c in position or ()}
+    each = [one(c, kind) for c, kind in df.dtypes if c not in held or not c.startswith("_")]
     return df.agg(F.array(*each).alias("a")).select(F.inline("a"))
 
 
+def profile_files(spark: SparkSession, path: str) -> DataFrame:
+    """The profile of Parquet files, first rows by file and place in it."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return profile_table(df, ["_file", "_row"])
+
+
 # ---- writers ----
 
 
@@ -129,12 +172,34 @@ def write_samples(df: DataFrame, path: str, keep_meta: bool = False) -> None:
     df.select(*[c for c in df.columns if not c.startswith("_") and (keep_meta or c != "meta")]).write.json(path)
 
 
-def write_taxonomy_tree(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("domain", "sub_domain", "dataset_name", "task_category").json(path)
+def write_leaves(df: DataFrame, leaf: list[str], path: str, rows_per_file: int = 1_000_000, fmt: str = "json") -> None:
+    """One file for each leaf (values of some columns), and files of at most rows_per_file rows
+    for a larger leaf, which is split by a hash of its rows: a task may write many leaves, and a
+    large leaf goes to many tasks.  Leaves are counted first."""
+    sizes = df.groupBy(*leaf).agg(F.ceil(F.count("*") / rows_per_file).alias("parts_")).where("parts_ > 1")
+    named = sizes.select(*[F.col(c).alias(f"l{i}_") for i, c in enumerate(leaf)], "parts_")
+    same = [F.col(c).eqNullSafe(F.col(f"l{i}_")) for i, c in enumerate(leaf)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    # Leaves larger than a file are fewer than files; Spark decides by their size how to join.
+    rows = df.join(named, on, "left").withColumn("part_", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("parts_")), F.lit(0)))
+    rows = rows.repartition(*leaf, "part_").sortWithinPartitions(*leaf)
+    # Where adaptive execution gives several parts of a leaf to one task, that writes several files.
+    rows.select(*df.columns).write.partitionBy(*leaf).option("maxRecordsPerFile", rows_per_file).format(fmt).save(path)
+
+
+TREE = ["domain", "sub_domain", "dataset_name", "task_category"]
+
+
+def write_taxonomy_tree(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """JSON lines in a folder for each domain, sub_domain, dataset_name and task_category."""
+    write_leaves(df, TREE, path, rows_per_file)
 
 
-def write_splits(df: DataFrame, split: str, tier: str | None, path: str) -> None:
-    df.write.partitionBy(*([split] if tier is None else [split, tier])).json(path)
+def write_splits(df: DataFrame, split: str, tier: str | None, path: str, rows_per_file: int = 1_000_000) -> None:
+    """JSON lines in a folder for each split, and each tier of it where one is named."""
+    write_leaves(df, [split] if tier is None else [split, tier], path, rows_per_file)
 
 
 def to_yolo(boxes: DataFrame, doc: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -171,13 +236,58 @@ def write_ranked_csv(df: DataFrame, path: str, **how) -> None:
     ranked(df, **how).coalesce(1).write.option("header", True).csv(path)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The published versions under a path, oldest first."""
+    p, fs = _files(spark, path)
+    held = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x[2:]) for x in held if x.startswith("v=") and x[2:].isdigit())
+
+
 def write_versioned(df: DataFrame, path: str) -> str:
-    """A new folder v=N beside earlier ones; nothing is overwritten."""
+    """A new folder v=N beside earlier ones; nothing is overwritten.
+
+    Rows are written aside; then a number is claimed by creating its commit file, which
+    only one writer can, and the folder renamed to it: readers see whole
+    versions alone, and two writers never have one number."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    held = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    n = 1 + max([int(x[2:]) for x in held if x.startswith("v=") and x[2:].isdigit()], default=0)
-    df.write.parquet(f"{path}/v={n}")
+    aside = f"{path}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    source, fs = _files(spark, aside)
+    n = max([0, *versions(spark, path)]) + 1
+    while True:
+        commit, _ = _files(spark, f"{path}/_commits/{n}")
+        try:
+            fs.create(commit, False).close()
+            break
+        except Py4JJavaError as e:
+            if not fs.exists(commit):
+                raise e
+            n += 1
+    target, _ = _files(spark, f"{path}/v={n}")
+    if not fs.rename(source, target):
+        raise OSError(f"cannot publish {target}")
     return f"{path}/v={n}"
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+
+
+def read_backup(spark: SparkSession, path: str) -> DataFrame:
+    """What there was before the first overwrite: later ones do not replace it."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[0]}")
+
+
+def drop_between(spark: SparkSession, path: str) -> int:
+    """Delete all versions but the first and the newest; how many they were."""
+    between = versions(spark, path)[1:-1]
+    for n in between:
+        p, fs = _files(spark, f"{path}/v={n}")
+        fs.delete(p, True)
+    return len(between)
