@@ -21,10 +21,22 @@ from docq.llm.scratch import Scratch
 BITS = 32
 
 
+def evened(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares would overflow or vanish, divided by a power of two near their largest component: the cosine stays."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    odd = (most > 1e100) | (most < 1e-100)
+    if not odd.any():
+        return vectors
+    out = vectors.copy()
+    out[odd] = np.ldexp(vectors[odd], -np.frexp(most[odd])[1][:, None])
+    return out
+
+
 class Forest:
     """The sorted arrays of one block. vectors: (n, dim) doubles, none zero."""
 
     def __init__(self, vectors: np.ndarray, trees: int, seed: int = 7):
+        vectors = evened(vectors)
         self.vectors, self.norms = vectors, np.linalg.norm(vectors, axis=1)
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * BITS)).astype(np.float32)
         codes = self.codes(vectors / self.norms[:, None])
@@ -61,6 +73,7 @@ class Forest:
 
     def search(self, queries: np.ndarray, k: int, enough: int):
         """For each query, indices and cosines of at least its k best candidates; all that tie with the last."""
+        queries = evened(queries)
         norms = np.linalg.norm(queries, axis=1)
         for i, c in enumerate(self.candidates(queries / norms[:, None], enough)):
             cos = (self.vectors[c] @ queries[i]) / (self.norms[c] * norms[i])

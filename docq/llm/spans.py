@@ -10,18 +10,33 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
+#: Matches that are folded one by one; arrays grow by no more at a time.
+CHUNK = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_spans(text: Column, pattern: str, ok: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, text), in code points,
     end exclusive; `ok` keeps a match.
 
     The text between matches (split) and the matches themselves give every
     position as a running length, so nothing is searched for a second time.
+    Running lengths are added up by chunks of CHUNK matches, then inside each, as an array that grows by
+    one is copied each time: time goes with the matches, not with their square.
     A text without a match, or null, costs one search and gives an empty array.
     The pattern must not match the empty string.
     """
     empty = F.expr(f"cast(array() as {SPAN})")
+    zero = F.lit(0).cast("bigint")
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
+    def size(x: Column) -> Column:
+        return F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
@@ -29,8 +44,23 @@ def match_spans(text: Column, pattern: str, ok: Callable[[Column], Column] | Non
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(empty)
+    def folded(some: Column, at: Column) -> Column:
+        return F.aggregate(some, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def chunked(all_: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            return F.slice(all_, c * CHUNK + 1, F.lit(CHUNK))
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        sums = F.transform(numbers, lambda c: F.aggregate(chunk(c), zero, lambda n, x: n + size(x)))
+        heads = F.aggregate(
+            sums, F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"],
+        )
+        return F.flatten(F.transform(heads, lambda head, c: folded(chunk(c), head)))
+
+    found = _let(parts, lambda x: F.when(F.size(x) <= CHUNK, folded(x, zero)).otherwise(chunked(x)))
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def of_kind(kind: str, order: int, spans: Column) -> Column:
