@@ -12,6 +12,8 @@ SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 
 #: Matches that are folded one by one; arrays grow by no more at a time.
 CHUNK = 128
+#: Bytes up to which a text's matches are folded as one chunk.
+SHORT = 4096
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,8 +61,9 @@ def match_spans(text: Column, pattern: str, ok: Callable[[Column], Column] | Non
         )
         return F.flatten(F.transform(heads, lambda head, c: folded(chunk(c), head)))
 
-    found = _let(parts, lambda x: F.when(F.size(x) <= CHUNK, folded(x, zero)).otherwise(chunked(x)))
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    # A short text has few matches, and its parts need no name.
+    short = F.octet_length(text) <= SHORT
+    return F.when(text.rlike(pattern), F.when(short, folded(parts, zero)).otherwise(_let(parts, chunked))).otherwise(empty)
 
 
 def of_kind(kind: str, order: int, spans: Column) -> Column:
