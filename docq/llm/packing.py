@@ -2,8 +2,9 @@
 
 Texts are cut into pieces of at most `capacity`; a full piece is a bin by
 itself.  The other pieces, one of each text, are dealt into shards by a hash of
-their row, so that each shard holds about `shard_rows` pieces however often a
-row repeats, and every shard is packed in one task, largest first.  Open bins are kept ordered by residual space; each
+id and text (and of their row, where very many rows agree in both), so that each
+shard holds about `shard_rows` pieces however often a row repeats, and every shard
+is packed in one task, largest first.  Open bins are kept ordered by residual space; each
 carries a bitmap of the sources and one of the duplicate clusters inside it.
 The search starts at the successor of the piece's size and goes on until the
 tightest bin that conflicts in neither bitmap is found, else opens a bin.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docq.llm.scratch import Scratch
+from docq.llm.scratch import Scratch, bounded
 from docq.llm.token_files import _encoder, steps
 
 
@@ -119,16 +120,22 @@ def _pack(capacity: int):
     return run
 
 
-def _places(rows: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
-    """A bin and a place in it for each piece of rows (row, doc_id, s, cluster, n), a written table."""
+def _places(scratch: Scratch, rows: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
+    """A bin and a place in it for each piece of rows (row, doc_id, s, cluster, key, n), a written table."""
     full = F.floor(F.col("n") / capacity)
     rest = rows.where((F.col("n") % capacity > 0) | (F.col("n") == 0))
     shards = max(1, -(-rest.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int")
-    pieces = rest.select(shard.alias("shard"), (F.col("n") % capacity).alias("size"), "row", "doc_id", full.alias("piece"), (full * capacity).alias("start"), F.col("s").alias("source"), "cluster")
+    # Equal rows share a shard, in which they may trade places, unless they would fill much of it.
+    hot = rest.groupBy("doc_id", "key").agg(F.count("*").alias("held")).where(F.col("held") > max(1, shard_rows // 8))
+    hot = scratch.table(hot.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), "held"), "repeated")
+    rest = rest.join(bounded(hot), F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("key").eqNullSafe(F.col("k_")), "left")
+    salt = F.when(F.col("held").isNotNull(), F.col("row"))
+    shard = F.pmod(F.xxhash64("doc_id", "key", salt, F.lit(17)), F.lit(shards)).cast("int")
+    pieces = rest.select(shard.alias("shard"), (F.col("n") % capacity).alias("size"), "row", "doc_id", full.alias("piece"), (full * capacity).alias("start"), F.col("s").alias("source"), "cluster", "key")
     packed = (
         pieces.repartition(shards, "shard")
-        .sortWithinPartitions("shard", F.desc("size"), "doc_id", "row")
+        .sortWithinPartitions("shard", F.desc("size"), "doc_id", "key", "source", "cluster", "row")
+        .drop("key")
         .mapInArrow(_pack(capacity), "shard int, bin long, doc_id long, piece long, text_start long, length long, bin_start long, row long")
     )
     # Full pieces are whole bins: the row's, in a shard below zero for each piece.
@@ -141,10 +148,10 @@ def _places(rows: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None) -> DataFrame:
-    """docs with what packing needs: row, doc_id, s, cluster."""
+    """docs with what packing needs: row, doc_id, s, cluster, key (of the text)."""
     cluster = F.xxhash64(F.col(text_col)) if cluster_col is None else F.xxhash64(F.col(cluster_col))
     source = F.when(F.col(source_col).isNotNull(), F.xxhash64(F.col(source_col).cast("string")))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), source.alias("s"), cluster.alias("cluster"), F.col(text_col).alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), source.alias("s"), cluster.alias("cluster"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
 def pack(
@@ -164,6 +171,9 @@ def pack(
     numbers of their own).  No bin exceeds `capacity`, and of pieces smaller than
     it no bin holds two of one source, of one duplicate cluster, or of one document.
 
+    Bins hang on the rows' contents, not on how files or partitions split them: only of
+    more than shard_rows / 8 rows that agree in id and text is each dealt by its place.
+
     cluster_col names the duplicate cluster; by default equal texts form one.
     Null and empty texts make one piece of length 0; a null source conflicts
     with nothing; repeated rows conflict as equal texts; a null id is kept.
@@ -171,20 +181,20 @@ def pack(
     """
     scratch = Scratch(docs.sparkSession, "packing")
     rows = _named(docs, id_col, text_col, source_col, cluster_col).withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return _places(scratch.table(rows.drop("text"), "rows"), capacity, shard_rows)
+    return _places(scratch, scratch.table(rows.drop("text"), "rows"), capacity, shard_rows)
 
 
 def _ids(tokenizer_path: str, end_id: int | None):
     def run(batches):
         enc = _encoder(tokenizer_path)
         for batch in batches:
-            for a, b in steps(batch.column(4)):
+            for a, b in steps(batch.column(5)):
                 piece = batch.slice(a, b - a)
-                got = enc.encode([t or "" for t in piece.column(4).to_pylist()], end_id)
+                got = enc.encode([t or "" for t in piece.column(5).to_pylist()], end_id)
                 off = np.concatenate(([0], np.cumsum([len(g) // enc.dtype.itemsize for g in got]))).astype(np.int32)
                 flat = np.frombuffer(b"".join(got), enc.dtype).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:4], ids, pa.array(np.diff(off).astype(np.int64))], names=["row", "doc_id", "s", "cluster", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:5], ids, pa.array(np.diff(off).astype(np.int64))], names=["row", "doc_id", "s", "cluster", "key", "ids", "n"])
 
     return run
 
@@ -209,8 +219,8 @@ def pack_ids(
     """
     scratch = Scratch(docs.sparkSession, "packing")
     named = _named(docs, id_col, text_col, source_col, cluster_col)
-    rows = scratch.table(named.mapInArrow(_ids(tokenizer_path, end_id), "row long, doc_id long, s long, cluster long, ids array<int>, n long"), "ids")
-    placed = _places(rows.drop("ids"), capacity, shard_rows).join(rows.select("row", "ids"), "row")
+    rows = scratch.table(named.mapInArrow(_ids(tokenizer_path, end_id), "row long, doc_id long, s long, cluster long, key long, ids array<int>, n long"), "ids")
+    placed = _places(scratch, rows.drop("ids"), capacity, shard_rows).join(rows.select("row", "ids"), "row")
     cut = F.slice("ids", (F.col("text_start") + 1).cast("int"), F.col("length").cast("int"))
     piece = F.struct("bin_start", "length", "row", "doc_id", "piece", F.col("text_start").alias("token_start"), cut.alias("cut"))
     # A bin holds at most `capacity` ids, and pieces of no ids at most one of each source.

@@ -59,36 +59,42 @@ def _shuffled(seed: int):
     return run
 
 
-def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
-    """Write docs in a random order cut into shards, and read what was written.
-
-    Returns doc_id, text, shard (0 to shards-1), slot (place in the shard,
-    gapless from 0).  Counts of shards differ by one at most.  Order by shard
-    and slot is the random order; equal input and seed give it again.
-
-    bucket_bytes bounds what one task holds: a bucket of that many bytes of
-    text, on average.  100 TB make 3 million buckets of the default size; give a
-    larger one where executors have the memory.  Null texts stay null; null ids
-    and repeated rows are records like others (rows that agree in id and text may
-    trade places; many of them are dealt by their place in the input, not to one
-    bucket); other columns are not read; an empty table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession, "shards")
+def _dealt(scratch: Scratch, docs: DataFrame, seed: int, id_col: str, text_col: str, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, doc_id, text), partitioned and sorted by bucket, and how many they are."""
     crc = F.crc32(F.col("text").cast("binary"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("crc", crc)
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     groups = scratch.table(rows.groupBy("doc_id", "crc").agg(F.count("*").alias("n"), F.sum(size).alias("size")), "groups")
     total = groups.agg(F.sum("size"), F.sum("n")).first()
     n, buckets = total[1] or 0, max(1, -(-(total[0] or 0) // bucket_bytes))
-    # Null ids and repeated ids spread by their text, groups of equal rows by the rows' places.
-    hot = groups.where(F.col("n") > HOT_ROWS).select(F.col("doc_id").alias("d_"), F.col("crc").alias("c_"))
+    # Null ids and repeated ids spread by their text, large groups of equal rows by the rows' places.
+    hot = groups.where((F.col("n") > HOT_ROWS) | (F.col("n") > 1) & (F.col("size") > bucket_bytes // 4)).select(F.col("doc_id").alias("d_"), F.col("crc").alias("c_"), F.lit(True).alias("hot"))
     if not hot.isEmpty():
         rows = rows.join(bounded(hot), F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("crc").eqNullSafe(F.col("c_")), "left")
-        rows = rows.withColumn("salt", F.when(F.col("d_").isNotNull() | F.col("c_").isNotNull(), F.monotonically_increasing_id()))
+        rows = rows.withColumn("salt", F.when(F.col("hot"), F.monotonically_increasing_id()))
     else:
         rows = rows.withColumn("salt", F.lit(None).cast("long"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "crc", "salt"), F.lit(buckets)).cast("int")
-    dealt = rows.select(bucket.alias("bucket"), "doc_id", "text", "crc").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "crc").drop("crc")
+    return rows.select(bucket.alias("bucket"), "doc_id", "text", "crc").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "crc").drop("crc"), n
+
+
+def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
+    """Write docs in a random order cut into shards, and read what was written.
+
+    Returns doc_id, text, shard (0 to shards-1), slot (place in the shard,
+    gapless from 0).  Counts of shards differ by one at most.  Order by shard
+    and slot is the random order; equal input and seed give it again.
+
+    bucket_bytes bounds what one task holds: a bucket of about that many bytes of
+    text, and of one text where that is longer.  100 TB make 3 million buckets of the
+    default size; give a larger one where executors have the memory.  Null texts stay null; null ids
+    and repeated rows are records like others (rows that agree in id and text may
+    trade places; where they are more than 1,000, or a quarter of a bucket together, they are
+    dealt by their place in the input, not to one bucket); other columns are not
+    read; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "shards")
+    dealt, n = _dealt(scratch, docs, seed, id_col, text_col, bucket_bytes)
     written = scratch.table(dealt.mapInArrow(_shuffled(seed), "bucket int, doc_id long, text string, bucket_slot long"), "buckets")
     # One row a bucket: a bound by bytes of input over bucket_bytes.
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from docq.llm import ann, chat, decontam, minhash, packing, pii, secret_scan, sharding, token_files, toxicity, words
 from docq.llm import queries as q
+from docq.llm.scratch import Scratch
 from docq.llm.spans import match_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n bigint, id string, kept string, blob string, spans string, shard string"
@@ -443,6 +445,31 @@ def test_orders_do_not_hang_on_settings(spark, mixed):
     assert sum(r["count"] for r in many) == len(ROWS) + 1500 and max(r["count"] for r in many) - min(r["count"] for r in many) <= 1
 
 
+def test_buckets_are_bounded_by_bytes(spark):
+    rows = docs(spark, [(5, "x" * 10_000, "s")] * 900 + [(None, None, "s")] * 1500 + [(i, "y" * 500, "s") for i in range(6, 500)])
+    dealt, n = sharding._dealt(Scratch(spark, "dealt"), rows, 42, "doc_id", "text", 100_000)
+    per = dealt.groupBy("bucket").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()
+    assert n == sum(r["n"] for r in per) == 2894 and max(r.b for r in per) < 300_000 and max(r["n"] for r in per) < 300
+    got = sharding.external_shuffle(rows, shards=4, bucket_bytes=100_000).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 2894 and max(r["count"] for r in got) - min(r["count"] for r in got) <= 1
+
+
+def test_bins_do_not_hang_on_splits(spark):
+    rows = [(i // 2, f"text {i % 700} " * (i % 37), "abcde"[i % 5] if i % 11 else None) for i in range(2000)] + [(3, "again", "s")] * 20 + [(None, None, None)] * 3
+    df = docs(spark, rows)
+
+    def bins(parts):
+        got = packing.pack(df.repartition(parts), capacity=300, shard_rows=200).where("shard >= 0").collect()
+        held = Counter((r.doc_id, r.piece, r.text_start, r.length, r.shard, r.bin, r.bin_start) for r in got)
+        assert len({r["row"] for r in got}) == len(got)
+        return held
+
+    assert bins(1) == bins(7)
+    # Of more rows than a shard takes of one kind, each has a place of its own.
+    many = packing.pack(docs(spark, [(3, "again", "s")] * 3000), capacity=300, shard_rows=200).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in many) == 3000 and max(r["count"] for r in many) < 400
+
+
 def test_fisher_yates():
     assert sorted(sharding.fisher_yates(1000, 1)) == list(range(1000)) and list(sharding.fisher_yates(0, 1)) == []
     seen = {tuple(sharding.fisher_yates(3, s)) for s in range(200)}
