@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docq.llm.scratch import Scratch, bounded, skew_join
+from docq.llm.spans import merged
 from docq.llm.words import ALNUM, U, shingles, words_of
 
 #: Bits of the largest filter: 16 MB.
@@ -139,21 +140,6 @@ def _occurrences(sizes: list[int], window_words: int, known: TokenFilter):
     return run
 
 
-def _merged(spans):
-    """Union of an array of ranges, as disjoint ranges in order."""
-    return F.aggregate(
-        F.array_sort(spans),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-
-
 def text_key(docs: DataFrame, text_col: str = "text"):
     """What names a text among the rows of one id."""
     return F.xxhash64(F.col(text_col), F.length(F.col(text_col)))
@@ -188,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     same = F.slice(F.split("near", " "), F.greatest(F.col("at") - F.col("offset") + 1, F.lit(1)), F.col("words"))
     held = candidates.where((F.col("offset") <= F.col("at")) & (F.array_join(same, " ") == F.col("win")))
     held = scratch.table(held.select("doc_id", "key", start.alias("start"), (start + F.col("words")).alias("end"), "win"), "verified")
-    spans = held.groupBy("doc_id", "key").agg(_merged(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = held.groupBy("doc_id", "key").agg(merged(F.collect_set(F.struct("start", "end"))).alias("spans"))
     names = held.select("doc_id", "key", "win").distinct().join(windows.select("win", "item"), "win").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     names = names.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), "items")
     hits = spans.join(names, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("key") == F.col("k_"))).drop("d_", "k_")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docq.llm.scratch import Scratch
-from docq.llm.spans import match_spans, of_kind
+from docq.llm.spans import marked, match_spans, merged, of_kind
 
 
 @dataclass(frozen=True)
@@ -106,18 +106,6 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span of sorted, possibly overlapping `spans` replaced by one mark."""
-    fold = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < acc["at"], acc["out"])
-                .otherwise(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-                .alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(fold)
+    """text with every span replaced by a mark, spans that overlap by one together.  A null
+    text stays null; null or empty spans leave it as it is."""
+    return F.when(text.isNull() | (F.coalesce(F.size(spans), F.lit(0)) <= 0), text).otherwise(marked(text, merged(spans, touching=False), mark))

@@ -66,6 +66,62 @@ def match_spans(text: Column, pattern: str, ok: Callable[[Column], Column] | Non
     return F.when(text.rlike(pattern), F.when(short, folded(parts, zero)).otherwise(_let(parts, chunked))).otherwise(empty)
 
 
+def merged(spans: Column, touching: bool = True) -> Column:
+    """The union of spans in any order, as disjoint (start, end) in order; spans that
+    only touch become one where `touching` says so.
+
+    With starts and ends each sorted by itself, a new part begins where all spans
+    that began earlier have ended, which is where the end of one place less lies
+    before the start.  Nothing grows span by span.
+    """
+
+    def parts(at: Column) -> Column:
+        starts, ends = at["starts"], at["ends"]
+
+        def apart(end: Column, start: Column) -> Column:
+            return end < start if touching else end <= start
+
+        first = F.filter(starts, lambda s, i: (i == 0) | apart(F.get(ends, i - 1), s))
+        last = F.filter(ends, lambda e, i: (i == F.size(ends) - 1) | apart(e, F.get(starts, i + 1)))
+        return F.arrays_zip(first.alias("start"), last.alias("end")).cast("array<struct<start:bigint,end:bigint>>")
+
+    starts = F.array_sort(F.transform(spans, lambda s: s["start"]))
+    ends = F.array_sort(F.transform(spans, lambda s: s["end"]))
+    return _let(F.struct(starts.alias("starts"), ends.alias("ends")), parts)
+
+
+def marked(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of disjoint, ordered, non-empty list `spans` replaced by mark.
+
+    What stays is cut out of stretches of CHUNK spans, not each time out of the
+    whole text, whose code points are counted from its beginning.
+    """
+
+    def joined(held: Column) -> Column:
+        def from_(i: Column) -> Column:
+            return F.coalesce(F.get(held, i - 1)["end"], F.lit(0).cast("bigint"))
+
+        def cut(body: Column, at: Column, size: Column) -> Column:
+            return F.substring(body, (at + 1).cast("int"), size.cast("int"))
+
+        def stretch(c: Column) -> Column:
+            some = F.slice(held, c * CHUNK + 1, F.lit(CHUNK))
+            at = from_(c * CHUNK)
+            body = cut(text, at, F.element_at(some, -1)["end"] - at)
+
+            def kept(b: Column) -> Column:
+                pieces = F.transform(some, lambda s, i: F.concat(cut(b["body"], from_(c * CHUNK + i) - b["at"], s["start"] - from_(c * CHUNK + i)), F.lit(mark)))
+                return F.array_join(pieces, "")
+
+            return _let(F.struct(at.alias("at"), body.alias("body")), kept)
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int"))
+        rest = cut(text, F.element_at(held, -1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(numbers, stretch), ""), rest)
+
+    return _let(spans, joined)
+
+
 def of_kind(kind: str, order: int, spans: Column) -> Column:
     """The spans as (start, rank, end, kind), ready to be sorted by start, then kind."""
     return F.transform(

@@ -16,7 +16,7 @@ import corpus_pipeline
 from docq.llm import ann, chat, decontam, minhash, packing, pii, secret_scan, sharding, token_files, toxicity, words
 from docq.llm import queries as q
 from docq.llm.scratch import Scratch
-from docq.llm.spans import match_spans
+from docq.llm.spans import match_spans, merged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n bigint, id string, kept string, blob string, spans string, shard string"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -359,6 +359,48 @@ def test_time_of_spans_goes_with_their_number(spark):
     assert len(got[0]) > 15_000
 
 
+def plain_union(spans, touching):
+    out = []
+    for a, b in sorted(spans):
+        if out and (out[-1][1] > a or touching and out[-1][1] == a):
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def test_union_and_marks_of_spans(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for i, (length, n, most) in enumerate([(60, 12, 9), (60, 30, 4), (2000, 300, 6), (2000, 600, 3), (700, 128, 2), (700, 129, 2), (1, 1, 1)] * 3):
+        text = "".join(rng.choice(list("aé🎉 漢b"), length))
+        starts = rng.integers(0, length, n).tolist()
+        data.append((i, text, [(s, min(length, s + int(w))) for s, w in zip(starts, rng.integers(1, most + 1, n), strict=True)]))
+    data += [(100, "abc", []), (101, None, [(0, 1)]), (102, "abc", None)]
+    d = spark.createDataFrame(data, "i int, t string, s array<struct<start:bigint,end:bigint>>")
+    got = d.select("i", merged(F.col("s")).alias("joined"), merged(F.col("s"), False).alias("apart"), secret_scan.redacted(F.col("t"), F.col("s"), "<>").alias("x")).collect()
+    for r, (_, text, spans) in zip(sorted(got), data, strict=True):
+        if spans is not None:
+            assert [tuple(x) for x in r.joined] == plain_union(spans, True) and [tuple(x) for x in r.apart] == plain_union(spans, False)
+        want, at = text, 0
+        if text is not None and spans:
+            want = ""
+            for a, b in plain_union(spans, False):
+                want, at = want + text[at:a] + "<>", b
+            want += text[at:]
+        assert r.x == want
+
+
+def test_time_of_marks_goes_with_their_number(spark):
+    text = ("é" + "f0" * 12) * 32_000
+    spans = [(25 * i + 1, 25 * i + 25) for i in range(32_000)]
+    d = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:bigint,end:bigint>>").cache()
+    d.count()
+    start = time.time()
+    assert d.select(secret_scan.redacted(F.col("t"), F.col("s"), "*").alias("x")).first().x == "é*" * 32_000
+    assert time.time() - start < 20
+
+
 def test_personal_data(spark, mixed):
     text = "é a@b.cd_x@y.zz 1.2.3.4.5 999.1.1.1 card 4111 1111 1111 1111, +1 (555) 123-4567. ssn 123-45-6789 Mr. John Smith"
     d = docs(spark, [(1, text, "s"), (2, None, "s"), (3, "1" * 4000 + "@", "s"), (None, text, "s"), (4, "a.b" * 3000 + "@" + "c.d" * 3000, "s")])
