@@ -175,7 +175,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = candidates.where((F.col("offset") <= F.col("at")) & (F.array_join(same, " ") == F.col("win")))
     held = scratch.table(held.select("doc_id", "key", start.alias("start"), (start + F.col("words")).alias("end"), "win"), "verified")
     spans = held.groupBy("doc_id", "key").agg(merged(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    names = held.select("doc_id", "key", "win").distinct().join(windows.select("win", "item"), "win").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # A passage of very many documents is one window: its items go to its rows, not its rows to one task.
+    named = scratch.table(windows.select("win", "item").join(held.groupBy("win").agg(F.count("*").alias("rows")), "win"), "named")
+    names = skew_join(held.select("doc_id", "key", "win").distinct(), named, "win", "rows").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     names = names.select(F.col("doc_id").alias("d_"), F.col("key").alias("k_"), "items")
     hits = spans.join(names, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("key") == F.col("k_"))).drop("d_", "k_")
     return read.select("doc_id", "key", "n_words"), scratch.table(hits, "hits")

@@ -134,7 +134,7 @@ def _print(s: np.ndarray) -> bytes | None:
 
 
 def _sets(k: int):
-    """(node, set) of rows (node, print, text) whose text has that print: an id may name several texts."""
+    """(node, set) of rows (node, print, text) whose text has that print."""
 
     def run(batches):
         for batch in batches:
@@ -372,8 +372,8 @@ def near_duplicates(
 
     # Equal sets have equal signatures.
     usable = every.where("n > 0 and id is not null")
-    classes = usable.groupBy("print").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("held"), F.first("sig").alias("sig"))
-    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = usable.groupBy("print").agg(F.min(F.struct("id", "key")).alias("r"), F.min("n").alias("n"), F.count("*").alias("held"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes.select("print", F.col("r.id").alias("rep"), F.col("r.key").alias("rep_key"), "n", "held", "sig", F.monotonically_increasing_id().alias("node")), "classes")
     reps = classes.select(F.col("node").alias("id"), "n", "sig")
 
     shared = scratch.table(_buckets(reps.select("id", "sig"), bands), "buckets")
@@ -388,9 +388,9 @@ def near_duplicates(
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """id, set of the nodes named."""
-        wanted = classes.select(F.col("node").alias("id"), "rep", "print").join(bounded(scratch.table(ids.distinct(), "ids")), "id", "left_semi")
+        wanted = classes.select(F.col("node").alias("id"), "rep", "rep_key", "print").join(bounded(scratch.table(ids.distinct(), "ids")), "id", "left_semi")
         wanted = scratch.table(wanted.withColumnRenamed("id", "node"), "wanted")
-        named = text.join(bounded(wanted), F.expr("id = rep")).select("node", "print", "text")
+        named = text.join(bounded(wanted), F.expr("id = rep and key = rep_key")).select("node", "print", "text")
         return scratch.table(named.mapInArrow(_sets(shingle_words), "id long, set array<long>").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:

@@ -12,9 +12,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Rows up to which a side of short rows (ids, small arrays) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes, written as JSON, up to which such a side may be broadcast where its rows hold texts or arrays.
+BROADCAST_BYTES = 64 << 20
 
 
 #: Keys that may be called hot: each holds more than one in so many of the rows.
@@ -26,12 +29,12 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str
     """left joined (inner, left or left_semi) with right on a column; right, a written table,
     says in `count` about how many rows of left hold its key; count is not kept.
 
-    Where right has at most `few` rows (BROADCAST_ROWS) it is broadcast.  Else rows of left with a
+    Where right has at most `few` rows it is broadcast (by default, where it is small).  Else rows of left with a
     hot key, of more than HOT_ROWS rows and more than one in `hot_keys` of them
     all, are not shuffled: right's rows of these keys are broadcast, at most
     hot_keys where right has one row a key.  The rest is shuffled.
     """
-    if bounded_count(right, BROADCAST_ROWS if few is None else few):
+    if small(right) if few is None else bounded_count(right, few):
         return left.join(F.broadcast(right.drop(count)), key, how)
     total = right.select(key, count).dropDuplicates([key]).agg(F.sum(count)).first()[0] or 0
     least = max(HOT_ROWS, total // hot_keys)
@@ -48,10 +51,22 @@ def bounded_count(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def small(df: DataFrame) -> bool:
+    """Whether a written table has at most BROADCAST_ROWS rows and, where they are of
+    no fixed width, at most BROADCAST_BYTES bytes."""
+    if not bounded_count(df, BROADCAST_ROWS):
+        return False
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    if not wide:
+        return True
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """df, a written table of short rows, for broadcast where its rows are counted
-    and few; as it is beyond that, for Spark to shuffle."""
-    return F.broadcast(df) if bounded_count(df, BROADCAST_ROWS) else df
+    """df, a written table, for broadcast where its rows and bytes are counted and
+    few; as it is beyond that, for Spark to shuffle."""
+    return F.broadcast(df) if small(df) else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docq.llm.scratch import Scratch
+from docq.llm.scratch import Scratch, skew_join
 from docq.llm.spans import marked, match_spans, merged, of_kind
 
 
@@ -80,16 +80,18 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     text = versions.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("blob", blob_of(F.col("text")))
     paths = scratch.table(text.select("id", "blob"), "paths")
     wanted = F.array(*[F.lit(r.key) for r in rules])
-    blobs = paths.groupBy("blob").agg(F.min("id").alias("carrier"))
+    blobs = paths.groupBy("blob").agg(F.min("id").alias("carrier"), F.count("*").alias("held"))
     if ledger is None:
         todo = blobs.withColumn("rules", wanted)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("rules", F.when(F.col("seen").isNull(), wanted).otherwise(F.array_except(wanted, "seen"))).where("size(rules) > 0").drop("seen")
     todo = scratch.table(todo, "unseen")
-    # Text moves once, to the one path of each unseen blob that stands for it.
-    todo_ = todo.select(F.col("carrier").alias("c_"), F.col("blob").alias("b_"), "rules").hint("shuffle_hash")
-    body = text.join(todo_, F.col("id").eqNullSafe(F.col("c_")) & (F.col("blob") == F.col("b_")))
+    # Text moves once, from the one path of each unseen blob that stands for it; that of a blob
+    # with very many rows, which may all be rows of that path, does not move at all.
+    todo_ = todo.select(F.xxhash64("carrier", "blob").alias("at_"), F.col("carrier").alias("c_"), F.col("blob").alias("b_"), "rules", "held").hint("shuffle_hash")
+    body = skew_join(text.withColumn("at_", F.xxhash64("id", "blob")), todo_, "at_", "held", few=0)
+    body = body.where(F.col("id").eqNullSafe(F.col("c_")) & (F.col("blob") == F.col("b_")))
     found = [F.when(F.array_contains("rules", r.key), by_rule(r, i, F.col("text"))).otherwise(F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string>>)")) for i, r in enumerate(rules)]
     hits = body.select("blob", reduce(F.concat, found).alias("spans")).where("size(spans) > 0").dropDuplicates(["blob"])
     hits = scratch.table(hits, "hits")

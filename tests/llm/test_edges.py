@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docq.llm import ann, chat, decontam, minhash, packing, pii, secret_scan, sharding, token_files, toxicity, words
+from docq.llm import ann, chat, decontam, minhash, packing, pii, scratch, secret_scan, sharding, token_files, toxicity, words
 from docq.llm import queries as q
+from docq.llm.components import connected_components
 from docq.llm.scratch import Scratch
 from docq.llm.spans import match_spans, merged
 
@@ -101,8 +102,6 @@ def test_texts_of_one_id_keep_their_own_links(spark):
 @pytest.mark.parametrize("many", [1, 16])
 def test_near_duplicates_in_blocks_and_hot_buckets(spark, monkeypatch, many):
     """Small bounds, so that blocks, second bands and hot keys all come to work."""
-    from docq.llm import scratch
-
     for module, name, value in ((minhash, "BLOCK", 8), (minhash, "MANY_BLOCKS", many), (minhash, "HOT_ROWS", 20), (minhash, "SAMPLE", 2), (scratch, "HOT_ROWS", 20), (scratch, "BROADCAST_ROWS", 5)):
         monkeypatch.setattr(module, name, value)
     rng = np.random.default_rng(6)
@@ -119,6 +118,38 @@ def test_near_duplicates_in_blocks_and_hot_buckets(spark, monkeypatch, many):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
 
 
+def test_very_many_texts_under_one_id(spark):
+    """Each of 1,000 linked pairs under one id is a component of its own; a text is joined by what names it, not by its id."""
+    rng = np.random.default_rng(11)
+    vocab = [f"v{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(vocab, 30)) for _ in range(1000)]
+    got = minhash.near_duplicates(docs(spark, [(5, t + end, "s") for t in texts for end in ("", " end")]), shingle_words=2).collect()
+    assert len(got) == 2000 and {r.component_id for r in got} == {5}
+    assert sorted(Counter(r.cluster for r in got).values()) == [2] * 1000
+
+
+def test_components_of_nodes_with_very_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 20)
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 5)
+    star = [(7, i) for i in range(100, 1100)] + [(9, i) for i in range(2000, 2600)]
+    chain = [(i + 1, i) for i in range(3000, 3040)] + [(3020, 2100)]
+    edges = star + chain + [(1, 7), (5000, 5000), (None, 3), (1, 7)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), Scratch(spark, "test")).collect()
+    want = {i: 1 for i in [7, *range(100, 1100)]} | {i: 9 for i in [*range(2000, 2600), *range(3000, 3041)]}
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+def test_a_window_of_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 20)
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 5)
+    other = "some words that only one item of the table has in it"
+    bench = spark.createDataFrame([(1, A), (2, A), (3, other), *[(i, f"rare {i} one") for i in range(10, 20)]], "item_id long, text string")
+    given_ = docs(spark, [(i, f"doc {i} {A} end", "s") for i in range(200)] + [(300, other, "s"), (301, "rare 12 one", "s"), (None, A, "s")])
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(given_, bench).collect()}
+    assert got == {i: [1, 2] for i in [*range(200), None]} | {300: [3], 301: [12]}
+
+
 def test_decontamination(spark, mixed):
     bench = spark.createDataFrame([(1, "Three, four FIVE six seven eight nine ten eleven twelve thirteen"), (2, None), (3, "word"), (None, "ten"), (4, "..."), (5, "word"), (10, "字")], "item_id long, text string")
     got = {r.doc_id: r for r in decontam.decontaminate(mixed, bench).collect()}
@@ -340,6 +371,16 @@ def test_secrets(spark, mixed):
     assert secret_scan.scan(mixed)[0].count() == len(ROWS) and secret_scan.scan(mixed.limit(0))[0].count() == 0
 
 
+def test_secrets_of_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 20)
+    rows = [(i, "secret=abcdefgh", "s") for i in [4] * 90 + [None] * 40 + [2]] + [(i, f"key {i} token=abcdef{i}", "s") for i in range(50, 80)] + [(9, "clean", "s")]
+    found, ledger = secret_scan.scan(docs(spark, rows).repartition(3))
+    got = found.collect()
+    assert len(got) == len(rows) and ledger.count() == 32
+    assert {tuple((s.start, s.end) for s in r.spans) for r in got if r.doc_id in (2, 4, None)} == {((0, 15),)}
+    assert all(len(r.spans) == (r.doc_id != 9) for r in got)
+
+
 def test_spans_of_odd_texts(spark):
     texts = ["", "aXbXXc", "XX", "🎉X🎉", None, "X" * 5000]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -602,12 +643,14 @@ def test_pipeline_keeps_columns_of_documents(spark):
 
 
 def test_scratch_tables(spark):
-    from docq.llm.scratch import Scratch, bounded
+    from docq.llm.scratch import Scratch, bounded, small
 
     s = Scratch(spark, "test")
     a, b = s.table(spark.range(5).toDF("x"), "a"), s.table(spark.range(3).toDF("x"), "b")
     assert a.count() == 5 and bounded(b).count() == 3
-    s.drop(a)
+    wide = s.table(spark.range(40).select(F.array_repeat("id", 1_000_000).alias("x")), "wide")
+    assert small(b) and not small(wide)  # few rows of 80 MB
+    s.drop(a, wide)
     assert b.count() == 3 and [d is b for d, _ in s.held] == [True]
     with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
         a.count()
