@@ -64,10 +64,10 @@ def _entry(section: str, suffix: str, value=lambda v: v):
 
 
 def unify_fields(docs: DataFrame, doc: str, fields: str, alias: DataFrame) -> DataFrame:
-    """Fields under their common names.  alias: key, common (a small table); of
+    """Fields under their common names.  alias: key, common; of
     several keys of one name the largest value; keys without a name go."""
     long = docs.select(doc, F.explode(fields).alias("key", "value")).where(F.trim("value") != "")
-    one = long.join(F.broadcast(alias), "key").groupBy(doc, "common").agg(F.max("value").alias("value"))
+    one = long.join(alias, "key").groupBy(doc, "common").agg(F.max("value").alias("value"))
     return one.groupBy(doc).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("common", "value")))).alias("fields"))
 
 
@@ -94,8 +94,8 @@ def messages(turns: DataFrame, conv: str) -> DataFrame:
 
 def reroot(df: DataFrame, path: str, prefixes: DataFrame) -> DataFrame:
     """new_path under the prefix of its first segment; unmapped roots get null.
-    prefixes: root, prefix (a small table; an empty prefix keeps the path)."""
-    j = df.withColumn("root", F.element_at(F.split(path, "/"), 1)).join(F.broadcast(prefixes), "root", "left")
+    prefixes: root, prefix (an empty prefix keeps the path)."""
+    j = df.withColumn("root", F.element_at(F.split(path, "/"), 1)).join(prefixes, "root", "left")
     return j.withColumn("new_path", F.when(F.col("prefix") == "", F.col(path)).otherwise(F.concat_ws("/", F.when(F.col("prefix").isNotNull(), F.col("prefix")), F.col(path)))).withColumn(
         "new_path", F.when(F.col("prefix").isNotNull(), F.col("new_path"))
     )
@@ -112,7 +112,7 @@ def to_v2(rows: DataFrame, packages: DataFrame, version: str) -> DataFrame:
     task, the number of user turns, and what is left over in `extra`."""
     from docq.functions.ids import record_id
 
-    j = rows.join(F.broadcast(packages), "package")
+    j = rows.join(packages, "package")
     return j.select(
         record_id(F.col("dataset_name"), F.col("doc_id"), F.col("task")).alias("id"), "doc_id", "dataset_name", "domain", "task", F.lit(version).alias("version"),
         F.size(F.filter("messages", lambda m: m["role"] == "user")).alias("num_turns"), "extra",

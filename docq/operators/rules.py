@@ -187,8 +187,8 @@ def pii_safe(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def route_labels(df: DataFrame, label: str, routes: DataFrame) -> DataFrame:
-    """task of each label from a small table (label, task); unknown where it has none."""
-    return df.join(F.broadcast(routes), label, "left").withColumn("task", F.coalesce("task", F.lit("unknown")))
+    """task of each label from a table (label, task); unknown where it has none."""
+    return df.join(routes, label, "left").withColumn("task", F.coalesce("task", F.lit("unknown")))
 
 
 def looks_like_table(boxes: DataFrame, doc: str, x: str, min_boxes: int = 20, bin_px: int = 15, min_col: int = 5, min_cols: int = 2) -> DataFrame:

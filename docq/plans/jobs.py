@@ -198,9 +198,9 @@ def low_accuracy(docs: DataFrame, cause: Column, metric_col: str, threshold: flo
 
 def field_vqa(fields: DataFrame, questions: DataFrame, doc: str) -> DataFrame:
     """A question and answer for each field without flags that has a question.
-    fields: doc, field, value; questions: field, question (a small table)."""
+    fields: doc, field, value; questions: field, question."""
     clean = fields.where(F.size(rules.field_flags(F.col("field"), F.col("value"))) == 0)
-    return clean.join(F.broadcast(questions), "field").select(doc, "field", "question", F.trim("value").alias("answer"))
+    return clean.join(questions, "field").select(doc, "field", "question", F.trim("value").alias("answer"))
 
 
 def clean_docs(docs: DataFrame, item_total: str, tax: str, total: str) -> DataFrame:

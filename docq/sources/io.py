@@ -209,7 +209,7 @@ def to_yolo(boxes: DataFrame, doc: str, label: str) -> tuple[DataFrame, DataFram
     classes = classes.withColumn("cls", F.row_number().over(Window.orderBy(F.desc("n"), label)) - 1)  # one row a label
     x1, y1, x2, y2, w, h = (F.col(c) for c in ("x1", "y1", "x2", "y2", "w", "h"))
     line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("cls"), (x1 + x2) / 2 / w, (y1 + y2) / 2 / h, (x2 - x1) / w, (y2 - y1) / h)
-    return boxes.join(F.broadcast(classes), label).select(doc, line.alias("line")), classes
+    return boxes.join(classes, label).select(doc, line.alias("line")), classes
 
 
 def write_manifest(docs: DataFrame, path: str | None = None) -> DataFrame:
