@@ -10,23 +10,7 @@ from docq.operators.lineage import folder
 from docq.plans import jobs
 from docq.plans.catalog import BOXES, boxes, query, responses, t
 from docq.sources import io
-
-
-def named_files(df: DataFrame, path: str) -> None:
-    """A file for each row, of folder, name and text: the shape that per-document readers take.
-    Spark names its files itself, so each is renamed after the folder it stands in."""
-    spark = df.sparkSession
-    aside = f"{path}-aside"
-    df.select(F.concat_ws("/", "folder", "name").alias("to"), F.col("text").alias("value")).repartition("to").write.partitionBy("to").text(aside)
-    top, fs = io._files(spark, aside)
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    for made in fs.listStatus(top):
-        if made.isDirectory():
-            to, _ = io._files(spark, f"{path}/{unescape(made.getPath().getName()[3:])}")
-            fs.mkdirs(to.getParent())
-            part = next(f.getPath() for f in fs.listStatus(made.getPath()) if f.getPath().getName().startswith("part-"))
-            fs.rename(part, to)
-    fs.delete(top, True)
+from docq.sources.io import named_files
 
 
 @query("src01_jsonl", "SELECT doc_id, 'a' || chr(8232) || lang || chr(133) || source || chr(10) || 'x' AS text FROM documents")

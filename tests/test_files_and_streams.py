@@ -137,3 +137,15 @@ def test_words_hits_sizes_and_panels(spark):
     assert tuple(agg.size_profile(sizes, "id", "w", "h").first()) == (7, 10, 40, 70, 7, 7, 7, 0.0)
     s = spark.createDataFrame([(1, "x", "ab", "ab"), (1, "y", "ab", "ac"), (2, "x", "ab", "b"), (3, "z", "a", "a")], "id int, arm string, gt string, pred string")
     assert {r.id: (r.verdict, r.gain) for r in jobs.panel_index(s, "id", "arm", "x", "y").collect()} == {1: ("worse", -0.5), 2: ("missing", None)}
+
+
+def test_tasks_write_named_files(spark, tmp_path, monkeypatch):
+    """The driver's calls do not grow with the files."""
+    calls, files = [], io._files
+    monkeypatch.setattr(io, "_files", lambda *a: (calls.append(a), files(*a))[1])
+    df = spark.range(40).select(F.concat(F.lit("é/"), (F.col("id") % 3).cast("string")).alias("folder"), F.concat(F.lit("a b%"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.when(F.col("id") > 0, F.lit("ü\nx")).alias("text"))
+    io.named_files(df, str(tmp_path / "n"))
+    io.named_files(df.limit(0), str(tmp_path / "none"))
+    got = {str(p.relative_to(tmp_path / "n")): p.read_text(encoding="utf-8") for p in (tmp_path / "n").rglob("*") if p.is_file()}
+    assert got == {f"é/{i % 3}/a b%{i}.txt": "ü\nx\n" if i else "\n" for i in range(40)}
+    assert len(calls) == 2
