@@ -32,7 +32,8 @@ def src02(spark, d):
     path, s = folder(spark, "docs"), t(spark, d, "supplier")
     whole = F.to_json(F.struct("s_suppkey", "s_name"), {"pretty": "true"})
     body = F.when(F.col("s_suppkey") % 14 == 0, F.substring(whole, 1, 20)).when(F.col("s_suppkey") % 7 == 0, "").otherwise(whole)
-    s.select(body.alias("value"), F.col("s_suppkey").alias("folder")).repartition("folder").write.partitionBy("folder").text(path)
+    name = F.concat(F.col("s_suppkey").cast("string"), F.lit(".json"))
+    named_files(s.select((F.col("s_nationkey") % 5).cast("string").alias("folder"), name.alias("name"), body.alias("text")), path)
     good, corrupt = io.read_docs(spark, path, "s_suppkey long, s_name string")
     kind = F.when(F.trim(F.replace("_corrupt_record", F.lit("\n"), F.lit(""))) == "", "empty").otherwise("cut")
     lost = corrupt.select(kind.alias("kind"), F.lit(None).cast("long").alias("s_suppkey"), F.lit(None).cast("string").alias("s_name"))

@@ -149,3 +149,11 @@ def test_tasks_write_named_files(spark, tmp_path, monkeypatch):
     got = {str(p.relative_to(tmp_path / "n")): p.read_text(encoding="utf-8") for p in (tmp_path / "n").rglob("*") if p.is_file()}
     assert got == {f"é/{i % 3}/a b%{i}.txt": "ü\nx\n" if i else "\n" for i in range(40)}
     assert len(calls) == 2
+
+
+def test_documents_of_src02_share_folders(spark, sf_dir, tmp_path, monkeypatch):
+    from docq.plans import q_files
+
+    monkeypatch.setattr(q_files, "folder", lambda *_: str(tmp_path / "d"))
+    assert q_files.src02(spark, sf_dir).count() > 0
+    assert len([p for p in (tmp_path / "d").iterdir() if p.is_dir()]) <= 5
