@@ -157,3 +157,8 @@ def test_documents_of_src02_share_folders(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(q_files, "folder", lambda *_: str(tmp_path / "d"))
     assert q_files.src02(spark, sf_dir).count() > 0
     assert len([p for p in (tmp_path / "d").iterdir() if p.is_dir()]) <= 5
+
+
+def test_profile_counts_many_distinct_values_exactly(spark):
+    df = spark.range(150_000).select("id", F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"), F.col("id").cast("string").cast("binary").alias("b"))
+    assert {r.name: r.distinct for r in io.profile_table(df).collect()} == {"id": 150_000, "z": 1, "b": 150_000}
