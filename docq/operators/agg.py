@@ -102,6 +102,15 @@ def confusion(df: DataFrame, flag: str, truth: str) -> DataFrame:
     return c.withColumns({"recall": F.col("tp") / (F.col("tp") + F.col("fn")), "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "review_share": (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))})
 
 
+def steady_mean(x: Column | str, places: int = 12) -> Column:
+    """The mean of numbers, of which `places` decimals count: summed as decimals, so that the same
+    rows give the same mean however they are split over tasks.  For means that meet a threshold.
+    With values that are no such decimals (not finite, or of over 16 whole digits) it is avg."""
+    c = F.col(x) if isinstance(x, str) else x
+    d = c.try_cast(f"decimal({16 + places},{places})")
+    return F.when(F.count(d) == F.count(c), F.sum(d).cast("double") / F.count(c)).otherwise(F.avg(c))
+
+
 def win_loss(df: DataFrame, unit: str, arm: str, metric: str, base: str, eps: float) -> DataFrame:
     """arm, better, worse, same: units whose metric fell or rose by more than eps against the base arm."""
     b = df.where(F.col(arm) == base).select(unit, F.col(metric).alias("b_"))

@@ -295,7 +295,7 @@ def agg03(spark, d):
 )
 def agg04(spark, d):
     s = scores(spark, d)
-    drop = s.groupBy("doc").agg(F.avg("cer").alias("c")).where("c > 1").select("doc")
+    drop = s.groupBy("doc").agg(agg.steady_mean("cer").alias("c")).where("c > 1").select("doc")
     out = agg.experiment_metrics(s, "model", "cer", drop, "doc")
     return out.select("model", "n", R6("median_cer").alias("median_cer"), R6("mean_cer").alias("mean_cer"), "over_one", R6("exact_pct").alias("exact_pct"))
 
@@ -363,7 +363,7 @@ _UNIT = "u AS (SELECT doc, model, avg(cer) AS cer FROM scores GROUP BY 1, 2)"
     f"WITH {SCORES}, {_UNIT}, b AS (SELECT doc, cer AS b FROM u WHERE model = 'click') SELECT model, count(*) FILTER (cer - b < -0.05) AS better, count(*) FILTER (cer - b > 0.05) AS worse, count(*) FILTER (abs(cer - b) <= 0.05) AS same FROM u JOIN b USING (doc) WHERE model <> 'click' GROUP BY 1",
 )
 def agg12(spark, d):
-    u = scores(spark, d).groupBy("doc", "model").agg(F.avg("cer").alias("cer"))
+    u = scores(spark, d).groupBy("doc", "model").agg(agg.steady_mean("cer").alias("cer"))
     return agg.win_loss(u, "doc", "model", "cer", "click", 0.05)
 
 
@@ -497,7 +497,7 @@ def agg33(spark, d):
 SELECT task, count(*) FILTER (g > e) AS better, count(*) FILTER (abs(g) <= e) AS same, count(*) FILTER (g < -e) AS worse FROM g GROUP BY 1""",
 )
 def agg34(spark, d):
-    m = scores(spark, d).groupBy("doc", "task").agg(F.avg(F.when(F.col("model") == "click", F.col("cer"))).alias("b"), F.avg(F.when(F.col("model") == "error", F.col("cer"))).alias("a"))
+    m = scores(spark, d).groupBy("doc", "task").agg(agg.steady_mean(F.when(F.col("model") == "click", F.col("cer"))).alias("b"), agg.steady_mean(F.when(F.col("model") == "error", F.col("cer"))).alias("a"))
     return agg.movement(m, "b", "a", "task", {"text": 0.05, "table": 0.1})
 
 

@@ -162,3 +162,11 @@ def test_documents_of_src02_share_folders(spark, sf_dir, tmp_path, monkeypatch):
 def test_profile_counts_many_distinct_values_exactly(spark):
     df = spark.range(150_000).select("id", F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"), F.col("id").cast("string").cast("binary").alias("b"))
     assert {r.name: r.distinct for r in io.profile_table(df).collect()} == {"id": 150_000, "z": 1, "b": 150_000}
+
+
+def test_means_at_a_threshold_do_not_hang_on_the_split(spark):
+    """Of 0.1, 0.2 and 0.3 the sum is 0.6 or 0.6000000000000001, by the order."""
+    df = spark.createDataFrame([(k, v) for k, o in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]) for v in o], "k int, v double").coalesce(1)
+    assert {r.m for r in df.groupBy("k").agg(agg.steady_mean("v").alias("m")).collect()} == {0.6 / 3}
+    odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, None)], "k int, v double")
+    assert {r.k: r.m for r in odd.groupBy("k").agg(agg.steady_mean("v").alias("m")).collect()} == {1: float("inf"), 2: None}
