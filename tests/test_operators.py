@@ -464,3 +464,33 @@ def test_review_and_tree(spark):
     assert sorted((r.path, r.sample_count) for r in jobs.taxonomy_tree(rows, tasks, "package", "task")[1].collect()) == [("a/d/c.json", 2), ("a/d/e.json", 1)]
     with pytest.raises(Exception, match="no category for task t2"):
         jobs.taxonomy_tree(rows, tasks.where("task = 't1'"), "package", "task")[1].collect()
+
+
+def test_plain_tables_are_split_by_one_expression(monkeypatch):
+    """The same rows and trees as the parser's; it is left to texts that are not plain."""
+    plain = '<table border="1"><tr class="r">\n<TH Colspan="2">a > é</th ><td rowspan="2" rowspan="3"> b<br>c</td></tr>' * 2 + "</table>tail"
+    odd = ["<td a=b>x", "<td>a&amp;b</td>", "<td><!-- <td> -->x", "<script><td>x</script><td>y", '<td>x</td a="<">', "<td>a < b", "<td", "<br/><td>x", '<td colspan="2"rowspan="2">x']
+
+    def read(cls, html, *a):
+        p = cls(*a)
+        p.feed(html)
+        p.close()
+        return p.rows if cls is tables._Rows else (p.nodes, p.open)
+
+    expected = [(read(tables._Rows, h), read(tables._Tree, h, False)) for h in [plain, *odd]]
+    for h, (rows, (nodes, opened)) in zip([plain, *odd], expected, strict=True):
+        assert tables.rows_of(h) == rows
+        assert tables._table_tree(h)[: len(nodes)] == nodes and len(tables._table_tree(h)) == len(nodes) + len(opened)
+    monkeypatch.setattr(tables.HTMLParser, "feed", lambda *_: 1 / 0)
+    assert tables.rows_of(plain) == expected[0][0]
+
+
+def test_trees_of_one_shape_are_compared_by_labels(monkeypatch):
+    def tree(cells):
+        return tables._table_tree("<table>" + "".join(f"<tr><td>{c}</td><td>1</td></tr>" for c in cells) + "</table>")
+
+    a, b, c = tree("RNRA"), tree("QNQA"), tree("NRAR")
+    assert tables.tree_distance(a, b) == tables._zhang_shasha(a, b) == 2
+    assert tables.tree_distance(a, c) == tables._zhang_shasha(a, c)
+    monkeypatch.setattr(tables, "_zhang_shasha", lambda *_: 1 / 0)
+    assert tables.tree_distance(a, b) == 2
