@@ -32,6 +32,8 @@ def cer_opcode(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
     def one(a, b):
         a, b = a or "", b or ""
+        if a == b:
+            return 0.0
         ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
         cost = sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag != "equal")
         return cost / max(len(a), len(b), 1)

@@ -346,6 +346,8 @@ def seq_align(gt: pd.Series, pred: pd.Series) -> pd.Series:
 
     def one(a, b):
         a, b = [list(x) if x is not None else [] for x in (a, b)]
+        if a == b:
+            return [{"gt_row": k, "pred_row": k} for k in range(len(a))]
         out = []
         for _, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
             for k in range(max(i2 - i1, j2 - j1)):

@@ -494,3 +494,14 @@ def test_trees_of_one_shape_are_compared_by_labels(monkeypatch):
     assert tables.tree_distance(a, c) == tables._zhang_shasha(a, c)
     monkeypatch.setattr(tables, "_zhang_shasha", lambda *_: 1 / 0)
     assert tables.tree_distance(a, b) == 2
+
+
+def test_equal_names_are_not_diffed(monkeypatch):
+    import difflib
+
+    import pandas as pd
+
+    names, texts = pd.Series([["a", "a", "b"], [], None]), pd.Series(["abc", "", None])
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *_, **__: 1 / 0)
+    assert [[(m["gt_row"], m["pred_row"]) for m in x] for x in tables.seq_align.func(names, names)] == [[(0, 0), (1, 1), (2, 2)], [], []]
+    assert list(metric.cer_opcode.func(texts, texts)) == [0.0] * 3
