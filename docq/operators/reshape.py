@@ -15,7 +15,8 @@ def pages(responses: DataFrame, doc: str, body: str) -> tuple[DataFrame, DataFra
     """(pages, reasons): the first element's page, or a bare page; what has none
     says no_page_json or no_size.  Broken JSON is no page."""
     page = F.coalesce(F.from_json(body, RESPONSE)["result"]["elements"][0]["json"], F.from_json(body, PAGE))
-    d = responses.select(doc, page.alias("page"))
+    # A generator keeps later filters and columns from reading the JSON again, once each.
+    d = responses.select(doc, F.explode(F.array(page)).alias("page"))
     none = F.col("page.parsing_res_list").isNull() & F.col("page.layout_det_res").isNull()
     reason = F.when(F.col("page").isNull() | none, "no_page_json").when(F.col("page.width").isNull() | F.col("page.height").isNull(), "no_size")
     d = d.withColumn("reason", reason)

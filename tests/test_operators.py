@@ -162,6 +162,9 @@ def test_pages(spark):
     pages, reasons = reshape.pages(spark.createDataFrame(list(enumerate(bodies)), "doc int, body string"), "doc", "body")
     assert sorted(r.doc for r in pages.collect()) == [0, 1]
     assert {r.doc: r.reason for r in reasons.collect()} == {2: "no_page_json", 3: "no_size", 4: "no_page_json"}
+    # The JSON is read by one expression: neither the filter nor each column reads it again.
+    plan = pages.select("doc", "width", "height")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
 
 
 @pytest.mark.parametrize(
