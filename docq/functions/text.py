@@ -46,36 +46,40 @@ def unescape(c: Column) -> Column:
 
 
 def _span_attributes(tag: str, to: str, c: Column) -> Column:
-    """Opening `tag`s as `to`, with rowspan and colspan alone, in that order."""
+    """Opening `tag`s (a pattern) as `to`, with rowspan and colspan alone, in that order.  Tags
+    without either go first, so that the others are looked for among what is left."""
     row, col = r'\browspan\s*=\s*"(\d+)"', r'\bcolspan\s*=\s*"(\d+)"'
     no_row, no_col = row.replace("(", "").replace(")", ""), col.replace("(", "").replace(")", "")
     both = rf"(?i)<{tag}\s(?:(?=[^>]*{row})(?=[^>]*{col}))[^>]*>"
+    c = F.regexp_replace(c, rf"(?i)<{tag}(?:\s(?![^>]*\b(?:row|col)span\s*=)[^>]*)?>", f"<{to}>")
     c = F.regexp_replace(c, both, f'<{to} rowspan="$1" colspan="$2">')
     c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{no_col})(?=[^>]*{row})[^>]*>", f'<{to} rowspan="$1">')
-    c = F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{no_row})(?=[^>]*{col})[^>]*>", f'<{to} colspan="$1">')
-    return F.regexp_replace(c, rf"(?i)<{tag}(?:\s(?![^>]*\b(?:row|col)span\s*=)[^>]*)?>", f"<{to}>")
+    return F.regexp_replace(c, rf"(?i)<{tag}\s(?![^>]*{no_row})(?=[^>]*{col})[^>]*>", f'<{to} colspan="$1">')
 
 
 def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def canon(c: Column) -> Column:
     """One spelling for texts that differ in markup only: a fence around the text and
     table sections dropped, header cells as cells, span attributes alone kept."""
-    t = unescape(_stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A\s*```[a-zA-Z]*\s*|\s*```\s*\z", "")))
-    h = F.regexp_replace(t, r"(?i)<br\s*/?>", "<br/>")
+    c = F.coalesce(c, F.lit(""))
+    # Texts without a fence, an entity or a line break are spared the search for them.
+    t = _stripped(F.when(c.contains("```"), F.regexp_replace(c, r"\A\s*```[a-zA-Z]*\s*|\s*```\s*\z", "")).otherwise(c))
+    t = F.when(c.contains("&"), unescape(t)).otherwise(t)
+    h = F.when(t.contains("<b") | t.contains("<B"), F.regexp_replace(t, r"(?i)<br\s*/?>", "<br/>")).otherwise(t)
     h = F.regexp_replace(h, r"(?i)</?(?:thead|tbody|tfoot)[^>]*>", "")
-    h = F.regexp_replace(_span_attributes("th", "td", h), r"(?i)</th>", "</td>")
-    h = _span_attributes("td", "td", h)
+    h = F.regexp_replace(_span_attributes("t[hd]", "td", h), r"(?i)</th>", "</td>")
     h = F.regexp_replace(F.regexp_replace(h, r"(?i)<tr(?:\s[^>]*)?>", "<tr>"), r"(?i)<table(?:\s[^>]*)?>", "<table>")
-    h = F.regexp_replace(F.regexp_replace(h, r">\s+<", "><"), r"\s+", " ")
+    h = F.regexp_replace(F.regexp_replace(h, r">\s+<", "><"), r"[\t\n\x0b\f\r]\s*| \s+", " ")
     return _stripped(F.when(t.contains("<"), h).otherwise(t))
 
 
 def compare_key(c: Column) -> Column:
     """canon without tags, white space and bullets, for comparison alone."""
-    t = F.translate(F.regexp_replace(canon(c), r"<[^>]+>", ""), BULLETS_FROM, BULLETS_TO)
+    t = F.regexp_replace(canon(c), r"<[^>]+>", "")
+    t = F.when(F.octet_length(c) == F.char_length(c), t).otherwise(F.translate(t, BULLETS_FROM, BULLETS_TO))  # all of them beyond ASCII
     return F.regexp_replace(F.regexp_replace(t, r"\s+", ""), BULLET_HEAD, "")
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def test_canon(spark, given, want):
     assert one(spark, text.canon(F.col("t")), t=("string", given)) == want
 
 
+def test_canon_long_white_space(spark):
+    """A long run of white space inside a text is passed over once, not once from each of its places."""
+    start = time.time()
+    assert one(spark, text.canon(F.col("t")), t=("string", "\x0b<td a>&lt;" + " " * 150_000 + "b\x0c")) == "<td>< b"
+    assert time.time() - start < 10
+
+
 def test_text(spark):
     assert one(spark, text.compare_key(F.col("t")), t=("string", "● te xt")) == "text"
     assert one(spark, text.norm_key(F.col("t")), t=("string", "㈜ＡＢＣ 12")) == "주abc12"
