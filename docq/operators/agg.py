@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -267,22 +266,63 @@ def sweep(df: DataFrame, config: str, tier: str, cer: str, ok: str) -> DataFrame
     return df.groupingSets([[F.col(config), F.col(tier)], [F.col(config)]], config, tier).agg(F.count("*").alias("n"), F.count_if(ok).alias("exact"), F.avg(cer).alias("cer"))
 
 
+class _Windows:
+    """Hashes of all windows of a text, of any length, from prefix sums modulo 2**64."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        powers, self.back = (np.cumprod(np.full(len(codes), p, dtype=np.uint64)) for p in (self.base, pow(self.base, -1, 1 << 64)))
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * powers, dtype=np.uint64)])
+
+    def hashes(self, k: int, start: int, end: int) -> np.ndarray:
+        last = end - k + 1
+        return (self.sums[start + k : last + k] - self.sums[start:last]) * self.back[start:last]
+
+
+def matched_chars(a: str, b: str, small: int = 400) -> int:
+    """Characters in the matching blocks that difflib finds (no junk): the longest common piece, first in a,
+    then in b, and so on left and right of it.  The longest length is searched by doubling and
+    halving over sets of windows, slices where the ranges are small, else hashes that b then confirms."""
+    x, y = _Windows(a), _Windows(b)
+
+    def first(k, i0, i1, j0, j1):
+        if i1 - i0 + j1 - j0 <= small:
+            there = {b[j : j + k] for j in range(j0, j1 - k + 1)}
+            return next((i for i in range(i0, i1 - k + 1) if a[i : i + k] in there), None)
+        hits = (i0 + int(i) for i in np.flatnonzero(np.isin(x.hashes(k, i0, i1), y.hashes(k, j0, j1))))
+        return next((i for i in hits if b.find(a[i : i + k], j0, j1) >= 0), None)
+
+    total, left = 0, [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    while left:
+        i0, i1, j0, j1, most = left.pop()
+        low, at, high, doubling = 0, i0, min(most, i1 - i0, j1 - j0), True
+        while low < high:
+            k = min(max(1, 2 * low), high) if doubling else (low + high + 1) // 2
+            i = first(k, i0, i1, j0, j1)
+            if i is None:
+                high, doubling = k - 1, False
+            else:
+                low, at = k, i
+        if low:
+            j = b.index(a[at : at + low], j0, j1)
+            total += low
+            left += [(i0, at, j0, j, low), (at + low, i1, j + low, j1, low)]
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def matched_share(text: pd.Series, whole: pd.Series) -> pd.Series:
     """Share of a text that difflib's matching blocks find in another."""
-
-    def one(a, b):
-        if not a:
-            return 0.0
-        m = difflib.SequenceMatcher(None, a, b or "", autojunk=False)
-        return sum(x.size for x in m.get_matching_blocks()) / len(a)
-
-    return pd.Series([one(a, b) for a, b in zip(text, whole, strict=True)], dtype=float)
+    return pd.Series([matched_chars(a, b or "") / len(a) if a else 0.0 for a, b in zip(text, whole, strict=True)], dtype=float)
 
 
 def doc_coverage(preds: DataFrame, doc: str, gt: str, pred: str) -> DataFrame:
     """doc, coverage: of each document's predictions, the share found in its gts."""
     w = preds.groupBy(doc).agg(F.array_join(F.sort_array(F.collect_list(gt)), "").alias("g"), F.array_join(F.sort_array(F.collect_list(pred)), "").alias("p"))
+    # Few short texts cost much to compare: a number of partitions keeps them from being put together.
+    w = w.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
     squash = [F.regexp_replace(c, r"\s+", "") for c in ("p", "g")]
     return w.select(doc, matched_share(*squash).alias("coverage"))
 

@@ -1,9 +1,12 @@
 """Operators without SQL, and cases that the tables do not hold."""
 
 import datetime
+import difflib
 import json
+import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def test_metrics(spark):
     assert one(spark, metric.avg_score(F.col("a"), F.col("b")), a=("double", 0.5), b=("double", None)) == 0.5
 
 
+def test_matched_chars():
+    """The blocks of difflib, also where hashes find them; texts of 40,000 characters within seconds."""
+    r = random.Random(3)
+    for n in (0, 5, 30, 60) * 50:
+        a, b = ("".join(r.choice("ab\U0001f600") for _ in range(r.randint(0, n))) for _ in "ab")
+        want = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert agg.matched_chars(a, b) == agg.matched_chars(a, b, small=4) == want
+    words = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(60)]
+    a, b = ("".join(sorted(r.choice(words) + str(r.randint(1, 50)) for _ in range(4000))) for _ in "ab")
+    start = time.time()
+    share = agg.matched_share.func(pd.Series([a, "", None]), pd.Series([b, "x", None]))
+    assert 0 < share[0] < 1 and list(share[1:]) == [0.0, 0.0]
+    assert time.time() - start < 20
+
+
 TABLE = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
 
 
