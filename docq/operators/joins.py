@@ -193,24 +193,76 @@ def _near(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float) -> Da
     return looks.join(here, on).withColumn("d", d).where(F.col("d") < size).select(F.col("a_doc").alias(doc), "a_idx", "b_idx", "d")
 
 
+def matched_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60, docs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc, a, b: each box of a in their order with the nearest unused box of b (ties: the smaller idx)
+    under max_dist, and the boxes of either left over; a and b are structs of the other columns, null
+    where there is none.
+
+    Documents of at most FOLD_PAIRS possible pairs and as many boxes are folded as arrays, in one
+    shuffle.  Boxes are counted first, from docs where it is given: frames with the doc of each row of a and
+    of b, for inputs that are dear to compute twice.  In a larger document boxes meet by cells (_near) and
+    are matched in rounds (_greedy).  Null docs are one document.
+    """
+    sides = {"a": a, "b": b}
+    counted = dict(zip(sides, docs or (a, b), strict=True))
+    ones = [df.select(F.col(doc).alias("d_"), *[F.lit(int(n == m)).cast("long").alias(f"{m}_") for m in sides]) for n, df in counted.items()]
+    sizes = ones[0].unionByName(ones[1]).groupBy("d_").agg(F.sum("a_").alias("a_"), F.sum("b_").alias("b_"))
+    large = cut(sizes.where((F.col("a_") * F.col("b_") > FOLD_PAIRS) | (F.col("a_") + F.col("b_") > FOLD_PAIRS)).select("d_"))
+    whole = large.isEmpty()
+    if not whole:
+        sides = {n: cut(df) for n, df in sides.items()}
+    packed = {n: df.select(doc, F.struct(idx, *[c for c in df.columns if c not in (doc, idx)]).alias(n)) for n, df in sides.items()}
+    kinds = {n: dict(df.dtypes)[n] for n, df in packed.items()}
+    if whole:
+        return _matched_folded(packed, kinds, doc, idx, max_dist)
+    same = F.col(doc).eqNullSafe(F.col("d_"))
+    out = _matched_folded({n: df.join(large, same, "left_anti") for n, df in packed.items()}, kinds, doc, idx, max_dist)
+    near = _near(*[df.join(large, same, "left_semi") for df in sides.values()], doc, idx, max_dist)
+    pairs = cut(_greedy(near, doc, [F.col("a_idx"), F.col("d"), F.col("b_idx")], ["d", "b_idx"], ["a_idx", "d"]).select(F.col(doc).alias("d_"), "a_idx", "b_idx"))
+    left, right = (packed[n].join(large, same, "left_semi") for n in sides)
+    left = left.join(pairs, same & (F.col(f"a.{idx}") == F.col("a_idx")), "left").select(doc, "a", "b_idx")
+    here = right.select(F.col(doc).alias("d_"), "b")
+    out = out.unionByName(left.join(here, same & (F.col("b_idx") == F.col(f"b.{idx}")), "left").select(doc, "a", "b"))
+    rest = right.join(pairs, same & (F.col(f"b.{idx}") == F.col("b_idx")), "left_anti")
+    return out.unionByName(rest.select(doc, F.lit(None).cast(kinds["a"]).alias("a"), "b"))
+
+
+def _matched_folded(packed: dict[str, DataFrame], kinds: dict[str, str], doc: str, idx: str, max_dist: float) -> DataFrame:
+    """matched_l1 with a document's boxes as two arrays."""
+    size = float(max_dist)
+    none = {n: F.lit(None).cast(kinds[n]).alias(n) for n in kinds}
+    rows = packed["a"].select(doc, "a", none["b"]).unionByName(packed["b"].select(doc, none["a"], "b"))
+    each = rows.groupBy(doc).agg(F.sort_array(F.collect_list("a")).alias("a"), F.collect_list("b").alias("b"))
+    start = F.struct(F.col("b").alias("left"), F.expr(f"cast(array() as array<struct<a:{kinds['a']},b:{kinds['b']}>>)").alias("out"))
+
+    def far(x, y):
+        return sum((F.abs(x[c].cast("double") - y[c].cast("double")) for c in ("x1", "y1", "x2", "y2")), F.lit(0.0))
+
+    def step(acc, x):
+        # The struct's order: by distance, then by idx.
+        y = F.array_min(F.filter(F.transform(acc["left"], lambda y: F.struct(far(x, y).alias("d"), y.alias("y"))), lambda c: c["d"] < size))["y"]
+        # One element, so that the search is made once.
+        return F.element_at(F.transform(F.array(y), lambda y: F.struct(
+            F.when(y.isNull(), acc["left"]).otherwise(F.filter(acc["left"], lambda o: o[idx] != y[idx])).alias("left"),
+            F.array_append(acc["out"], F.struct(x.alias("a"), y.alias("b"))).alias("out"),
+        )), 1)
+
+    over = F.aggregate("a", start, step, lambda acc: F.concat(acc["out"], F.transform(acc["left"], lambda y: F.struct(none["a"], y.alias("b")))))
+    return each.select(doc, F.inline(over))
+
+
+_CORNERS = ("x1", "y1", "x2", "y2")
+
+
 def greedy_l1(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
     """doc, a_idx, b_idx: in the order of a, the nearest unused box of b (ties: the smaller idx), if under max_dist."""
-    near = _near(a, b, doc, idx, max_dist)
-    keys = [F.col("a_idx"), F.col("d"), F.col("b_idx")]
-    return _greedy(near, doc, keys, ["d", "b_idx"], ["a_idx", "d"]).select(doc, "a_idx", "b_idx")
+    return greedy_l1_outer(a, b, doc, idx, max_dist).where("a_idx is not null and b_idx is not null")
 
 
 def greedy_l1_outer(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60) -> DataFrame:
     """doc, a_idx, b_idx: the pairs of greedy_l1 and the boxes it leaves over, null on the other side."""
-    pairs = greedy_l1(a, b, doc, idx, max_dist)
-    left, right = a.select(doc, F.col(idx).alias("a_idx")), b.select(doc, F.col(idx).alias("b_idx"))
-    only_a = _unpaired(left, pairs, doc, "a_idx").withColumn("b_idx", F.lit(None).cast(dict(right.dtypes)["b_idx"]))
-    only_b = _unpaired(right, pairs, doc, "b_idx").withColumn("a_idx", F.lit(None).cast(dict(left.dtypes)["a_idx"]))
-    return pairs.unionByName(only_a).unionByName(only_b)
-
-
-def _unpaired(side: DataFrame, pairs: DataFrame, doc: str, key: str) -> DataFrame:
-    return side.join(pairs.select(doc, key), [doc, key], "left_anti")
+    m = matched_l1(*[df.select(doc, idx, *_CORNERS) for df in (a, b)], doc, idx, max_dist)
+    return m.select(doc, F.col(f"a.{idx}").alias("a_idx"), F.col(f"b.{idx}").alias("b_idx"))
 
 
 def greedy_best(pairs: DataFrame, doc: str, score: str) -> DataFrame:

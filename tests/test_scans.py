@@ -129,3 +129,20 @@ def test_line_group_on_pages_of_any_size(spark):
             want[doc, r[1]] = line
     assert got == want
     assert "Python" not in win.line_group(df, "doc", "idx")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matched_boxes_of_small_large_and_null_documents(spark, monkeypatch):
+    """Leftovers of a null doc are listed once; small documents take no join."""
+    rng = random.Random(5)
+    sizes = ((1, 4, 3), (2, 9, 9), (None, 5, 5), (3, 0, 2), (4, 2, 0), (5, 60, 0))
+    kind = "doc long, idx int, x1 double, y1 double, x2 double, y2 double"
+    a, b = ([(doc, i, *[float(rng.randrange(40)) for _ in range(4)]) for doc, *n in sizes for i in range(n[side])] for side in (0, 1))
+    pairs = [(p[0], p[1], q[1], sum(abs(x - y) for x, y in zip(p[2:], q[2:], strict=True))) for p in a for q in b if p[0] == q[0]]
+    want = [p[:3] for p in plain_greedy([p for p in pairs if p[3] < 50], lambda p: (p[1], p[3], p[2]))]
+    want += [(p[0], p[1], None) for p in a if (p[0], p[1]) not in {w[:2] for w in want}] + [(q[0], None, q[1]) for q in b if (q[0], q[1]) not in {(w[0], w[2]) for w in want}]
+    frames = [spark.createDataFrame(rows, kind) for rows in (a, b)]
+    for fold in (2000, 50):
+        monkeypatch.setattr(joins, "FOLD_PAIRS", fold)
+        out = joins.greedy_l1_outer(*frames, "doc", "idx", 50)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        assert fold < 2000 or "Join" not in out._jdf.queryExecution().executedPlan().toString()
