@@ -298,24 +298,26 @@ def block_scores(blocks: DataFrame, layout: DataFrame, doc: str, idx: str, tol:
     """blocks with whole coordinates and the score of the first layout box within tol, or null."""
     corners = ("x1", "y1", "x2", "y2")
     whole = {c: F.bround(c) for c in corners}
-    boxes = layout.withColumns(whole).groupBy(doc, *corners).agg(F.min(idx).alias(idx), F.max_by("score", idx).alias("score"))
+    boxes = layout.withColumns(whole).groupBy(doc, *corners).agg(F.min(idx).alias("first_"), F.max_by("score", idx).alias("score"))
     b = blocks.withColumns(whole)
-    near = joins.box_proximity(b, boxes, doc, idx, tol).join(boxes.select(doc, F.col(idx).alias("b_idx"), "score"), [doc, "b_idx"])
-    return b.join(near.select(doc, F.col("a_idx").alias(idx), "score"), [doc, idx], "left")
+    here = boxes.select(F.col(doc).alias("d_"), "first_", "score", *[F.col(c).alias(f"o_{c}") for c in corners])
+    apart = F.greatest(*[F.abs(F.col(c) - F.col(f"o_{c}")) for c in corners])
+    # All of it goes by the document, so that nothing after the join shuffles.
+    met = b.withColumn("row_", F.monotonically_increasing_id()).join(here, (F.col(doc) == F.col("d_")) & (apart < tol), "left")
+    return met.groupBy(*b.columns, "row_").agg(F.min_by("score", "first_").alias("score")).drop("row_")
 
 
-def diff_runs(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60, min_delta: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """(changes, summary) of two runs, blocks paired by place (joins.greedy_l1).
-    a, b: doc, idx, x1, y1, x2, y2, label, content, order, score (block_scores).
+def diff_runs(a: DataFrame, b: DataFrame, doc: str, idx: str, max_dist: float = 60, min_delta: float = 0.02, docs: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(changes, summary) of two runs, blocks paired by place (joins.matched_l1).
+    a, b: doc, idx, x1, y1, x2, y2, label, content, order, score (block_scores); docs as matched_l1 has it.
 
     changes: doc, a_idx, b_idx, label, change (only_a, only_b, filled, emptied,
     text_changed, score_up, score_down, order_changed), a, b (the two values as text),
     chars, delta; a pair may change in text, score and order at once.  summary: the
     blocks of both runs and the count of each change, for each document of either run."""
     bare = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""), r"(?U)[\s\x1c-\x1f]+", "")
-    side = lambda df, n: df.select(doc, F.col(idx).alias(f"{n}_idx"), F.struct("label", "content", F.col("order").cast("string").alias("order"), "score", bare(F.col("content")).alias("bare")).alias(n))
-    pairs = joins.greedy_l1_outer(a, b, doc, idx, max_dist)
-    j = pairs.join(side(a, "a"), [doc, "a_idx"], "left").join(side(b, "b"), [doc, "b_idx"], "left")
+    side = lambda df: df.select(doc, idx, "x1", "y1", "x2", "y2", "label", "content", F.col("order").cast("string").alias("order"), "score", bare(F.col("content")).alias("bare"))
+    j = joins.matched_l1(side(a), side(b), doc, idx, max_dist, docs).select(doc, "a", "b", F.col(f"a.{idx}").alias("a_idx"), F.col(f"b.{idx}").alias("b_idx"))
     x, y, delta = F.col("a.bare"), F.col("b.bare"), F.col("b.score") - F.col("a.score")
 
     def change(kind: Column, n: str | None = None, chars: Column | None = None, by: Column | None = None) -> Column:

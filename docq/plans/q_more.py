@@ -270,10 +270,16 @@ def job22(spark, d):
 
 @query("job22_diff_blocks")
 def job22_blocks(spark, d):
-    return jobs.diff_runs(*two_runs(spark, d), "doc", "idx")[1]
+    return jobs.diff_runs(*two_runs(spark, d), "doc", "idx", docs=tuple(r.select("doc") for r in two_reads(spark, d)))[1]
 
 
 def two_runs(spark, d):
+    """two_reads with the scores of their blocks."""
+    cols = ["doc", "idx", "x1", "y1", "x2", "y2"]
+    return tuple(jobs.block_scores(r.drop("score", "mark", "l_suppkey"), r.select(*cols, "score"), "doc", "idx") for r in two_reads(spark, d))
+
+
+def two_reads(spark, d):
     """The blocks of pages in two runs: in the second moved a little, numbered anew
     (some are gone, some new), and with other texts, orders and scores."""
     cols = ["doc", "idx", "x1", "y1", "x2", "y2", "label"]
@@ -281,11 +287,16 @@ def two_runs(spark, d):
     a = a.withColumn("content", F.when(F.col("l_suppkey") % 6 == 0, "<td> </td>").otherwise(F.col("content")))
     seen = a.where("NOT (label = 'N' AND mark = 'O')")
     text_ = F.when(F.col("l_suppkey") % 4 == 0, "").when(F.col("l_suppkey") % 3 == 0, F.concat("content", F.lit(" x"))).otherwise(F.concat(F.lit("<b>"), "content", F.lit("</b>")))
-    b = seen.withColumns({"x1": F.col("x1") + F.col("l_suppkey") % 23 - 5, "y2": F.col("y2") + F.col("l_suppkey") % 3, "content": text_, "score": F.col("score") + (F.col("l_suppkey") % 5 - 2) / 50})
-    b = b.unionByName(seen.where("idx % 3 = 1").withColumns({"idx": F.col("idx") - 0.5, "x1": F.col("x1") + 3000, "x2": F.col("x2") + 3000}))
+    # One pass gives the rows that are moved and those that are new.
+    b = seen.select("*", F.explode(F.when(F.col("idx") % 3 == 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("new"))
+    new = lambda n, moved: F.when(F.col("new"), n).otherwise(moved)
+    b = b.withColumns({
+        "x1": new(F.col("x1") + 3000, F.col("x1") + F.col("l_suppkey") % 23 - 5), "x2": new(F.col("x2") + 3000, F.col("x2")), "y2": new(F.col("y2"), F.col("y2") + F.col("l_suppkey") % 3),
+        "idx": new(F.col("idx") - 0.5, F.col("idx")), "content": new(F.col("content"), text_), "score": new(F.col("score"), F.col("score") + (F.col("l_suppkey") % 5 - 2) / 50),
+    }).drop("new")
     b = b.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("idx")))
     b = b.withColumn("order", F.when(F.col("order").isNotNull(), F.col("idx") * 2))
-    return tuple(jobs.block_scores(r.select(*cols, "content", "order"), r.select("doc", "idx", "x1", "y1", "x2", "y2", "score"), "doc", "idx") for r in (a, b))
+    return a, b
 
 
 @query("job23_table_compare")
