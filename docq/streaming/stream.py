@@ -3,10 +3,11 @@ scoring of prediction files as they come, and the state of jobs."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -107,17 +108,13 @@ class JobStates(StatefulProcessor):
     final state is left out.
 
     Events behind the watermark are folded into the state for good (none can come
-    before them); the others are kept until then.
+    before them); the others are kept until then.  A call of a job costs no data frame, and its
+    state is one value, read once and written once.
     """
 
     def __init__(self, retries: int, backoff_ms: int):
         self.retries, self.backoff_ms = retries, backoff_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.folded = handle.getValueState("folded", "status string, at_ms long, attempts int, failures string")
-        self.open = handle.getListState("open", "at_ms long, id long, status string, code int")
-
     def _fold(self, state: tuple, events: list[tuple]) -> tuple:
         for at, _, status, code in events:
             if state[0] in ("completed", "failed"):
@@ -133,39 +130,43 @@ class JobStates(StatefulProcessor):
     def _due(self, state: tuple) -> int:
         return state[1] + self.backoff_ms * 2 ** (state[2] - 1)
 
-    def _row(self, key, state: tuple, now: int):
-        import pandas as pd
-
+    def _row(self, key, state: tuple, now: int) -> Row:
         status = "pending" if state[0] == "retry" and self._due(state) <= now else state[0]
-        return pd.DataFrame({"job": [key[0]], "status": [status], "at_ms": [state[1]], "attempts": [state[2]], "failures": [state[3]]})
+        return Row(job=key[0], status=status, at_ms=state[1], attempts=state[2], failures=state[3])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # The folded state, the events (JSON) that wait, and the time of the job's timer, if it has one.
+        self.held = handle.getValueState("held", "status string, at_ms long, attempts int, failures string, waiting string, timer long")
+
+    def _get(self) -> tuple[tuple, list[tuple], int | None]:
+        held = self.held.get()
+        if held is None:
+            return ("", 0, 0, ""), [], None
+        *state, waiting, timer = held
+        return tuple(state), [tuple(e) for e in json.loads(waiting)], timer
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        state = tuple(self.folded.get()) if self.folded.exists() else ("", 0, 0, "")
-        events = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        for part in rows:
-            events += list(zip(part["at_ms"].tolist(), part["id"].tolist(), part["status"].tolist(), part["code"].fillna(0).astype(int).tolist(), strict=True))
+        state, events, timer = self._get()
+        events += ((r.at_ms, r.id, r.status, r.code or 0) for r in rows)
         events.sort(key=lambda e: e[:2])
         behind = [e for e in events if e[0] < now]
-        if behind:
-            state = self._fold(state, behind)
-            self.folded.update(state)
-        rest = events[len(behind) :]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        state, rest = self._fold(state, behind), events[len(behind) :]
         last = self._fold(state, rest)
-        if last[0] == "retry" and self._due(last) > now:
-            self.handle.registerTimer(self._due(last))
+        due = self._due(last) if last[0] == "retry" and self._due(last) > now else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.held.update((*state, json.dumps(rest), due))
         yield self._row(key, last, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        state = tuple(self.folded.get()) if self.folded.exists() else ("", 0, 0, "")
-        last = self._fold(state, sorted((tuple(x) for x in self.open.get()), key=lambda e: e[:2]) if self.open.exists() else [])
-        yield self._row(key, last, expiredTimerInfo.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # Spark drops the timer; deleting it again later, by the time that is held, does nothing.
+        state, events, _ = self._get()
+        yield self._row(key, self._fold(state, events), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -176,7 +177,7 @@ def job_states(events: DataFrame, retries: int = 2, backoff_ms: int = 600_000, l
     job that a batch or a timer moves, for update mode (JobStates).  events, a stream: job, id, ts,
     status, code.  Needs the RocksDB state store (state_store)."""
     rows = events.withWatermark("ts", late).select("job", "ts", F.unix_millis("ts").alias("at_ms"), F.col("id").cast("long").alias("id"), "status", F.col("code").cast("int").alias("code"))
-    return rows.groupBy("job").transformWithStateInPandas(statefulProcessor=JobStates(retries, backoff_ms), outputStructType=STATUS, outputMode="Update", timeMode="EventTime")
+    return rows.groupBy("job").transformWithState(statefulProcessor=JobStates(retries, backoff_ms), outputStructType=STATUS, outputMode="Update", timeMode="EventTime")
 
 
 def state_store(spark: SparkSession) -> None:

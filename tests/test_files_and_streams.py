@@ -170,3 +170,22 @@ def test_means_at_a_threshold_do_not_hang_on_the_split(spark):
     assert {r.m for r in df.groupBy("k").agg(agg.steady_mean("v").alias("m")).collect()} == {0.6 / 3}
     odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, None)], "k int, v double")
     assert {r.k: r.m for r in odd.groupBy("k").agg(agg.steady_mean("v").alias("m")).collect()} == {1: float("inf"), 2: None}
+
+
+def test_a_call_of_a_job_reads_and_writes_its_state_once():
+    from types import SimpleNamespace
+
+    calls, box = [], {}
+    held = SimpleNamespace(get=lambda: (calls.append("get"), box.get("v"))[1], update=lambda v: (calls.append("update"), box.update(v=v)))
+    handle = SimpleNamespace(getValueState=lambda *_: held, registerTimer=lambda t: calls.append(("set", t)), deleteTimer=lambda t: calls.append(("drop", t)))
+    p = stream.JobStates(retries=2, backoff_ms=100)
+    p.init(handle)
+    event = lambda at, status, code=0: SimpleNamespace(at_ms=at, id=at, status=status, code=code)
+    run = lambda now, *rows: [r.asDict() for r in p.handleInputRows(("j",), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: now))]
+    assert run(0, event(20, "failed", 500)) == [{"job": "j", "status": "retry", "at_ms": 20, "attempts": 1, "failures": "500"}]
+    assert calls == ["get", ("set", 120), "update"]
+    assert run(30, event(40, "failed", 429))[0]["failures"] == "500,429"
+    assert calls[3:] == ["get", ("drop", 120), ("set", 240), "update"]
+    # The first wait is seen from its own time on; an event before the others, within the watermark, comes first.
+    assert run(30, event(35, "completed"))[0]["status"] == "completed"
+    assert calls[7:] == ["get", ("drop", 240), "update"]
