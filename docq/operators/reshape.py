@@ -64,9 +64,18 @@ def _entry(section: str, suffix: str, value=lambda v: v):
     return lambda e: F.struct(F.concat(F.lit(f"{section}."), e["key"], F.lit(suffix)).alias("key"), value(e["value"]).cast("string").alias("value"))
 
 
+#: Names of fields up to which their list is broadcast.
+ALIASES = 100_000
+
+
 def unify_fields(docs: DataFrame, doc: str, fields: str, alias: DataFrame) -> DataFrame:
     """Fields under their common names.  alias: key, common; of
-    several keys of one name the largest value; keys without a name go."""
+    several keys of one name the largest value; keys without a name go.
+
+    Rows do not meet by key, of which there are few and each may hold any share of the rows: a
+    list of at most ALIASES names, counted first, is broadcast."""
+    if alias.limit(ALIASES + 1).count() <= ALIASES:
+        alias = F.broadcast(alias)
     long = docs.select(doc, F.explode(fields).alias("key", "value")).where(F.trim("value") != "")
     one = long.join(alias, "key").groupBy(doc, "common").agg(F.max("value").alias("value"))
     return one.groupBy(doc).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("common", "value")))).alias("fields"))

@@ -534,3 +534,13 @@ def test_equal_names_are_not_diffed(monkeypatch):
     monkeypatch.setattr(difflib, "SequenceMatcher", lambda *_, **__: 1 / 0)
     assert [[(m["gt_row"], m["pred_row"]) for m in x] for x in tables.seq_align.func(names, names)] == [[(0, 0), (1, 1), (2, 2)], [], []]
     assert list(metric.cer_opcode.func(texts, texts)) == [0.0] * 3
+
+
+def test_fields_meet_their_names_without_a_shuffle_by_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, {"a": "x", "b": "y", "c": " "}), (1, {"b": "z"}), (2, {"d": "w"}), (3, {"a": "v"})], "doc int, fields map<string,string>")
+    alias = spark.createDataFrame([("a", "A"), ("a", "AA"), ("b", "A"), ("c", "C")], "key string, common string")
+    for most, kind in ((reshape.ALIASES, True), (2, False)):
+        monkeypatch.setattr(reshape, "ALIASES", most)
+        out = reshape.unify_fields(docs, "doc", "fields", alias)
+        assert {r.doc: r.fields for r in out.collect()} == {1: {"A": "z", "AA": "x"}, 3: {"A": "v", "AA": "v"}}
+        assert ("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) is kind
