@@ -22,6 +22,11 @@ def line_group(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
     that begins at or above it.  What is held of a page is its distinct tops, not its boxes.
     Boxes with a null doc are one page; a box without a top opens a line, before all others.
     """
+    return with_line(boxes.select(doc, idx, "x1", "y1", "y2"), doc, idx).select(doc, idx, "line")
+
+
+def with_line(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
+    """boxes with the line of line_group, so that no join brings their other columns back."""
     tol = F.greatest(F.lit(8.0), 0.6 * F.median(F.col("y2") - F.col("y1")))
     pages = boxes.groupBy(F.col(doc).alias("d_")).agg(tol.alias("tol"), F.sort_array(F.collect_set(F.col("y1").cast("double"))).alias("tops"), F.count_if(F.col("y1").isNull()).alias("bare"))
 
@@ -30,11 +35,11 @@ def line_group(boxes: DataFrame, doc: str, idx: str) -> DataFrame:
 
     starts = F.aggregate("tops", F.array().cast("array<double>"), lambda acc, y: F.when(F.size(acc) == 0, F.array(y)).otherwise(step(acc, y)))
     pages = pages.select("d_", starts.alias("starts"), "bare")
-    rows = boxes.select(doc, idx, "x1", F.col("y1").cast("double").alias("y1")).join(pages, F.col(doc).eqNullSafe(F.col("d_")))
-    line = F.size(F.filter("starts", lambda s: s <= F.col("y1"))) - 1 + F.col("bare")
-    topped = rows.where("y1 is not null").select(doc, idx, line.cast("int").alias("line"))
-    bare = scan.row_index(boxes.where("y1 is null").select(doc, idx, "x1"), doc, ["x1", idx])
-    return topped.unionByName(bare.select(doc, idx, F.col("i_").cast("int").alias("line")))
+    rows = boxes.join(pages, F.col(doc).eqNullSafe(F.col("d_")))
+    line = F.size(F.filter("starts", lambda s: s <= F.col("y1").cast("double"))) - 1 + F.col("bare")
+    topped = rows.where("y1 is not null").select(*boxes.columns, line.cast("int").alias("line"))
+    bare = scan.row_index(boxes.where("y1 is null"), doc, ["x1", idx])
+    return topped.unionByName(bare.select(*boxes.columns, F.col("i_").cast("int").alias("line")))
 
 
 def one_per_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:

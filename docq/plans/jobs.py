@@ -232,10 +232,10 @@ def doc_report(gt: DataFrame, pred: DataFrame, texts: DataFrame, doc: str) -> Da
 def page_ocr_pack(boxes: DataFrame, doc: str, idx: str, drops: DataFrame) -> DataFrame:
     """doc, text of the pages that no reason drops: lines top to bottom, words left to right.
     boxes: doc, idx, x1, y1, x2, y2, word; drops: doc, reason."""
-    from docq.operators.win import line_group
+    from docq.operators.win import with_line
 
-    kept = boxes.join(drops.where("reason is not null").select(doc), doc, "left_anti")
-    lined = kept.join(line_group(kept, doc, idx), [doc, idx])
+    kept = boxes.select(doc, idx, "x1", "y1", "y2", "word").join(drops.where("reason is not null").select(doc), doc, "left_anti")
+    lined = with_line(kept, doc, idx)
     words = lined.groupBy(doc, "line").agg(F.sort_array(F.collect_list(F.struct("x1", idx, "word"))).alias("w"))
     pages = words.select(doc, "line", F.array_join("w.word", " ").alias("t")).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("l"))
     return pages.select(doc, F.array_join("l.t", "\n").alias("text"))

@@ -544,3 +544,11 @@ def test_fields_meet_their_names_without_a_shuffle_by_key(spark, monkeypatch):
         out = reshape.unify_fields(docs, "doc", "fields", alias)
         assert {r.doc: r.fields for r in out.collect()} == {1: {"A": "z", "AA": "x"}, 3: {"A": "v", "AA": "v"}}
         assert ("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) is kind
+
+
+def test_lines_come_with_the_boxes_columns(spark):
+    from docq.operators import win
+
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0, 20.0, "a"), (1, 1, 9.0, 3.0, 23.0, "b"), (1, 2, 0.0, 50.0, 70.0, "c"), (1, 3, 0.0, None, None, "d")], "doc int, idx int, x1 double, y1 double, y2 double, word string")
+    got = win.with_line(df, "doc", "idx")
+    assert {(r.word, r.line) for r in got.collect()} == {("d", 0), ("a", 1), ("b", 1), ("c", 2)} and got.columns == [*df.columns, "line"]
