@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
@@ -299,30 +301,50 @@ def teds(ref: Column | str, hyp: Column | str, structure_only: bool = False) ->
     return score(ref, hyp)
 
 
-def token_grid(structure: list[str], texts: list[str]) -> list[tuple[int, int, str, bool, bool]]:
-    """(row, col, text, is_head, origin) of every place of a table.  Its width is the widest
-    row's sum of column spans; spans end at its edges, and places without a cell are empty origins."""
-    rows, head, left = [], False, iter(texts)
-    for end, tag, attrs in re.findall(r"<(/?)(thead|tr|td|th)\b([^>]*)>", "".join(structure)):
+def _layout(structure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """row, col, is_head, origin and the cell's number (-1: none) of every place of a table."""
+    rows, head, n = [], False, 0
+    for end, tag, attrs in re.findall(r"<(/?)(thead|tr|td|th)\b([^>]*)>", structure):
         if tag == "thead":
             head = not end
         elif tag == "tr" and not end:
             rows.append([])
         elif tag != "tr" and not end:
-            text = re.sub(r"</?(?:b|i|sup|sub|em|strong|u|small)>", "", next(left, "") or "")
             spans = dict(re.findall(r'(rowspan|colspan)="(\d+)"', attrs))
             if rows:
-                rows[-1].append((" ".join(text.split()), head, int(spans.get("rowspan", 1)), int(spans.get("colspan", 1))))
+                rows[-1].append((n, head, int(spans.get("rowspan", 1)), int(spans.get("colspan", 1))))
+            n += 1
     width = max((sum(cell[3] for cell in row) for row in rows), default=0)
     places = {}
     for r, row in enumerate(rows):
-        for text, in_head, rs, cs in row:
+        for cell, in_head, rs, cs in row:
             c = next((c for c in range(width) if (r, c) not in places), None)
             if c is None:
                 break
-            places |= {(i, j): ("", in_head, False) for i in range(r, min(r + rs, len(rows))) for j in range(c, min(c + cs, width))}
-            places[r, c] = (text, in_head, True)
-    return [(r, c, *places.get((r, c), ("", False, True))) for r in range(len(rows)) for c in range(width)]
+            places |= {(i, j): (-1, in_head, False) for i in range(r, min(r + rs, len(rows))) for j in range(c, min(c + cs, width))}
+            places[r, c] = (cell, in_head, True)
+    every = [places.get((r, c), (-1, False, True)) for r in range(len(rows)) for c in range(width)]
+    at = np.arange(len(every), dtype="int32")
+    return at // max(width, 1), at % max(width, 1), np.array([p[1] for p in every], bool), np.array([p[2] for p in every], bool), [p[0] for p in every]
+
+
+# Many tables have one structure; long ones are not held.
+_held_layout = lru_cache(maxsize=256)(_layout)
+HELD_STRUCTURE = 10_000
+
+
+def _placed(structure: str, texts: list[str]) -> tuple[tuple, list[str]]:
+    layout = (_held_layout if len(structure) <= HELD_STRUCTURE else _layout)(structure)
+    clean = [" ".join((re.sub(r"</?(?:b|i|sup|sub|em|strong|u|small)>", "", t) if "<" in t else t).split()) if t else "" for t in texts]
+    n = len(clean)
+    return layout, [clean[k] if 0 <= k < n else "" for k in layout[4]]
+
+
+def token_grid(structure: list[str], texts: list[str]) -> list[tuple[int, int, str, bool, bool]]:
+    """(row, col, text, is_head, origin) of every place of a table.  Its width is the widest
+    row's sum of column spans; spans end at its edges, and places without a cell are empty origins."""
+    (row, col, head, origin, _), placed = _placed("".join(structure), list(texts))
+    return list(zip(row.tolist(), col.tolist(), placed, head.tolist(), origin.tolist(), strict=True))
 
 
 def grid_from_tokens(df: DataFrame, doc: str, structure: str, cells_: str) -> DataFrame:
@@ -331,12 +353,20 @@ def grid_from_tokens(df: DataFrame, doc: str, structure: str, cells_: str) -> Da
     A null array is an empty one."""
     kind = dict(df.dtypes)[doc]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(d, *g) for d, s, t in zip(f[doc], f[structure], f[cells_], strict=True) for g in token_grid([] if s is None else s, [] if t is None else t)]
-            yield pd.DataFrame(out, columns=[doc, "row", "col", "text", "is_head", "origin"])
-
-    return df.select(doc, structure, cells_).mapInPandas(run, f"{doc} {kind}, row int, col int, text string, is_head boolean, origin boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            each, texts = [], []
+            for s, t in zip(f.column(1).to_pylist(), f.column(2).to_pylist(), strict=True):
+                layout, placed = _placed(s or "", t or [])
+                each.append(layout)
+                texts += placed
+            if texts:
+                of = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
+                row, col, head, origin = (np.concatenate([x[i] for x in each]) for i in range(4))
+                out = [f.column(0).take(pa.array(of)), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(texts, pa.string()), pa.array(head), pa.array(origin)]
+                yield pa.RecordBatch.from_arrays(out, [doc, "row", "col", "text", "is_head", "origin"])
+
+    return df.select(doc, F.array_join(structure, ""), cells_).mapInArrow(run, f"{doc} {kind}, row int, col int, text string, is_head boolean, origin boolean")
 
 
 @F.pandas_udf(ArrayType(StructType().add("gt_row", "integer").add("pred_row", "integer")))

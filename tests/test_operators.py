@@ -552,3 +552,12 @@ def test_lines_come_with_the_boxes_columns(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 20.0, "a"), (1, 1, 9.0, 3.0, 23.0, "b"), (1, 2, 0.0, 50.0, 70.0, "c"), (1, 3, 0.0, None, None, "d")], "doc int, idx int, x1 double, y1 double, y2 double, word string")
     got = win.with_line(df, "doc", "idx")
     assert {(r.word, r.line) for r in got.collect()} == {("d", 0), ("a", 1), ("b", 1), ("c", 2)} and got.columns == [*df.columns, "line"]
+
+
+def test_tables_of_one_structure_are_laid_out_once(spark):
+    tables._held_layout.cache_clear()
+    tokens = ["<tr>", "<td", ' rowspan="2"', ">", "</td>", "<td>", "</td>", "</tr>", "<tr>", "<td>", "</td>", "</tr>"]
+    for i in range(50):
+        assert tables.token_grid(tokens, [f"<i>{i}</i>", None]) == [(0, 0, str(i), False, True), (0, 1, "", False, True), (1, 0, "", False, False), (1, 1, "", False, True)]
+    assert tables._held_layout.cache_info().misses == 1
+    assert tables.token_grid([], ["x"]) == tables.token_grid(["<td>", "</td>"], ["x"]) == []
