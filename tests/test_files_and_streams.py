@@ -189,3 +189,15 @@ def test_a_call_of_a_job_reads_and_writes_its_state_once():
     # The first wait is seen from its own time on; an event before the others, within the watermark, comes first.
     assert run(30, event(35, "completed"))[0]["status"] == "completed"
     assert calls[7:] == ["get", ("drop", 240), "update"]
+
+
+def test_tasks_move_the_files_of_leaves(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    asked, plain = [], DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (asked.append((k, v)), plain(self, k, v))[1])
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("leaf"), "id")
+    io.write_leaves(df, ["leaf"], str(tmp_path / "t"), rows_per_file=100)
+    assert ("mapreduce.fileoutputcommitter.algorithm.version", "2") in asked
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "t")).collect()) == list(range(1000))
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "t").rglob("*.json")) <= 100
